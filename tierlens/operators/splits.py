@@ -105,7 +105,7 @@ def connected_groups(links: DataFrame, row_id: str = "row_id", entity: str = "en
     before = None
     for _ in range(max_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(lowest, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
         # small star: each node keeps its smaller neighbours, all tied to the smallest of them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
