@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import exact_sum
-from .ledger import ledger_totals, purchases
+from .ledger import grid_totals
 from .pairs import decision_pairs
 from .policy import replay_paths
 
@@ -54,7 +54,7 @@ def default_grid(thresholds: Sequence[float], screen_in_stage1: bool) -> list[di
 
 def replay_summary(
     results: DataFrame, keys: Sequence[str], cost_weight: float = 0.05, cost_scale: float = 20.0,
-    totals: DataFrame | None = None, pairwise: bool = True,
+    totals: DataFrame | None = None, pairwise: bool = True, totals_on: Sequence[str] | None = None,
 ) -> DataFrame:
     """Coverage, accuracy, error, cost and objective per policy; abstentions count as not correct.
 
@@ -78,7 +78,7 @@ def replay_summary(
         *own_cost,
     )
     if totals is not None:
-        base = base.join(totals, keys, "left").withColumn("total_cost", F.coalesce("total_cost", F.lit(0.0)))
+        base = base.join(totals, list(totals_on or keys), "left").withColumn("total_cost", F.coalesce("total_cost", F.lit(0.0)))
     mean_cost = F.col("total_cost") / F.col("n")
     out = base.select(
         *keys, "n", "coverage", "accuracy_all_cases",
@@ -115,15 +115,21 @@ def run_policies(
 
 
 def policy_grid(
-    scored: DataFrame, definitions: Sequence[dict], tolerance: float, order_by: str = "ord",
+    scored: DataFrame, definitions: Sequence[dict], tolerance: float,
     cost_weight: float = 0.05, cost_scale: float = 20.0, use_diagnostics: bool = True,
     use_reference_screen: bool = True, pairwise: bool = True,
 ) -> DataFrame:
     """One summary row per definition, each with a ledger of its own."""
     keys = ["policy_id", "name", "definition_digest"]
     paths = run_policies(scored, definitions, tolerance, use_diagnostics, use_reference_screen)
-    totals = ledger_totals(purchases(paths, keys, order_by), keys)
-    return replay_summary(paths, keys, cost_weight, cost_scale, F.broadcast(totals), pairwise)
+    totals = None
+    for start in range(0, len(definitions), 62):
+        count = min(62, len(definitions) - start)
+        part = grid_totals(
+            scored, paths.where(F.col("policy_id").between(start, start + count - 1)), start, count)
+        totals = part if totals is None else totals.unionByName(part)
+    # one row per policy
+    return replay_summary(paths, keys, cost_weight, cost_scale, F.broadcast(totals), pairwise, totals_on=["policy_id"])
 
 
 def select_policy(summaries: DataFrame) -> DataFrame:
