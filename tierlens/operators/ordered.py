@@ -25,16 +25,19 @@ _BUCKET = "_bucket"
 
 
 def value_edges(df: DataFrame, by, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
-    """Split points of ``by`` so that each interval holds about ``rows_per_bucket`` rows (one small action)."""
-    fractions = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    n, points = df.agg(
-        F.count(col(by)), F.percentile_approx(col(by), fractions, 20 * MAX_BUCKETS)
-    ).first()
-    buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket)) if n else 1
+    """Split points of ``by`` so that each interval holds about ``rows_per_bucket`` rows.
+
+    A count decides how many; only an input that needs more than one bucket pays for the quantile pass.
+    """
+    n = df.select(F.count(col(by))).first()[0]
+    buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
     if buckets <= 1:
         return []
-    step = MAX_BUCKETS / buckets
-    return sorted({float(points[math.ceil(i * step) - 1]) for i in range(1, buckets)})
+    # a text literal of fractions stays one foldable expression
+    fractions = ",".join(repr(i / buckets) for i in range(1, buckets))
+    points = df.select(col(by).cast("double").alias("_by")).agg(F.expr(
+        f"percentile_approx(_by, cast(split('{fractions}', ',') as array<double>), {20 * buckets})")).first()[0]
+    return sorted(set(points))
 
 
 def with_bucket(df: DataFrame, by: str, edges: Sequence[float]) -> DataFrame:
