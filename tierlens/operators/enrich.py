@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_true, stage_operations
@@ -48,6 +48,10 @@ def attachment_violations(rows: DataFrame, attachments: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _without(pairs: Column, key: str) -> Column:
+    return F.map_filter(pairs, lambda k, _: k != key)
+
+
 def attach_features(rows: DataFrame, attachments: DataFrame) -> DataFrame:
     """Merge accepted attachments into the feature, operation and cost maps, with an audit trail.
 
@@ -78,10 +82,10 @@ def attach_features(rows: DataFrame, attachments: DataFrame) -> DataFrame:
         changed = F.size(bought) > 0
         total = F.aggregate(F.array_sort(F.map_values(merged)), F.lit(0.0), lambda a, v: a + v)
         operations = F.when(changed, F.map_concat(
-            F.map_filter(operations, lambda k, v, s=stage: k != s), F.create_map(F.lit(stage), merged)
+            _without(operations, stage), F.create_map(F.lit(stage), merged)
         )).otherwise(operations)
         costs = F.when(changed, F.map_concat(
-            F.map_filter(costs, lambda k, v, s=stage: k != s), F.create_map(F.lit(stage), total)
+            _without(costs, stage), F.create_map(F.lit(stage), total)
         )).otherwise(costs)
     updates["operations"], updates["costs"] = operations, costs
     return joined.withColumns(updates).drop(

@@ -103,50 +103,49 @@ def charge_with_budget(bought: DataFrame, keys: Sequence[str], budget: float, ma
     keys = list(keys)
     if budget < 0:
         raise ValueError("budget must be non-negative")
+    row_keys = [*keys, "row_id"]
     limit = F.expr(f"cast({budget!r}D as {MONEY}) + {_SLACK}")
+    edges = value_edges(bought, "seq")  # later rounds only hold fewer purchases
     pending = cut_lineage(_lines(bought, keys))
-    spent = bought.select(*keys).distinct().withColumn("spent", F.lit(0).cast("decimal(38,12)"))
-    paid, refused = [], []
-    row_keys = [*keys, "row_id"]
+    spent = None
+    verdicts = []
     for _ in range(max_rounds):
         if pending.isEmpty():
             break
-        first = pending.groupBy(*keys, "op").agg(F.min(F.struct("seq", "row_id", "step_no")).alias("_p"), F.min("cost").alias("cost"))
-        first = first.select(*keys, "op", "_p.*", "cost")
+        first = cut_lineage(pending.groupBy(*keys, "op").agg(
+            F.min(F.struct("seq", "row_id", "step_no")).alias("_p"), F.min("cost").alias("cost")
+        ).select(*keys, "op", "_p.*", "cost"))
         priced = first.groupBy(*row_keys, "step_no", "seq").agg(F.sum("cost").cast("decimal(38,12)").alias("price"))
-        edges = value_edges(priced, "seq")
         lined = running(priced, "seq", sums={"upto": "price"}, keys=keys, edges=edges)
+        lined = lined.withColumn("spent", F.lit(0).cast("decimal(38,12)")) if spent is None else lined.join(spent, keys)
         reached = F.col("spent") + F.col("upto")
         # the running total only grows, so the largest total within the limit is what the ledger has spent
-        state = cut_lineage(lined.join(spent, keys).groupBy(*keys).agg(
+        state = cut_lineage(lined.groupBy(*keys).agg(
             F.min(F.when(reached > limit, F.col("seq"))).alias("stop"),
             F.coalesce(F.max(F.when(reached <= limit, reached)), F.max("spent")).cast("decimal(38,12)").alias("spent"),
         ))
-        judged = priced.join(state, keys)
-        ok = judged.where(F.col("stop").isNull() | (F.col("seq") < F.col("stop")))
-        paid.append(cut_lineage(ok.groupBy(*row_keys).agg(F.sum("price").alias("cost"))))
-        beyond = judged.where((F.col("seq") >= F.col("stop")) & (F.col("spent") + F.col("price") > limit))
-        no = cut_lineage(beyond.groupBy(*row_keys).agg(F.min("step_no").alias("refused_step_no")))
-        refused.append(no)
+        fits = F.col("stop").isNull() | (F.col("seq") < F.col("stop"))
+        hopeless = F.col("spent") + F.col("price") > limit
+        judged = cut_lineage(priced.join(state, keys).withColumn("paid", fits).where(fits | hopeless).select(
+            *row_keys, "step_no", "price", "paid"))
+        verdicts.append(judged)
         # operations of accepted purchases are owned from now on; rows end at their refused step
-        owned = first.join(state, keys).where(F.col("stop").isNull() | (F.col("seq") < F.col("stop"))).select(*keys, "op")
+        owned = first.join(state, keys).where(fits).select(*keys, "op")
+        ended = judged.where(~F.col("paid")).groupBy(*row_keys).agg(F.min("step_no").alias("refused_step_no"))
         open_ledgers = state.where(F.col("stop").isNotNull()).select(*keys)
         pending = pending.join(open_ledgers, keys, "left_semi").join(owned, [*keys, "op"], "left_anti")
-        pending = pending.join(no, row_keys, "left").where(
-            F.col("refused_step_no").isNull() | (F.col("step_no") < F.col("refused_step_no"))).drop("refused_step_no")
-        pending = cut_lineage(pending)
+        pending = cut_lineage(pending.join(ended, row_keys, "left").where(
+            F.col("refused_step_no").isNull() | (F.col("step_no") < F.col("refused_step_no"))).drop("refused_step_no"))
         spent = state.select(*keys, "spent")
     else:
         raise RuntimeError("budget rounds did not finish")
-    rows = bought.select(*row_keys).distinct()
-    empty_cost = rows.withColumn("cost", F.lit(0).cast(MONEY)).withColumn("refused_step_no", F.lit(None).cast("int"))
-    parts = [empty_cost]
-    parts += [p.withColumn("refused_step_no", F.lit(None).cast("int")) for p in paid]
-    parts += [r.withColumn("cost", F.lit(0).cast(MONEY)) for r in refused]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy(*row_keys).agg(F.sum("cost").cast("double").alias("cost"), F.min("refused_step_no").alias("refused_step_no"))
+    union = bought.select(*row_keys).distinct().select(
+        *row_keys, F.lit(None).cast("int").alias("step_no"), F.lit(0).cast("decimal(38,12)").alias("price"), F.lit(True).alias("paid"))
+    for part in verdicts:
+        union = union.unionByName(part)
+    return union.groupBy(*row_keys).agg(
+        F.sum(F.when(F.col("paid"), F.col("price"))).cast("double").alias("cost"),
+        F.min(F.when(~F.col("paid"), F.col("step_no"))).alias("refused_step_no"))
 
 
 def apply_ledger(paths: DataFrame, charged: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
