@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..records import EV_PER_UNIT
@@ -29,6 +29,15 @@ def is_true(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Evaluate the columns here, once per row.
+
+    Without it a filter on a deeply derived column is pushed down as one expression that repeats every step
+    it was built from.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def finite(c) -> Column:
     """False for NULL, NaN and infinities (Spark orders NaN above every number)."""
     c = col(c)

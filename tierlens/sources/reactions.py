@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_true
+from ..functions.columns import is_true, settle
 from ..operators.enrich import mark_duplicates
 from .text import to_number, words_of
 
@@ -55,8 +55,8 @@ def parse_reaction_lines(lines: DataFrame) -> DataFrame:
     )
     df = df.withColumn("problem", problem)
     good = F.col("problem").isNull()
-    return df.select(*keys, "source_line", F.when(good, F.col("terms")).alias("terms"),
-                     F.when(good, F.col("reference")).alias("reference"), "problem")
+    return settle(df.select(*keys, "source_line", F.when(good, F.col("terms")).alias("terms"),
+                            F.when(good, F.col("reference")).alias("reference"), "problem"))
 
 
 def reaction_observables(parsed: DataFrame, subset: str, kind: str = "barrier", order_by: str = "line") -> DataFrame:

@@ -115,7 +115,7 @@ def demand_correlation_pattern(results: DataFrame, pattern: str, text: str = "te
 
 def extract_gradients(files: DataFrame, text: str = "text", atoms: str = "atom_count") -> DataFrame:
     """Adds ``forces_ev_angstrom`` (n x 3) and ``gradient_problem`` from gradient files in Eh/bohr."""
-    lines = F.filter(F.transform(lines_of(text), F.trim), lambda l: (l != "") & ~l.startswith("#"))
+    lines = F.filter(F.transform(lines_of(text), lambda l: F.trim(l)), lambda l: (l != "") & ~l.startswith("#"))
     n = F.col(atoms)
     df = files.withColumn("_lines", lines)
     df = df.withColumn("_g", F.transform(F.slice("_lines", 3, 3 * n), to_number))
