@@ -132,7 +132,7 @@ pc AS (SELECT policy_id, COUNT(*) FILTER (c IS NOT NULL AND ABS(r) > u) AS pairs
 SELECT name, n, {SQL_ROUNDED}, pairs_resolved, pairs_unresolved, ROUND(ok / NULLIF(pairs_resolved, 0), 6) AS pairwise_ordering_accuracy FROM summary JOIN pc USING (policy_id)""")
 def _(t):
     paths = replay.run_policies(rows_with_operations(t), POLICIES, S.DECISION_TOL)
-    paid = ledger.apply_ledger(paths, ledger.charges(ledger.purchases(paths, ["name"], "ord"), ["name"]), ["name"], S.DECISION_TOL)
+    paid = cut_lineage(ledger.apply_ledger(paths, ledger.charges(ledger.purchases(paths, ["name"], "ord"), ["name"]), ["name"], S.DECISION_TOL))
     return summary_columns(replay.replay_summary(paid, ["name"]))
 
 
@@ -244,7 +244,7 @@ def _(t):
 def _(t):
     rows = cut_lineage(study_rows(t))
     artifact = P.fit_study(rows, STUDY, pairwise=False)
-    return rounded(P.evaluate_study(rows, artifact, verify=False).audit, 6)
+    return rounded(P.test_audit(P.scored_test_rows(rows, artifact), artifact.models), 6)
 
 
 @query("synthetic_study", """WITH i AS (SELECT o_custkey AS g, o_orderkey AS i FROM orders)

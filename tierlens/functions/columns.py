@@ -38,6 +38,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once: lambda bodies share no subexpressions otherwise."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def finite(c) -> Column:
     """False for NULL, NaN and infinities (Spark orders NaN above every number)."""
     c = col(c)

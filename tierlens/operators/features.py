@@ -59,6 +59,12 @@ class Preprocessor:
         labels = [f"z_{n}" for n in self.names] + [f"missing_{n}" for n in self.names]
         return df.withColumns(dict(zip(labels, self.columns(), strict=True)))
 
+    def subset(self, names, stage: int) -> Preprocessor:
+        """The same parameters for some of the features."""
+        at = [self.names.index(n) for n in names]
+        pick = lambda values: tuple(values[i] for i in at)
+        return Preprocessor(tuple(names), stage, *map(pick, (self.medians, self.means, self.scales, self.all_missing)))
+
     def to_dict(self) -> dict:
         return asdict(self)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import stage_operations
@@ -22,14 +22,13 @@ _SLACK = "cast('0.000000000001' as decimal(28,12))"
 
 def purchases(paths: DataFrame, keys: Sequence[str], order_by: str) -> DataFrame:
     """Purchased steps of replayed rows -> purchase table in row order, then step order."""
-    operations: Column | None = None
-    for name in STEPS:
-        ops = stage_operations(STAGE_OF_STEP[name])
-        operations = F.when(F.col("_step") == name, ops) if operations is None else operations.when(F.col("_step") == name, ops)
-    number = F.array_position(F.array(*[F.lit(s) for s in STEPS]), F.col("_step"))
-    return paths.withColumn("_step", F.explode("purchased")).select(
-        *keys, F.col("id").alias("row_id"), F.col("_step").alias("step"), number.cast("int").alias("step_no"),
-        (F.col(order_by).cast("long") * 8 + number).alias("seq"), operations.alias("operations"),
+    offers = F.array(*[
+        F.struct(F.lit(name).alias("step"), F.lit(i).alias("step_no"), stage_operations(STAGE_OF_STEP[name]).alias("operations"))
+        for i, name in enumerate(STEPS, start=1)])
+    taken = F.filter(offers, lambda o: F.array_contains("purchased", o["step"]))
+    return paths.select(*keys, "id", order_by, F.inline(taken)).select(
+        *keys, F.col("id").alias("row_id"), "step", "step_no",
+        (F.col(order_by).cast("long") * 8 + F.col("step_no")).alias("seq"), "operations",
     )
 
 

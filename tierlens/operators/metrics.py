@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from .ordered import auroc, average_precision, exact_quantiles, kth_smallest, value_edges
+from .ordered import kth_smallest, ranking_aggregates, running, score_ranking, value_edges
 
 
 def regression_report(df: DataFrame, predicted: str, reference: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -64,26 +64,23 @@ def classification_report(
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must be a probability")
     keys = list(keys)
-    # A constant key lets a single report use the same key joins as a stratified one.
-    on = keys or ["_all"]
-    df = df if keys else df.withColumn("_all", F.lit(0))
-    y, hit = F.col(label) == 1, F.col(score) >= threshold
-    how_many = lambda c: F.count(F.when(c, 1))
-    counts = df.groupBy(*on).agg(
-        F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("positives"),
-        F.avg(F.col(label).cast("double")).alias("prevalence"),
-        how_many(hit & y).alias("tp"), how_many(hit & ~y).alias("fp"),
-        how_many(~hit & y).alias("fn"), how_many(~hit & ~y).alias("tn"),
+    ranked = score_ranking(df, label, score, keys).withColumn("_bin", bin_number(score, bins))
+    s, pos, n = F.col(score), F.col("pos"), F.col("n")
+    hit = s >= threshold
+    how_many = lambda count, condition: F.coalesce(F.sum(F.when(condition, count)), F.lit(0))
+    # a bin's |mean score - event share| weighted by its size is |sum of scores - positives|
+    gaps = [F.abs(F.sum(F.when(F.col("_bin") == b, s * n - pos).otherwise(0.0))) for b in range(bins)]
+    report = ranked.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("pos").alias("positives"),
+        (F.sum("pos") / F.sum("n")).alias("prevalence"),
+        *[c.alias(name) for name, c in ranking_aggregates().items()],
+        (F.sum(pos * (s - 1) * (s - 1) + (n - pos) * s * s) / F.sum("n")).alias("brier"),
+        (sum(gaps[1:], gaps[0]) / F.sum("n")).alias("ece"),
+        how_many(pos, hit).alias("tp"), how_many(n - pos, hit).alias("fp"),
+        how_many(pos, ~hit).alias("fn"), how_many(n - pos, ~hit).alias("tn"),
     )
-    edges = value_edges(df, score)
-    parts = [auroc(df, label, score, on, edges), average_precision(df, label, score, on, edges),
-             brier_score(df, label, score, on), calibration_error(df, label, score, bins, on)]
-    for part in parts:
-        counts = counts.join(part, on)
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), (F.col(a) + F.col(b)).cast("double"))
-    return counts.select(
-        *keys, "n", "positives", "prevalence", "auroc", "average_precision", "brier", "ece",
-        "tp", "fp", "fn", "tn", ratio("tp", "fp").alias("precision"), ratio("tp", "fn").alias("recall"))
+    return report.withColumns({"precision": ratio("tp", "fp"), "recall": ratio("tp", "fn")})
 
 
 def raw_score_report(df: DataFrame, score: str, targets: dict[str, str]) -> DataFrame:
@@ -92,10 +89,8 @@ def raw_score_report(df: DataFrame, score: str, targets: dict[str, str]) -> Data
     long = known.select(F.col(score).alias("_s"), F.explode(F.array(*[
         F.struct(F.lit(t).alias("target"), F.col(c).cast("int").alias("y")) for t, c in targets.items()])).alias("_t"))
     long = long.select("_s", "_t.*").where(F.col("y").isNotNull())
-    edges = value_edges(known, score)
-    return (long.groupBy("target").agg(F.count("*").alias("n"))
-            .join(auroc(long, "y", "_s", ["target"], edges), "target")
-            .join(average_precision(long, "y", "_s", ["target"], edges), "target"))
+    ranked = score_ranking(long, "y", "_s", ["target"], value_edges(known, score))
+    return ranked.groupBy("target").agg(F.sum("n").alias("n"), *[c.alias(name) for name, c in ranking_aggregates().items()])
 
 
 def class_balance(df: DataFrame, partition: str, targets: dict[str, str]) -> DataFrame:
@@ -178,8 +173,6 @@ def draw_index(seed: int, replicate: Column, draw: Column, groups: int) -> Colum
 
 
 def _numbered_groups(per_group: DataFrame, group: str) -> DataFrame:
-    from .ordered import running
-
     hashed = per_group.withColumns({"_h": F.md5(F.col(group).cast("string")), "_one": F.lit(1)})
     ranked = running(hashed, "_h", sums={"_n": "_one"}, bucket=F.conv(F.substring("_h", 1, 3), 16, 10).cast("double"))
     return ranked.withColumn("_index", F.col("_n") - 1).drop("_h", "_one", "_n")

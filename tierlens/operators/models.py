@@ -110,8 +110,10 @@ class RiskModel:
                    LogisticModel.from_dict(calibrator) if calibrator else None)
 
 
-def fit_risk_model(train: DataFrame, names, stage: int, label: str, l2: float = 1.0) -> RiskModel:
-    pre = fit_preprocessor(train, names, stage)
+def fit_risk_model(
+    train: DataFrame, names, stage: int, label: str, l2: float = 1.0, preprocessor: Preprocessor | None = None,
+) -> RiskModel:
+    pre = preprocessor or fit_preprocessor(train, names, stage)
     ready = pre.apply(train.where(F.col(label).isNotNull()))
     inputs = [f"z_{n}" for n in pre.names] + [f"missing_{n}" for n in pre.names]
     return RiskModel(pre, fit_logistic(ready, inputs, label, l2))

@@ -136,31 +136,41 @@ def _score_table(df: DataFrame, label: str, score: str, keys) -> DataFrame:
     )
 
 
-def auroc(df: DataFrame, label: str, score: str, keys: Sequence[str] = (), edges=None) -> DataFrame:
-    """Rank-sum AUROC with averaged tie ranks; NULL when a class is empty."""
+def score_ranking(df: DataFrame, label: str, score: str, keys: Sequence[str] = (), edges=None) -> DataFrame:
+    """One row per distinct score: ``pos``/``n`` at it, ``upto``/``tp_upto`` at or below, ``total``/``total_pos``.
+
+    Every ranking and calibration metric is an aggregate of this table.
+    """
     edges = value_edges(df, score) if edges is None else edges
-    ranked = running(_score_table(df, label, score, keys), score, sums={"upto": "n"}, keys=keys, edges=edges)
-    mid_rank = (F.col("upto") - F.col("n")) + (F.col("n") + 1) / 2
-    sums = ranked.groupBy(*keys).agg(
-        F.sum(F.col("pos") * mid_rank).alias("ranksum"),
-        F.sum("pos").cast("double").alias("p"), F.sum("n").cast("double").alias("t"),
-    )
-    negatives = F.col("t") - F.col("p")
-    value = (F.col("ranksum") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * negatives)
-    return sums.select(*keys, F.when((F.col("p") > 0) & (negatives > 0), value).alias("auroc"))
+    return running(
+        _score_table(df, label, score, keys), score, sums={"upto": "n", "tp_upto": "pos"},
+        totals={"total": "n", "total_pos": "pos"}, keys=keys, edges=edges)
+
+
+def ranking_aggregates() -> dict[str, Column]:
+    """AUROC (averaged tie ranks) and non-interpolated average precision as aggregates of a score ranking."""
+    pos, n, upto = F.col("pos"), F.col("n"), F.col("upto")
+    ranksum = F.sum(pos * ((upto - n) + (n + 1) / 2))
+    p, t = F.max("total_pos").cast("double"), F.max("total").cast("double")
+    # from the top down: positives and rows at or above this score
+    above_pos, above = F.col("total_pos") - F.col("tp_upto") + pos, F.col("total") - upto + n
+    area = F.sum(pos * (above_pos / above))
+    return {
+        "auroc": F.when((p > 0) & (t > p), F.try_divide(ranksum - p * (p + 1) / 2, p * (t - p))),
+        "average_precision": F.when(p > 0, F.try_divide(area, p)),
+    }
+
+
+def auroc(df: DataFrame, label: str, score: str, keys: Sequence[str] = (), edges=None) -> DataFrame:
+    """Rank-sum AUROC per key; NULL when a class is empty."""
+    ranked = score_ranking(df, label, score, keys, edges)
+    return ranked.groupBy(*keys).agg(ranking_aggregates()["auroc"].alias("auroc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str, keys: Sequence[str] = (), edges=None) -> DataFrame:
-    """Non-interpolated average precision; equal scores enter together; NULL without positives."""
-    edges = value_edges(df, score) if edges is None else edges
-    ranked = running(
-        _score_table(df, label, score, keys), score, sums={"tp": "pos", "upto": "n"},
-        keys=keys, edges=edges, descending=True,
-    )
-    sums = ranked.groupBy(*keys).agg(
-        F.sum(F.col("pos") * (F.col("tp") / F.col("upto"))).alias("area"), F.sum("pos").alias("p")
-    )
-    return sums.select(*keys, F.when(F.col("p") > 0, F.col("area") / F.col("p")).alias("average_precision"))
+    """Average precision per key, equal scores entering together; NULL without positives."""
+    ranked = score_ranking(df, label, score, keys, edges)
+    return ranked.groupBy(*keys).agg(ranking_aggregates()["average_precision"].alias("average_precision"))
 
 
 def risk_coverage(df: DataFrame, loss: str, uncertainty: str, keys: Sequence[str] = (), edges=None) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, col, finite
+from ..plans.lineage import cut_lineage
 from .ordered import running, value_edges
 
 
@@ -96,10 +97,11 @@ def decision_pairs(
     disjoint intervals.  ``group`` may be several columns (policy, decision group).
     """
     keys = [group] if isinstance(group, str) else list(group)
-    df = df.where(all_of(*[F.col(k).isNotNull() for k in keys])).select(
+    # read several times below: write the narrow input once
+    df = cut_lineage(df.where(all_of(*[F.col(k).isNotNull() for k in keys])).select(
         *keys, col(prediction).cast("double").alias("_c"), col(reference).cast("double").alias("_r"),
         F.coalesce(col(uncertainty), F.lit(0.0)).alias("_u"),
-    )
+    ))
     usable = df.where(finite("_c") & finite("_r"))
     low, high = F.col("_r") - F.col("_u"), F.col("_r") + F.col("_u")
     edges = value_edges(usable, "_r") if scale else ()
@@ -124,7 +126,7 @@ def ordering_accuracy(
         raise ValueError("tie_tolerance must be non-negative")
     keys = [group] if isinstance(group, str) else list(group)
     tol = F.lit(float(tie_tolerance))
-    df = df.select(*keys, col(candidate).cast("double").alias("_c"), col(reference).cast("double").alias("_r"))
+    df = cut_lineage(df.select(*keys, col(candidate).cast("double").alias("_c"), col(reference).cast("double").alias("_r")))
     edges = value_edges(df, "_r") if scale else ()
     edges_b = value_edges(df, "_c") if scale and edges else ()
     c, r = F.col("_c"), F.col("_r")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, is_true
+from ..functions.columns import col, is_true, settle
 
 # ---- fixed values: reason texts, as they appear in decision tables -----------
 REASONS = {
@@ -83,11 +83,9 @@ def replay_paths(rows: DataFrame, tolerance: float) -> DataFrame:
     only_hl, only_dft = mode == "always_high_level", mode == "always_dft"
     uses_mlip = ~only_hl & ~only_dft
     has_mlip, has_dft = F.col("mlip").isNotNull(), F.col("dft").isNotNull()
-    step = {}
-    step["_reach"] = ~only_hl & (only_dft | (has_mlip & (mode != "always_mlip")))
     df = rows.withColumns({
         "_uses_mlip": uses_mlip,
-        "_reach": step["_reach"],
+        "_reach": ~only_hl & (only_dft | (has_mlip & (mode != "always_mlip"))),
         "_first": decide_before("mlip_risk", F.when(F.col("use_screen"), F.col("cheap_screen")), "t1", "t_screen", "screen_all"),
     })
     df = df.withColumn("_early", F.col("_reach") & ~only_dft & (F.col("_first.action") == "accept_mlip"))
@@ -127,10 +125,10 @@ def replay_paths(rows: DataFrame, tolerance: float) -> DataFrame:
         "purchased": F.array_compact(F.array(*[F.when(bought[s], F.lit(s)) for s in STEPS])),
     })
     helpers = ["_uses_mlip", "_reach", "_first", "_early", "_dft", "_later", "_second", "_hl", "_outcome"]
-    return with_score(df.select(
+    return with_score(settle(df.select(
         *[c for c in df.columns if c not in helpers and c != "purchased"], "_outcome.*", "purchased",
         F.col("_dft").alias("ran_dft"), F.col("_hl").alias("ran_high_level"),
-    ), tolerance)
+    )), tolerance)
 
 
 def with_score(df: DataFrame, tolerance: float) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import blind_by_label, error_decomposition, is_true, target_labels
-from ..operators.features import feature_column
+from ..operators.features import feature_column, fit_preprocessor
 from ..operators.fingerprints import multiset_fingerprint
 from ..operators.ledger import apply_ledger, charges, purchases
 from ..operators.metrics import (
@@ -134,11 +134,15 @@ def fingerprint(rows: DataFrame) -> str:
 
 
 def fit_models(train: DataFrame, calibration: DataFrame, config: StudyConfig) -> dict[str, RiskModel]:
-    """The four risk models, fitted on train and calibrated on disjoint rows."""
+    """The four risk models, fitted on train and calibrated on disjoint rows.
+
+    Preprocessing is per feature, so one pass serves every model.
+    """
+    prepared = fit_preprocessor(train, config.features, STAGE_DFT)
     models = {}
     for name, (features, stage, target) in config.model_definitions.items():
         label = f"label_{target}"
-        fitted = fit_risk_model(train, features, stage, label, config.l2)
+        fitted = fit_risk_model(train, features, stage, label, config.l2, prepared.subset(features, stage))
         models[name] = calibrate(fitted, calibration, label)
     return models
 
@@ -231,15 +235,21 @@ def verify_artifact(rows: DataFrame, artifact: Artifact) -> None:
         raise ValueError(f"frozen study does not fit this table: {broken}")
 
 
+def scored_test_rows(rows: DataFrame, artifact: Artifact) -> DataFrame:
+    """Eligible test rows with every model's risk, the labels and the blind flag."""
+    config = artifact.config
+    eligible, _ = split_eligible(rows, config)
+    test_ids = artifact.split.where(F.col("partition") == "test").select("id")
+    test = with_risks(study_frame(eligible, config).join(test_ids, "id", "left_semi"), artifact.models)
+    return test.withColumn("blind", blind_by_label(config.surrogate_tolerance, config.reference_tolerance))
+
+
 def evaluate_study(rows: DataFrame, artifact: Artifact, order_by: str = "ord", verify: bool = True) -> Evaluation:
     """All test-set reports of a frozen study."""
     config = artifact.config
     if verify:
         verify_artifact(rows, artifact)
-    eligible, _ = split_eligible(rows, config)
-    test_ids = artifact.split.where(F.col("partition") == "test").select("id")
-    test = with_risks(study_frame(eligible, config).join(test_ids, "id", "left_semi"), artifact.models)
-    test = cut_lineage(test.withColumn("blind", blind_by_label(config.surrogate_tolerance, config.reference_tolerance)))
+    test = cut_lineage(scored_test_rows(rows, artifact))
 
     parts = [_long(blind_rate(test, "blind"), "reference_blind")]
     for name, (_, _, target) in config.model_definitions.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, is_true, orbital_gap, spin_contamination
+from ..functions.columns import col, is_true, let, orbital_gap, spin_contamination
 from ..records import ANGSTROM_PER_BOHR, EV_PER_HARTREE
 from .text import NUMBER, last_number, lines_of, to_number
 
@@ -44,23 +44,30 @@ def orbital_table_gap(text) -> Column:
     after = F.split(text, ORBITAL_TITLE)[1]
     tables = F.slice(F.split(after, ORBITAL_HEADER), 2, 1_000_000)
 
-    def channel(part: Column) -> Column:
-        """Rows from the first orbital row up to the first other non-blank line."""
-        lines = lines_of(part)
-        kinds = F.concat_ws("", F.transform(lines, lambda l: F.when(l.rlike(ORBITAL_ROW), "r").when(F.trim(l) == "", "b").otherwise("x")))
-        start = F.instr(kinds, "r")
+    def kind(line: Column) -> Column:
+        return F.when(line.rlike(ORBITAL_ROW), "r").when(F.trim(line) == "", "b").otherwise("x")
+
+    def rows(lines: Column, kinds: Column, start: Column) -> Column:
+        """From the first orbital row up to the first other non-blank line."""
         stop = F.locate("x", F.substring(kinds, start, F.length(kinds)))
         length = F.when(stop > 0, stop - 1).otherwise(F.size(lines))
-        rows = F.when(start > 0, F.filter(F.slice(lines, F.greatest(start, F.lit(1)), length), lambda l: l.rlike(ORBITAL_ROW)))
-        return F.transform(rows, lambda l: F.struct(
+        return F.filter(F.slice(lines, F.greatest(start, F.lit(1)), length), lambda l: l.rlike(ORBITAL_ROW))
+
+    def channel(part: Column) -> Column:
+        found = let(lines_of(part), lambda lines: let(
+            F.concat_ws("", F.transform(lines, kind)), lambda kinds: let(
+                F.instr(kinds, "r"), lambda start: F.when(start > 0, rows(lines, kinds, start)))))
+        return F.transform(found, lambda l: F.struct(
             to_number(F.regexp_extract(l, ORBITAL_ROW, 1)).alias("occ"), to_number(F.regexp_extract(l, ORBITAL_ROW, 3)).alias("ev")))
 
-    channels = F.filter(F.transform(tables, channel), lambda c: F.size(c) > 0)
-    whole = F.forall(channels, lambda c: F.forall(c, lambda r: F.abs(r["occ"] - F.round(r["occ"])) <= 1e-5))
-    gaps = F.transform(channels, lambda c: orbital_gap(F.transform(c, lambda r: r["ev"]), F.transform(c, lambda r: r["occ"])))
+    def smallest(channels: Column) -> Column:
+        whole = F.forall(channels, lambda c: F.forall(c, lambda r: F.abs(r["occ"] - F.round(r["occ"])) <= 1e-5))
+        return let(
+            F.transform(channels, lambda c: orbital_gap(F.transform(c, lambda r: r["ev"]), F.transform(c, lambda r: r["occ"]))),
+            lambda gaps: F.when((F.size(channels) > 0) & is_true(whole) & F.forall(gaps, lambda g: g.isNotNull()), F.array_min(gaps)))
+
     usable = (_count(text, SMEARED) == 0) & (F.regexp_count(text, F.lit(ORBITAL_TITLE)) == 1)
-    complete = (F.size(channels) > 0) & whole & F.forall(gaps, lambda g: g.isNotNull())
-    return F.when(usable & is_true(complete), F.array_min(gaps))
+    return F.when(usable, let(F.filter(F.transform(tables, channel), lambda c: F.size(c) > 0), smallest))
 
 
 def extract_run_logs(logs: DataFrame, text: str = "text", multiplicity: str = "multiplicity") -> DataFrame:
