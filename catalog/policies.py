@@ -111,7 +111,7 @@ def _(t):
 @query("ledger_dedupe", f"""WITH {sql_paths(POLICIES)}, {SQL_LEDGER} SELECT policy_id, id AS row_id, SUM(cost)::DOUBLE AS cost FROM payers GROUP BY 1, 2""")
 def _(t):
     paths = replay.run_policies(rows_with_operations(t), POLICIES, S.DECISION_TOL)
-    return ledger.charges(ledger.purchases(paths, ["policy_id"], "ord"), ["policy_id"])
+    return ledger.charges(ledger.purchases(paths, ["policy_id"], "ord"), ["policy_id"]).withColumnRenamed("row_no", "row_id")
 
 
 @query("ledger_budgeted")
@@ -132,8 +132,11 @@ pc AS (SELECT policy_id, COUNT(*) FILTER (c IS NOT NULL AND ABS(r) > u) AS pairs
 SELECT name, n, {SQL_ROUNDED}, pairs_resolved, pairs_unresolved, ROUND(ok / NULLIF(pairs_resolved, 0), 6) AS pairwise_ordering_accuracy FROM summary JOIN pc USING (policy_id)""")
 def _(t):
     paths = replay.run_policies(rows_with_operations(t), POLICIES, S.DECISION_TOL)
-    paid = cut_lineage(ledger.apply_ledger(paths, ledger.charges(ledger.purchases(paths, ["name"], "ord"), ["name"]), ["name"], S.DECISION_TOL))
-    return summary_columns(replay.replay_summary(paid, ["name"]))
+    keys = ["policy_id"]
+    charged = ledger.charges(ledger.purchases(paths, keys, "ord"), keys)
+    paid = cut_lineage(ledger.apply_ledger(paths, charged, keys, S.DECISION_TOL).drop("operations", "costs"))
+    names = F.lit([d["name"] for d in POLICIES])
+    return summary_columns(replay.replay_summary(paid, keys)).withColumn("name", F.element_at(names, F.col("policy_id") + 1)).drop("policy_id")
 
 
 @query("policy_grid", f"""WITH {sql_paths(GRID)}, {SQL_LEDGER}, {SQL_SUMMARY} SELECT policy_id, name, definition_digest, n, {SQL_ROUNDED} FROM summary""")

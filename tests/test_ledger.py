@@ -28,7 +28,7 @@ def make(spark, ledgers):
     for name, purchases in ledgers.items():
         for i, (row, step, ops) in enumerate(purchases):
             rows.append((name, row, step, row * 8 + step, ops))
-    return spark.createDataFrame(rows, "book string, row_id long, step_no int, seq long, operations map<string,double>").repartition(4)
+    return spark.createDataFrame(rows, "book string, row_no long, step_no int, seq long, operations map<string,double>").repartition(4)
 
 
 def random_ledger(rng, n, ops):
@@ -43,7 +43,7 @@ def random_ledger(rng, n, ops):
 def test_each_operation_is_paid_once_by_the_first(spark):
     rng = random.Random(1)
     books = {f"b{i}": random_ledger(rng, 12, 15) for i in range(6)}
-    got = {(r.book, r.row_id): r.cost for r in ledger.charges(make(spark, books), ["book"]).collect()}
+    got = {(r.book, r.row_no): r.cost for r in ledger.charges(make(spark, books), ["book"]).collect()}
     for name, purchases in books.items():
         want, _ = sequential(purchases)
         for row, cost in want.items():
@@ -62,7 +62,7 @@ def test_budget_matches_the_sequential_walk(spark, budget):
     rng = random.Random(int(budget * 10))
     books = {f"b{i}": random_ledger(rng, 14, 18) for i in range(12)}
     books["tight"] = [(0, 1, {"a": 2.0}), (1, 1, {"a": 2.0}), (2, 1, {"b": 1.0, "c": 1.0}), (3, 1, {"b": 1.0})]
-    got = {(r.book, r.row_id): r for r in ledger.charge_with_budget(make(spark, books), ["book"], budget).collect()}
+    got = {(r.book, r.row_no): r for r in ledger.charge_with_budget(make(spark, books), ["book"], budget).collect()}
     for name, purchases in books.items():
         cost, refused = sequential(purchases, budget)
         for row in cost:

@@ -134,7 +134,7 @@ def mark_duplicates(observables: DataFrame, order_by: str = "id", terms: str = "
     """``duplicate_of`` = first observable with the same multiset of (species, coefficient), else NULL."""
     key = F.sha2(F.to_json(F.array_sort(terms)), 256)
     keyed = observables.withColumn("_key", key)
-    first = keyed.groupBy("_key").agg(F.min(F.struct(F.col(order_by).alias("o"), F.col("id").alias("id"))).alias("_first"))
+    first = keyed.groupBy("_key").agg(F.min_by("id", order_by).alias("_first"))
     return keyed.join(first, "_key").withColumn(
-        "duplicate_of", F.when(F.col("_first.id") != F.col("id"), F.col("_first.id"))
+        "duplicate_of", F.when(F.col("_first") != F.col("id"), F.col("_first"))
     ).drop("_key", "_first")

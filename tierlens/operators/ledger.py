@@ -1,7 +1,9 @@
 """Charging shared operations once per ledger, with or without a budget.
 
-A purchase table has one row per (ledger keys, row_id, step) with ``seq`` (a number giving the order in which
-purchases happen inside their ledger) and ``operations`` (operation key -> cost).
+A purchase table has one row per (ledger keys, row_no, step_no): ``row_no`` orders the rows of a ledger and is
+unique in it, ``seq`` = 8 row_no + step_no orders its purchases, ``operations`` maps operation keys to costs.
+One number identifies a purchase, so finding the first buyer of an operation is a ``min`` of a long that
+combines before the shuffle.
 """
 
 from __future__ import annotations
@@ -22,31 +24,35 @@ _SLACK = "cast('0.000000000001' as decimal(28,12))"
 
 def purchases(paths: DataFrame, keys: Sequence[str], order_by: str) -> DataFrame:
     """Purchased steps of replayed rows -> purchase table in row order, then step order."""
-    offers = F.array(*[
-        F.struct(F.lit(name).alias("step"), F.lit(i).alias("step_no"), stage_operations(STAGE_OF_STEP[name]).alias("operations"))
-        for i, name in enumerate(STEPS, start=1)])
-    taken = F.filter(offers, lambda o: F.array_contains("purchased", o["step"]))
-    return paths.select(*keys, "id", order_by, F.inline(taken)).select(
-        *keys, F.col("id").alias("row_id"), "step", "step_no",
-        (F.col(order_by).cast("long") * 8 + F.col("step_no")).alias("seq"), "operations",
-    )
+    steps = paths.select(*keys, F.col("id"), F.col(order_by).cast("long").alias("row_no"), "operations", "costs",
+                         F.explode("purchased").alias("_step"))
+    number = F.lit(None).cast("int")
+    bought = F.lit(None).cast("map<string,double>")
+    for i, name in reversed(list(enumerate(STEPS, start=1))):
+        number = F.when(F.col("_step") == name, i).otherwise(number)
+        bought = F.when(F.col("_step") == name, stage_operations(STAGE_OF_STEP[name])).otherwise(bought)
+    return steps.select(*keys, "row_no", number.alias("step_no"), bought.alias("operations")).withColumn(
+        "seq", F.col("row_no") * 8 + F.col("step_no"))
 
 
 def _lines(bought: DataFrame, keys) -> DataFrame:
-    return bought.select(*keys, "row_id", "step_no", "seq", F.explode("operations").alias("op", "cost")).withColumn(
-        "cost", F.col("cost").cast(MONEY))
+    return bought.select(*keys, "seq", F.explode("operations").alias("op", "cost"))
 
 
 def first_buyers(bought: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each (ledger, operation) with the purchase that pays for it.
 
-    Without a budget nothing a row does depends on the ledger, so the payer is simply the earliest purchase:
-    one aggregation that combines before the shuffle, however popular an operation is.
+    Without a budget nothing a row does depends on the ledger, so the payer is simply the earliest purchase,
+    however popular an operation is.
     """
-    payer = F.min(F.struct("seq", "row_id", "step_no"))
-    return _lines(bought, keys).groupBy(*keys, "op").agg(
-        payer.alias("_p"), F.min("cost").alias("cost"), F.max("cost").alias("_hi"), F.count("*").alias("uses")
-    ).select(*keys, "op", "_p.*", "cost", "uses", (F.col("cost") != F.col("_hi")).alias("inconsistent"))
+    first = _lines(bought, keys).groupBy(*keys, "op").agg(
+        F.min("seq").alias("seq"), F.min("cost").alias("_lo"), F.max("cost").alias("_hi"), F.count("*").alias("uses"))
+    return first.select(
+        *keys, "op", *_purchase_of(), F.col("_lo").cast(MONEY).alias("cost"), "uses", (F.col("_lo") != F.col("_hi")).alias("inconsistent"))
+
+
+def _purchase_of() -> list:
+    return [F.col("seq"), F.expr("seq div 8").alias("row_no"), F.expr("cast(seq % 8 as int)").alias("step_no")]
 
 
 def price_conflicts(bought: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -55,14 +61,14 @@ def price_conflicts(bought: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def charges(bought: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(ledger, row_id, cost): what each row adds to its ledger when nothing is refused."""
-    return first_buyers(bought, keys).groupBy(*keys, "row_id").agg(F.sum("cost").cast("double").alias("cost"))
+    """(ledger, row_no, cost): what each row adds to its ledger when nothing is refused."""
+    return first_buyers(bought, keys).groupBy(*keys, "row_no").agg(F.sum("cost").cast("double").alias("cost"))
 
 
 def ledger_totals(bought: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(ledger, total_cost) straight from the distinct operations, without attributing them to rows."""
     per_op = _lines(bought, keys).groupBy(*keys, "op").agg(F.min("cost").alias("cost"))
-    return per_op.groupBy(*keys).agg(F.sum("cost").cast("double").alias("total_cost"))
+    return per_op.groupBy(*keys).agg(F.sum(F.col("cost").cast(MONEY)).cast("double").alias("total_cost"))
 
 
 def grid_totals(rows: DataFrame, paths: DataFrame, first_policy: int, policies: int) -> DataFrame:
@@ -80,14 +86,14 @@ def grid_totals(rows: DataFrame, paths: DataFrame, first_policy: int, policies:
         F.struct(stage_operations(STAGE_OF_STEP[s]).alias("ops"), F.col(f"_m_{s}").alias("mask")) for s in STEPS])
     lines = rows.select("id", "operations", "costs").join(masks, "id").select(F.explode(steps).alias("_s")).where("_s.mask <> 0")
     per_op = lines.select("_s.mask", F.explode("_s.ops").alias("op", "cost")).groupBy("op").agg(
-        F.bit_or("mask").alias("mask"), F.min(F.col("cost").cast(MONEY)).alias("cost"))
+        F.bit_or("mask").alias("mask"), F.min("cost").alias("cost"))
     spread = per_op.select("cost", "mask", F.explode(F.sequence(F.lit(0), F.lit(policies - 1))).alias("_p"))
     return spread.where(F.expr("shiftright(mask, _p) & 1") == 1).groupBy((F.col("_p") + first_policy).alias("policy_id")).agg(
-        F.sum("cost").cast("double").alias("total_cost"))
+        F.sum(F.col("cost").cast(MONEY)).cast("double").alias("total_cost"))
 
 
 def charge_with_budget(bought: DataFrame, keys: Sequence[str], budget: float, max_rounds: int = 10_000) -> DataFrame:
-    """(ledger, row_id, cost, refused_step_no): purchases in ``seq`` order under a budget per ledger.
+    """(ledger, row_no, cost, refused_step_no): purchases in ``seq`` order under a budget per ledger.
 
     A purchase that does not fit is refused whole and ends its row; cheaper ones later may still fit.  The
     outcome is found in rounds over *all* ledgers at once instead of by walking them:
@@ -102,7 +108,7 @@ def charge_with_budget(bought: DataFrame, keys: Sequence[str], budget: float, ma
     keys = list(keys)
     if budget < 0:
         raise ValueError("budget must be non-negative")
-    row_keys = [*keys, "row_id"]
+    row_keys = [*keys, "row_no"]
     limit = F.expr(f"cast({budget!r}D as {MONEY}) + {_SLACK}")
     edges = value_edges(bought, "seq")  # later rounds only hold fewer purchases
     pending = cut_lineage(_lines(bought, keys))
@@ -111,9 +117,8 @@ def charge_with_budget(bought: DataFrame, keys: Sequence[str], budget: float, ma
     for _ in range(max_rounds):
         if pending.isEmpty():
             break
-        first = cut_lineage(pending.groupBy(*keys, "op").agg(
-            F.min(F.struct("seq", "row_id", "step_no")).alias("_p"), F.min("cost").alias("cost")
-        ).select(*keys, "op", "_p.*", "cost"))
+        first = cut_lineage(pending.groupBy(*keys, "op").agg(F.min("seq").alias("seq"), F.min("cost").alias("cost")).select(
+            *keys, "op", *_purchase_of(), F.col("cost").cast(MONEY).alias("cost")))
         priced = first.groupBy(*row_keys, "step_no", "seq").agg(F.sum("cost").cast("decimal(38,12)").alias("price"))
         lined = running(priced, "seq", sums={"upto": "price"}, keys=keys, edges=edges)
         lined = lined.withColumn("spent", F.lit(0).cast("decimal(38,12)")) if spent is None else lined.join(spent, keys)
@@ -133,8 +138,9 @@ def charge_with_budget(bought: DataFrame, keys: Sequence[str], budget: float, ma
         ended = judged.where(~F.col("paid")).groupBy(*row_keys).agg(F.min("step_no").alias("refused_step_no"))
         open_ledgers = state.where(F.col("stop").isNotNull()).select(*keys)
         pending = pending.join(open_ledgers, keys, "left_semi").join(owned, [*keys, "op"], "left_anti")
-        pending = cut_lineage(pending.join(ended, row_keys, "left").where(
-            F.col("refused_step_no").isNull() | (F.col("step_no") < F.col("refused_step_no"))).drop("refused_step_no"))
+        pending = pending.withColumn("row_no", F.expr("seq div 8")).join(ended, row_keys, "left").where(
+            F.col("refused_step_no").isNull() | (F.col("seq") % 8 < F.col("refused_step_no")))
+        pending = cut_lineage(pending.select(*keys, "seq", "op", "cost"))
         spent = state.select(*keys, "spent")
     else:
         raise RuntimeError("budget rounds did not finish")
@@ -147,10 +153,15 @@ def charge_with_budget(bought: DataFrame, keys: Sequence[str], budget: float, ma
         F.min(F.when(~F.col("paid"), F.col("step_no"))).alias("refused_step_no"))
 
 
-def apply_ledger(paths: DataFrame, charged: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
+def apply_ledger(paths: DataFrame, charged: DataFrame, keys: Sequence[str], tolerance: float, order_by: str = "ord") -> DataFrame:
     """Replayed rows with their cost; a refused purchase turns the row into an abstention at that step."""
     keys = list(keys)
-    joined = paths.join(charged.withColumnRenamed("row_id", "id"), [*keys, "id"], "left")
+    charged = charged.withColumnRenamed("row_no", "_row_no")
+    same = F.col(order_by).cast("long") == F.col("_row_no")
+    for k in keys:
+        charged = charged.withColumnRenamed(k, f"_{k}")
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    joined = paths.join(charged, same, "left").drop("_row_no", *[f"_{k}" for k in keys])
     joined = joined.withColumn("cost", F.coalesce("cost", F.lit(0.0)))
     if "refused_step_no" not in charged.columns:
         return joined

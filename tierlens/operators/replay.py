@@ -121,7 +121,9 @@ def policy_grid(
 ) -> DataFrame:
     """One summary row per definition, each with a ledger of its own."""
     keys = ["policy_id", "name", "definition_digest"]
-    paths = run_policies(scored, definitions, tolerance, use_diagnostics, use_reference_screen)
+    # the replayed copies stay narrow: operation maps are read once per row, by grid_totals
+    narrow = scored.drop("operations", "costs", "mlip_features", "dft_features")
+    paths = run_policies(narrow, definitions, tolerance, use_diagnostics, use_reference_screen)
     totals = None
     for start in range(0, len(definitions), 62):
         count = min(62, len(definitions) - start)

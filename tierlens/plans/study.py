@@ -259,9 +259,12 @@ def evaluate_study(rows: DataFrame, artifact: Artifact, order_by: str = "ord", v
         parts.append(_long(regression_report(test, a, b), "regression", F.lit(label)))
 
     paths = run_policies(test, artifact.selected, config.decision_tolerance, config.uses_diagnostics, config.uses_reference_screen)
-    keys = ["name"]
-    decisions = cut_lineage(apply_ledger(paths, charges(purchases(paths, keys, order_by), keys), keys, config.decision_tolerance))
-    summary = cut_lineage(replay_summary(decisions, keys, config.cost_weight, config.cost_scale))
+    keys = ["policy_id"]
+    decisions = cut_lineage(apply_ledger(
+        paths, charges(purchases(paths, keys, order_by), keys), keys, config.decision_tolerance, order_by).drop("operations", "costs"))
+    names = F.lit([d["name"] for d in artifact.selected])
+    summary = cut_lineage(replay_summary(decisions, keys, config.cost_weight, config.cost_scale).withColumn(
+        "name", F.element_at(names, F.col("policy_id") + 1)).drop("policy_id"))
     parts.append(_long(summary, "policies", "name"))
     frontier = pareto_frontier(summary.withColumn("_risk", 1 - F.col("accuracy_all_cases")), "mean_cost", "_risk")
     share = lambda p: F.max(F.when(F.col("name") == p, F.col("correct").cast("double")))
