@@ -29,13 +29,14 @@ def is_true(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Evaluate the columns here, once per row.
+def settle(df: DataFrame, keep=()) -> DataFrame:
+    """Evaluate the columns here, once per row (``keep``: plain input columns that need no such fence).
 
     Without it a filter on a deeply derived column is pushed down as one expression that repeats every step
     it was built from.
     """
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
+    derived = [c for c in df.columns if c not in keep]
+    return df.select(*[c for c in df.columns if c in keep], F.inline(F.array(F.struct(*derived))))
 
 
 def let(value: Column, body) -> Column:

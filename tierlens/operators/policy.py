@@ -128,7 +128,7 @@ def replay_paths(rows: DataFrame, tolerance: float) -> DataFrame:
     return with_score(settle(df.select(
         *[c for c in df.columns if c not in helpers and c != "purchased"], "_outcome.*", "purchased",
         F.col("_dft").alias("ran_dft"), F.col("_hl").alias("ran_high_level"),
-    )), tolerance)
+    ), keep=rows.columns), tolerance)
 
 
 def with_score(df: DataFrame, tolerance: float) -> DataFrame:

@@ -108,8 +108,13 @@ def run_policies(
     scored: DataFrame, definitions: Sequence[dict], tolerance: float, use_diagnostics: bool = True,
     use_reference_screen: bool = True,
 ) -> DataFrame:
-    """Replay rows (with risk_surrogate, risk_total, reference_risk) under every definition."""
-    staged = choose_risk(with_policies(scored, definitions)).withColumns({
+    """Replay rows (with risk_surrogate, risk_total, reference_risk) under every definition.
+
+    Every row turns into one per definition, so rows are first spread evenly by id; per-row aggregations over
+    the definitions then need no further shuffle.
+    """
+    spread = scored.repartition("id") if len(definitions) > 1 else scored
+    staged = choose_risk(with_policies(spread, definitions)).withColumns({
         "use_diagnostics": F.lit(use_diagnostics), "use_reference_screen": F.lit(use_reference_screen)})
     return replay_paths(staged, tolerance)
 
