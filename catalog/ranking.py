@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tierlens.operators import features, metrics, ordered, pairs
+from tierlens.plans.lineage import cut_lineage
 
 from . import views as S
 from .basics import COMPLETE, SQL_LABELLED, complete, labelled
@@ -228,7 +229,7 @@ SELECT m.feature, rows, known, ROUND(COALESCE(median, 0), 6) AS median, ROUND(AV
   ROUND(CASE WHEN STDDEV_POP(COALESCE(value, median, 0)) < 1e-12 THEN 1 ELSE STDDEV_POP(COALESCE(value, median, 0)) END, 6) AS scale, known = 0 AS all_missing
 FROM l JOIN m ON l.feature = m.feature GROUP BY m.feature, rows, known, median""")
 def _(t):
-    return rounded(features.preprocessor_table(S.study(t), FEATURES), 6)
+    return rounded(features.preprocessor_table(cut_lineage(S.study(t).select(*FEATURES)), FEATURES), 6)
 
 
 SQL_STATS = ", ".join(
@@ -239,7 +240,7 @@ SQL_STATS = ", ".join(
 st AS (SELECT {', '.join(f'ANY_VALUE(m_{f}) AS m_{f}, AVG(COALESCE({f}, m_{f})) AS a_{f}, STDDEV_POP(COALESCE({f}, m_{f})) AS d_{f}' for f in FEATURES)} FROM study, med)
 SELECT id, {', '.join(f'ROUND((COALESCE({f}, m_{f}) - a_{f}) / d_{f}, 6) AS z_{f}, ({f} IS NULL)::INT::DOUBLE AS missing_{f}' for f in FEATURES)} FROM study, st""")
 def _(t):
-    rows = S.study(t)
+    rows = cut_lineage(S.study(t).select("id", *FEATURES))
     fitted = features.fit_preprocessor(rows, FEATURES, 1)
     out = fitted.apply(rows)
     return out.select("id", *[F.round(f"z_{f}", 6).alias(f"z_{f}") for f in FEATURES], *[f"missing_{f}" for f in FEATURES])

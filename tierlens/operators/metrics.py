@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..plans.lineage import cut_lineage
 from .ordered import kth_smallest, ranking_aggregates, running, score_ranking, value_edges
 
 
@@ -144,7 +145,7 @@ def fit_conformal(df: DataFrame, residual: str, group: str, alpha: float = 0.1)
     """One row (groups, rank, quantile, bounded): order statistic of each group's worst absolute residual."""
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie strictly between 0 and 1")
-    worst = df.groupBy(group).agg(F.max(F.abs(residual)).alias("_worst"))
+    worst = cut_lineage(df.groupBy(group).agg(F.max(F.abs(residual)).alias("_worst")))  # one row per group
     groups = worst.count()
     rank = math.ceil((groups + 1) * (1 - alpha))
     found = kth_smallest(worst, "_worst", rank)
@@ -178,9 +179,14 @@ def _numbered_groups(per_group: DataFrame, group: str) -> DataFrame:
     return ranked.withColumn("_index", F.col("_n") - 1).drop("_h", "_one", "_n")
 
 
+def _per_group(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(group, _sum, _count), written once: counting, numbering and drawing all start from it."""
+    return cut_lineage(df.groupBy(group).agg(F.sum(value).alias("_sum"), F.count(value).alias("_count")))
+
+
 def bootstrap_replicates(
     df: DataFrame, value: str, group: str, repetitions: int, seed: int,
-    statistic: Callable[[Column, Column], Column] | None = None,
+    statistic: Callable[[Column, Column], Column] | None = None, per_group: DataFrame | None = None,
 ) -> DataFrame:
     """(replicate, statistic): groups drawn with replacement, each draw weighting all rows of its group.
 
@@ -189,7 +195,7 @@ def bootstrap_replicates(
     """
     if repetitions < 2:
         raise ValueError("at least two repetitions are needed")
-    per_group = df.groupBy(group).agg(F.sum(value).alias("_sum"), F.count(value).alias("_count"))
+    per_group = _per_group(df, value, group) if per_group is None else per_group
     groups = per_group.count()
     if groups < 2:
         raise ValueError("bootstrap needs at least two independent clusters")
@@ -213,13 +219,15 @@ def cluster_bootstrap(
     if not 0 < confidence < 1:
         raise ValueError("confidence must lie strictly between 0 and 1")
     tail = (1 - confidence) / 2
-    replicates = bootstrap_replicates(df, value, group, repetitions, seed, statistic)
+    per_group = _per_group(df, value, group)
+    replicates = bootstrap_replicates(df, value, group, repetitions, seed, statistic, per_group)
     # as many values as repetitions, a parameter: the exact built-in percentile holds them
     interval = replicates.agg(
         F.percentile("statistic", F.lit(tail)).alias("lower"), F.percentile("statistic", F.lit(1 - tail)).alias("upper"),
-        F.count("*").alias("repetitions"))
-    point = F.avg(value) if statistic is None else statistic(F.col(value), F.lit(1))
-    estimate = df.agg(point.alias("estimate"), F.count_distinct(group).alias("groups"))
-    one = F.lit(1).alias("_k")
-    return estimate.select("*", one).join(interval.select("*", one), "_k").select(
+        F.count("*").alias("repetitions"), F.lit(1).alias("_k"))
+    sizes = per_group.agg((F.sum("_sum") / F.sum("_count")).alias("estimate"), F.count("*").alias("groups"), F.lit(1).alias("_k"))
+    if statistic is not None:
+        own = df.agg(statistic(F.col(value), F.lit(1)).alias("estimate"), F.lit(1).alias("_k"))
+        sizes = sizes.drop("estimate").join(own, "_k")
+    return sizes.join(interval, "_k").select(
         "estimate", "lower", "upper", F.lit(confidence).alias("confidence"), "groups", "repetitions")

@@ -35,7 +35,7 @@ def grouped_split(rows: DataFrame, row_id="id", group="group_id", seed: int = 42
     spread over up to 4096 tasks and does not depend on input order.
     """
     fractions = dict(fractions or DEFAULT_FRACTIONS)
-    groups = rows.groupBy(F.col(group).alias("_g")).agg(F.lit(1).alias("_one"))
+    groups = cut_lineage(rows.select(F.col(group).alias("_g")).distinct()).withColumn("_one", F.lit(1))
     sizes = partition_sizes(groups.count(), fractions)
     digest = F.sha2(F.concat(F.lit(f"{seed}|"), F.col("_g").cast("string")), 256)
     ranked = running(

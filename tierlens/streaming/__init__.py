@@ -1,0 +1,5 @@
+"""No stream operators: the work covered here has no time, watermark or windowed semantics.
+
+Everything in :mod:`tierlens.functions` is a stateless column expression and applies unchanged to a streaming
+DataFrame.
+"""
