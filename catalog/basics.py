@@ -72,8 +72,8 @@ def _(t):
 
 @query("blind_rate", f"""WITH {S.SQL_STUDY}, flagged AS (
   SELECT *, ABS(mlip - dft) <= 3000 AND ABS(dft - reference) >= 100000 AS blind FROM study WHERE {COMPLETE})
-SELECT priority, COUNT(*) AS n, SUM(blind::INT) AS blind_count, ROUND(AVG(blind::INT::DOUBLE), 9) AS blind_fraction,
-  SUM((reference_uncertainty IS NULL)::INT) AS uncertainty_missing
+SELECT priority, COUNT(*) AS n, SUM(blind::INT)::BIGINT AS blind_count, ROUND(AVG(blind::INT::DOUBLE), 9) AS blind_fraction,
+  SUM((reference_uncertainty IS NULL)::INT)::BIGINT AS uncertainty_missing
 FROM flagged GROUP BY priority""")
 def blind_rate(t):
     d = C.error_decomposition("mlip", "dft", "reference")
@@ -93,7 +93,7 @@ def _(t):
   UNION ALL SELECT id, 'reference uncertainty makes a training target ambiguous' FROM labelled
     WHERE {COMPLETE} AND reference_quality = 'reviewed'
       AND (label_surrogate IS NULL OR label_reference IS NULL OR label_total IS NULL))
-SELECT COALESCE(reason, 'eligible') AS reason, COUNT(*) AS n, SUM(labelled.id) AS id_sum
+SELECT COALESCE(reason, 'eligible') AS reason, COUNT(*) AS n, SUM(labelled.id)::BIGINT AS id_sum
 FROM labelled LEFT JOIN r ON labelled.id = r.id GROUP BY 1""")
 def _(t):
     judged = with_eligibility(S.study(t), CONFIG)

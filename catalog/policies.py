@@ -180,7 +180,7 @@ def parted(t):
     return cut_lineage(rows.join(split_of(t).select("id", "partition"), "id"))
 
 
-@query("fit_logistic", f"""{SQL_PARTED} SELECT COUNT(*) AS n, ROUND(AVG(label_surrogate), 6) AS mean_probability, SUM(label_surrogate) AS positives FROM parted""")
+@query("fit_logistic", f"""{SQL_PARTED} SELECT COUNT(*) AS n, ROUND(AVG(label_surrogate), 6) AS mean_probability, SUM(label_surrogate)::BIGINT AS positives FROM parted""")
 def _(t):
     rows = parted(t)
     fitted = models.fit_logistic(rows, ["ood_distance", "scf_cycles"], "label_surrogate")

@@ -45,7 +45,7 @@ def _(t):
 
 @query("risk_coverage", f"""WITH {S.SQL_SCORED}, c AS (
   SELECT s, SUM(SUM(y)) OVER (ORDER BY s)::DOUBLE AS lost, SUM(COUNT(*)) OVER (ORDER BY s) AS accepted, SUM(COUNT(*)) OVER () AS total FROM scored GROUP BY s)
-SELECT ROUND(accepted / total, 9) AS coverage, ROUND(lost / accepted, 9) AS risk, ROUND(s, 9) AS threshold, accepted FROM c""")
+SELECT ROUND(accepted / total, 9) AS coverage, ROUND(lost / accepted, 9) AS risk, ROUND(s, 9) AS threshold, accepted::BIGINT AS accepted FROM c""")
 def _(t):
     return rounded(ordered.risk_coverage(S.scored_documents(t), "y", "s"))
 
@@ -99,7 +99,7 @@ def _(t):
 
 
 @query("classification_report", f"""WITH {S.SQL_SCORED}, b AS (SELECT {SQL_BINS} AS bin, COUNT(*) AS c, ABS(AVG(s) - AVG(y)) AS g FROM scored GROUP BY 1),
-c AS (SELECT COUNT(*) AS n, SUM(y) AS positives, ROUND(AVG(y), 9) AS prevalence, ROUND(AVG((s - y) * (s - y)), 9) AS brier,
+c AS (SELECT COUNT(*) AS n, SUM(y)::BIGINT AS positives, ROUND(AVG(y), 9) AS prevalence, ROUND(AVG((s - y) * (s - y)), 9) AS brier,
   COUNT(*) FILTER (s >= 0.5 AND y = 1) AS tp, COUNT(*) FILTER (s >= 0.5 AND y = 0) AS fp, COUNT(*) FILTER (s < 0.5 AND y = 1) AS fn, COUNT(*) FILTER (s < 0.5 AND y = 0) AS tn FROM scored)
 SELECT n, positives, prevalence, (SELECT auroc FROM ({sql_auroc('scored')})) AS auroc, (SELECT average_precision FROM ({sql_ap('scored')})) AS average_precision, brier,
   (SELECT ROUND(SUM(c * g) / SUM(c), 9) FROM b) AS ece, tp, fp, fn, tn, ROUND(tp / NULLIF(tp + fp, 0), 9) AS precision, ROUND(tp / NULLIF(tp + fn, 0), 9) AS recall FROM c""")
@@ -108,7 +108,7 @@ def _(t):
 
 
 @query("stratified_classification", f"""WITH {S.SQL_SCORED}, a AS ({sql_auroc('scored', 'lang')}), p AS ({sql_ap('scored', 'lang')})
-SELECT s.lang, COUNT(*) AS n, SUM(y) AS positives, auroc, average_precision, ROUND(AVG((s - y) * (s - y)), 9) AS brier
+SELECT s.lang, COUNT(*) AS n, SUM(y)::BIGINT AS positives, auroc, average_precision, ROUND(AVG((s - y) * (s - y)), 9) AS brier
 FROM scored s JOIN a ON a.lang = s.lang JOIN p ON p.lang = s.lang GROUP BY s.lang, auroc, average_precision""")
 def _(t):
     return rounded(metrics.classification_report(S.scored_documents(t), "y", "s", keys=["lang"])).select(
@@ -135,7 +135,7 @@ def _(t):
 
 @query("class_balance", f"""{SQL_LABELLED}, l AS (SELECT 'surrogate' AS target, status, label_surrogate AS y FROM labelled
   UNION ALL SELECT 'reference', status, label_reference FROM labelled UNION ALL SELECT 'total', status, label_total FROM labelled)
-SELECT target, status, COUNT(y) AS n, SUM(y) AS positives, MIN(y) = MAX(y) AS single_class FROM l GROUP BY target, status""")
+SELECT target, status, COUNT(y) AS n, SUM(y)::BIGINT AS positives, MIN(y) = MAX(y) AS single_class FROM l GROUP BY target, status""")
 def _(t):
     return metrics.class_balance(labelled(t), "status", {n: f"label_{n}" for n in ("surrogate", "reference", "total")})
 
@@ -177,7 +177,7 @@ SQL_PAIRED = f"SELECT group_id AS g, ABS(mlip - reference) - ABS(dft - reference
 
 @query("cluster_bootstrap", f"""WITH {S.SQL_STUDY}, {sql_bootstrap(SQL_PAIRED, 100)}
 SELECT ROUND((SELECT AVG(v) FROM vals), 4) AS estimate, ROUND(quantile_cont(statistic, 0.025::DOUBLE), 4) AS lower,
-  ROUND(quantile_cont(statistic, 0.975::DOUBLE), 4) AS upper, 0.95 AS confidence, (SELECT n FROM k) AS groups, COUNT(*) AS repetitions FROM reps""")
+  ROUND(quantile_cont(statistic, 0.975::DOUBLE), 4) AS upper, 0.95::DOUBLE AS confidence, (SELECT n FROM k) AS groups, COUNT(*) AS repetitions FROM reps""")
 def _(t):
     rows = complete(t).withColumn("delta", F.abs(F.col("mlip") - F.col("reference")) - F.abs(F.col("dft") - F.col("reference")))
     return rounded(metrics.cluster_bootstrap(rows, "delta", "group_id", repetitions=100, seed=42), 4)

@@ -44,7 +44,7 @@ def long_atoms(parsed):
                        *[F.col("a.positions_angstrom")[k].alias(c) for k, c in enumerate("xyz")])
 
 
-@query("read_xyz", f"""WITH {SQL_ATOMS} SELECT l_orderkey::VARCHAR AS path, NULL AS problem, atom, symbol, l_quantity AS x, l_discount AS y, l_tax AS z FROM atoms WHERE n <> 2
+@query("read_xyz", f"""WITH {SQL_ATOMS} SELECT l_orderkey::VARCHAR AS path, NULL::VARCHAR AS problem, atom, symbol, l_quantity AS x, l_discount AS y, l_tax AS z FROM atoms WHERE n <> 2
 UNION ALL SELECT DISTINCT l_orderkey::VARCHAR, 'atom count mismatch or several frames', NULL, NULL, NULL, NULL, NULL FROM atoms WHERE n = 2""")
 def _(t):
     n = F.size("atoms")
@@ -54,7 +54,7 @@ def _(t):
     return long_atoms(geometries.parse_xyz(texts))
 
 
-@query("read_coord_block", f"""WITH {SQL_ATOMS} SELECT l_orderkey::VARCHAR AS path, NULL AS problem, atom, symbol,
+@query("read_coord_block", f"""WITH {SQL_ATOMS} SELECT l_orderkey::VARCHAR AS path, NULL::VARCHAR AS problem, atom, symbol,
   l_quantity * f AS x, l_discount * f AS y, l_tax * f AS z FROM (SELECT *, CASE WHEN n >= 4 THEN 1.0::DOUBLE ELSE 0.529177210903::DOUBLE END AS f FROM atoms)""")
 def _(t):
     head = F.when(F.size("atoms") >= 4, "$coord angs").otherwise("$coord")
