@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_dedup
+from . import decontamination, language_id, mixing, sharding, simhash_dedup, token_counts
+from .tables import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +34,100 @@ def op6(spark, sf_dir):
     return found.select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"))
+
+
+def _mix_quality(spark, sf_dir: str, documents: DataFrame) -> DataFrame:
+    """``documents`` with ``_quality``: 2 for labelled good, 1/2 for labelled poor, 1 without a label."""
+    scratch = Scratch(spark, "quality")
+    labels = scratch.keep(table(spark, sf_dir, "labels").where("doc_id is not null").groupBy(F.col("doc_id").alias("_labelled")).agg(
+        F.max("quality").alias("_good")))
+    weight = F.when(F.col("_good") > 0, 2.0).when(F.col("_good") == 0, 0.5).otherwise(1.0)
+    return documents.join(labels, F.col("doc_id") == F.col("_labelled"), "left").withColumn("_quality", weight).drop("_labelled", "_good")
+
+
+@query("op1_mix_sources", """
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
+quality as (select doc_id, max(quality) as good from labels where doc_id is not null group by doc_id),
+drawn as (
+  select s.doc_id, s.source, s.size,
+    -ln((('0x' || substr(md5('42|' || coalesce(s.doc_id::varchar, 'null') || '|' || s.size), 1, 13))::bigint + 0.5) / 4503599627370496.0)
+      / (case when good > 0 then 2.0 when good = 0 then 0.5 else 1.0 end) as draw
+  from sized s left join quality q on s.doc_id = q.doc_id),
+sources as (
+  select source, sum(size) as source_size,
+    [3.0, 1.0, 2.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight
+  from drawn group by source),
+ratio as (select *, 2.0::double * source_size as cap, row_number() over (order by 2.0 * source_size / weight, source nulls last) as place from sources),
+level as (
+  select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by place rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by place rows between current row and unbounded following) as level from ratio),
+chosen as (select arg_min(level, place) as level from level where level * weight < cap),
+targets as (
+  select s.source, s.source_size, coalesce(least(s.cap, c.level * s.weight), s.cap) as target
+  from ratio s cross join chosen c),
+plan as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as epochs from targets),
+summed as (
+  select d.*, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size as rest,
+    sum(d.size) over (partition by d.source order by d.draw, d.doc_id, d.size range between unbounded preceding and current row) as upto,
+    sum(d.size) over (partition by d.source, d.draw, d.doc_id, d.size) as own
+  from drawn d join plan p on d.source is not distinct from p.source)
+select doc_id, size, source_size::bigint as source_size, target,
+  (size * (epochs + case when 2 * upto - own <= 2 * rest then 1 else 0 end))::bigint as taken
+from summed
+""")
+def op1(spark, sf_dir):
+    docs = _mix_quality(spark, sf_dir, table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix_sizes(docs, quality=F.col("_quality"))
+    return mixed.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op2_language_id")
+def op2(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_decontamination", """
+with words as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from documents),
+item_words as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from benchmark),
+windows as (
+  select distinct item_id, least(len(w), 10) as length, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as passage
+  from item_words, lateral (select unnest(range(1, len(w) - least(len(w), 10) + 2)) as i) where len(w) > 0),
+places as (
+  select doc_id, i, length, array_to_string(w[i:i + length - 1], ' ') as passage
+  from words, (select distinct length from windows) lengths, lateral (select unnest(range(1, len(w) - length + 2)) as i)),
+found as (select p.doc_id, p.i, p.length, w.item_id from places p join windows w using (length, passage)),
+hits as (select doc_id, count(distinct j) as n_hit from (select distinct doc_id, i, length from found), lateral (select unnest(range(i, i + length)) as j) group by doc_id),
+items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as listed from found group by doc_id)
+select doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join hits using (doc_id) left join items using (doc_id)
+""")
+def op7(spark, sf_dir):
+    found = decontamination.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op9_sharding")
+def op9(spark, sf_dir):
+    body = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", (F.length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+    placed = sharding.shard_rows(rows, 40, identity=[F.col("doc_id"), F.col("text_crc32")])
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_token_counts")
+def op10(spark, sf_dir):
+    import public_tokenizers
+
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumnRenamed("id", "doc_id")
