@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, sharding, simhash_dedup, token_counts
+from . import decontamination, embedding_dedup, language_id, mixing, sharding, simhash_dedup, token_counts
 from .tables import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,9 @@ def op10(spark, sf_dir):
 
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumnRenamed("id", "doc_id")
+
+
+@query("op8_embedding_near_dedup")
+def op8(spark, sf_dir):
+    found = embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
