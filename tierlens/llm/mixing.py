@@ -25,13 +25,18 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draws(docs: DataFrame, id_column="doc_id", text="text", source="source", quality: Column | None = None, seed: int = 42) -> dict[str, Column]:
+def text_quality(text: str = "text") -> Column:
+    """A quality weight from the text alone: the share of letters and white space, at least 0.05."""
+    own = F.col(text).cast("string")
+    return F.greatest(F.lit(0.05), F.length(F.regexp_replace(own, r"[^\p{L}\s]+", "")) / F.length(own))
+
+
+def draws(size: Column, id_column="doc_id", source="source", quality: Column | None = None, seed: int = 42) -> dict[str, Column]:
     """Columns every step needs, as functions of the row alone: size, source key, sampling key, key range.
 
     The uniform variate is a hash of (seed, id, size), so a rerun or a lost executor draws the same.  A missing or
     non-positive quality weight counts as 1.
     """
-    size = word_count(text)
     uniform = (hash_fraction_long(F.lit(seed), F.col(id_column), size, digits=13) + 0.5) / F.lit(float(1 << 52))
     weight = F.lit(1.0) if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(1.0)
     key = -F.log(uniform) / weight
@@ -100,15 +105,16 @@ def _taken(plan: DataFrame) -> Column:
     return F.col("epochs") + F.when(extra, 1).otherwise(0)
 
 
-def mix_sizes(docs: DataFrame, id_column="doc_id", text="text", source="source", quality: Column | None = None, seed: int = 42, **targets) -> DataFrame:
+def mix_sizes(sizes: DataFrame, id_column="doc_id", size="size", source="source", quality: Column | None = None, seed: int = 42, **targets) -> DataFrame:
     """(id, source, size, source_size, target, copies): how often each row enters the mix.
 
-    NULL and blank texts have size 0 and are never short of a target; NULL sources are one source.  Rows equal in
-    id and size share a draw and are decided together.  An empty table gives an empty result.
+    ``sizes`` has a row per document with its size (``word_count``), so texts need not be carried along.  Rows of
+    size 0 are never short of a target; NULL sources are one source.  Rows equal in id and size share a draw and are
+    decided together.  An empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "mix")
-    drawn = draws(docs, id_column, text, source, quality, seed)
-    rows = scratch.keep(docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), *[c.alias(n) for n, c in drawn.items()]))
+    scratch = Scratch(sizes.sparkSession, "mix")
+    drawn = draws(F.col(size), id_column, source, quality, seed)
+    rows = scratch.keep(sizes.select(F.col(id_column).alias("id"), F.col(source).alias("source"), *[c.alias(n) for n, c in drawn.items()]))
     plan = mixture_plan(rows, scratch, **targets)
     return rows.join(plan, _SOURCE).select("id", "source", "size", "source_size", "target", _taken(plan).alias("copies"))
 
@@ -116,13 +122,14 @@ def mix_sizes(docs: DataFrame, id_column="doc_id", text="text", source="source",
 def mix_rows(docs: DataFrame, id_column="doc_id", text="text", source="source", quality: Column | None = None, seed: int = 42, **targets) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, each as often as it is taken.
 
-    The draw is a function of the row, so the texts are read again and cut by the one-row-per-source plan.
+    NULL and blank texts have size 0; the rest is as in ``mix_sizes``.  ``quality`` must be a function of the row.
+    The draw is one too, so the texts are read again and cut by the one-row-per-source plan.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    drawn = draws(docs, id_column, text, source, quality, seed)
+    drawn = draws(word_count(text), id_column, source, quality, seed)
     rows = scratch.keep(docs.select(F.col(id_column).alias("id"), *[c.alias(n) for n, c in drawn.items()]))
     plan = mixture_plan(rows, scratch, **targets)
-    given = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(id_column).alias("id"), *[c.alias(n) for n, c in drawn.items()])
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_column).alias("id"), *[c.alias(n) for n, c in drawn.items()])
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
     taken = given.join(plan, _SOURCE).select("_row", _taken(plan).alias("_copies")).where("_copies > 0").select("_row", copies)
     return taken.select("_row.*")

@@ -77,8 +77,8 @@ select doc_id, size, source_size::bigint as source_size, target,
 from summed
 """)
 def op1(spark, sf_dir):
-    docs = _mix_quality(spark, sf_dir, table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    mixed = mixing.mix_sizes(docs, quality=F.col("_quality"))
+    sizes = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
+    mixed = mixing.mix_sizes(_mix_quality(spark, sf_dir, sizes), quality=F.col("_quality"))
     return mixed.select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
