@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, language_id, mixing, sharding, simhash_dedup, token_counts
+from . import decontamination, embedding_dedup, language_id, license_scan, line_dedup, mixing, sharding, simhash_dedup, substring_dedup, token_counts
 from .tables import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,21 @@ def op10(spark, sf_dir):
 def op8(spark, sf_dir):
     found = embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@query("op3_line_dedup")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = line_dedup.repeated_lines(docs)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.col("removed").alias("removed_lines"))
+
+
+@query("op4_substring_dedup")
+def op4(spark, sf_dir):
+    return substring_dedup.drop_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op5_license_scan")
+def op5(spark, sf_dir):
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
