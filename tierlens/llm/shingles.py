@@ -9,6 +9,7 @@ from xxhash import xxh64_intdigest
 
 SEED = 42
 MIX = np.uint64(0x9E3779B97F4A7C15)
+_ALL = (1 << 64) - 1
 HASHES_AT_ONCE = 1 << 15
 
 
@@ -34,7 +35,7 @@ def mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     """Word 0 of a fingerprint uses the hashes as they are, word k an independent mix of them."""
     if not word:
         return hashes
-    z = hashes + MIX * np.uint64(word)
+    z = hashes + np.uint64(int(MIX) * word & _ALL)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))

@@ -142,7 +142,7 @@ def _verified_forest(radius: int, shingle: int, similarity: float):
 
             def shingles(i):
                 if i not in sets:
-                    sets[i] = np.unique(shingle_hashes(texts[i].as_py(), shingle))
+                    sets[i] = np.unique(shingle_hashes((texts[i].as_py() or "").encode(), shingle))
                 return sets[i]
 
             def similar(i, j):
