@@ -28,7 +28,7 @@ def word_count(text: str = "text") -> Column:
 def text_quality(text: str = "text") -> Column:
     """A quality weight from the text alone: the share of letters and white space, at least 0.05."""
     own = F.col(text).cast("string")
-    return F.greatest(F.lit(0.05), F.length(F.regexp_replace(own, r"[^\p{L}\s]+", "")) / F.length(own))
+    return F.greatest(F.lit(0.05), F.try_divide(F.length(F.regexp_replace(own, r"[^\p{L}\s]+", "")), F.length(own)))
 
 
 def draws(size: Column, id_column="doc_id", source="source", quality: Column | None = None, seed: int = 42) -> dict[str, Column]:
