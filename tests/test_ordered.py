@@ -92,31 +92,57 @@ def brute_pairs(rows):
     return resolved, unresolved, correct
 
 
-@pytest.mark.parametrize("edges", [(), (3.0, 8.0)])
-def test_decision_pairs_against_all_pairs(spark, edges, monkeypatch):
-    monkeypatch.setattr(pairs, "value_edges", lambda *a, **k: list(edges))
+@pytest.mark.parametrize("rows_per_bucket", [500_000, 10, 3])
+def test_decision_pairs_against_all_pairs(spark, rows_per_bucket):
     rng = random.Random(11)
     groups = {f"g{i}": [
         (rng.choice([None, *map(float, range(10))]), rng.choice([None, *map(float, range(12))]),
          rng.choice([None, 0.0, 1.0, 2.5])) for _ in range(n)] for i, n in enumerate((1, 2, 3, 17, 40))}
     df = spark.createDataFrame(
         [(g, *r) for g, rs in groups.items() for r in rs], "g string, c double, r double, u double")
-    got = {x.g: x for x in pairs.decision_pairs(df, "g", "c", "r", "u").collect()}
+    got = {x.g: x for x in pairs.decision_pairs(df, "g", "c", "r", "u", rows_per_bucket).collect()}
     for g, rows in groups.items():
         assert (got[g].resolved, got[g].unresolved, got[g].correct) == brute_pairs(rows), g
 
 
-@pytest.mark.parametrize("edges", [(), (2.0, 5.0)])
-def test_ordering_accuracy_against_all_pairs(spark, edges, monkeypatch):
-    monkeypatch.setattr(pairs, "value_edges", lambda *a, **k: list(edges))
+@pytest.mark.parametrize("rows_per_bucket", [500_000, 3])
+def test_ordering_accuracy_against_all_pairs(spark, rows_per_bucket):
     rng = random.Random(5)
     groups = {f"g{i}": [(float(rng.randint(0, 8)), float(rng.randint(0, 8))) for _ in range(n)]
               for i, n in enumerate((1, 2, 9, 30))}
     df = spark.createDataFrame([(g, *r) for g, rs in groups.items() for r in rs], "g string, c double, r double")
     rel = lambda d, t: 0 if abs(d) <= t else (1 if d > 0 else -1)
     for tol in (1e-8, 1.5):
-        got = {x.g: x for x in pairs.ordering_accuracy(df, "g", "c", "r", tol).collect()}
+        got = {x.g: x for x in pairs.ordering_accuracy(df, "g", "c", "r", tol, rows_per_bucket).collect()}
         for g, rows in groups.items():
             ps = list(itertools.combinations(rows, 2))
             want = sum(rel(a[0] - b[0], tol) == rel(a[1] - b[1], tol) for a, b in ps) / len(ps) if ps else 1.0
             assert got[g].ordering_accuracy == pytest.approx(want), (g, tol)
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1_000, 100, 4])
+def test_results_do_not_depend_on_the_buckets(spark, rows_per_bucket):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), int(rng.random() < 0.4), round(rng.random(), 2), float(rng.randint(0, 30))) for _ in range(200)]
+    df = spark.createDataFrame(rows, "k string, y int, s double, c double").repartition(4)
+    few, many = (), ordered.value_edges(df, "s", rows_per_bucket)
+    assert len(many) + 1 == {1_000: 1, 100: 2, 4: 50}[rows_per_bucket] or rows_per_bucket == 4 and len(many) > 20
+    same = lambda run: sorted(map(tuple, run(few).collect()), key=str) == sorted(map(tuple, run(many).collect()), key=str)
+    rounded = lambda frame: frame.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in frame.dtypes])
+    assert same(lambda e: rounded(ordered.auroc(df, "y", "s", ["k"], e)))
+    assert same(lambda e: rounded(ordered.average_precision(df, "y", "s", ["k"], e)))
+    assert same(lambda e: rounded(ordered.risk_coverage(df, "c", "s", ["k"], e)))
+    assert same(lambda e: ordered.exact_quantiles(df, "s", {"m": 0.5, "h": 0.9}, ["k"], e))
+    assert same(lambda e: ordered.pareto_frontier(df, "s", "c", e))
+    assert {r.k for r in ordered.auroc(df, "y", "s", ["k"], many).collect()} == {"a", "b", None}
+
+
+def test_missing_values_are_refused(spark):
+    for row in ((None, 0.5), (1, None), (1, float("nan"))):
+        df = spark.createDataFrame([(0, 0.1), row], "y int, s double")
+        for run in (ordered.auroc, ordered.average_precision, ordered.risk_coverage):
+            with pytest.raises(Exception, match="is missing"):
+                run(df, "y", "s").collect()
+    points = spark.createDataFrame([(1.0, 2.0), (None, 1.0)], "c double, r double")
+    with pytest.raises(Exception, match="is missing"):
+        ordered.pareto_frontier(points, "c", "r").collect()

@@ -4,7 +4,9 @@ Recipe: compress the input to one row per distinct value (ties always move toget
 *deterministic* bucket, run the window inside (keys, bucket), and add the totals of the earlier buckets.
 Bucket edges come from one approximate-quantile pass and are frozen as literals, so a retried task puts a
 row in the same bucket.  No bucket holds more than its share of all rows, whatever the keys: a hot key is
-simply spread over more buckets.
+simply spread over more buckets.  The result does not depend on the edges, and there is no other path.
+
+A missing value sorts before all others (Spark's order); NULL keys are a stratum of their own.
 """
 
 from __future__ import annotations
@@ -20,33 +22,36 @@ from pyspark.sql import functions as F
 from ..functions.columns import col
 
 ROWS_PER_BUCKET = 500_000
-MAX_BUCKETS = 4096
-_BUCKET = "_bucket"
+_BUCKET, _SPREAD = "_bucket", "_spread"
 
 
-def value_edges(df: DataFrame, by, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
-    """Split points of ``by`` so that each interval holds about ``rows_per_bucket`` rows.
+def known(column, what: str) -> Column:
+    """The column, or an error that names it where a row has none (NULL or NaN)."""
+    c = col(column)
+    missing = c.isNull() | F.coalesce(F.isnan(c.cast("double")), F.lit(False))
+    return F.when(missing, F.raise_error(F.lit(f"{what} is missing"))).otherwise(c)
 
-    A count decides how many; only an input that needs more than one bucket pays for the quantile pass.
-    """
-    n = df.select(F.count(col(by))).first()[0]
-    buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
+
+def value_edges(df: DataFrame, by, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
+    """Split points of ``by`` so that each interval holds about ``rows_per_bucket`` rows, however many that takes."""
+    values = df.select(col(by).cast("double").alias("_by")).where("_by is not null and not isnan(_by)")
+    buckets = math.ceil(values.count() / rows_per_bucket)
     if buckets <= 1:
         return []
     # a text literal of fractions stays one foldable expression
     fractions = ",".join(repr(i / buckets) for i in range(1, buckets))
-    points = df.select(col(by).cast("double").alias("_by")).agg(F.expr(
+    points = values.agg(F.expr(
         f"percentile_approx(_by, cast(split('{fractions}', ',') as array<double>), {20 * buckets})")).first()[0]
-    return sorted(set(points))
+    return sorted({p for p in points if math.isfinite(p)})
 
 
-def with_bucket(df: DataFrame, by: str, edges: Sequence[float]) -> DataFrame:
-    if not edges:
-        return df.withColumn(_BUCKET, F.lit(0.0))
-    splits = [-math.inf, *edges, math.inf]
-    return Bucketizer(splits=splits, inputCol="_by", outputCol=_BUCKET).transform(
-        df.withColumn("_by", F.col(by).cast("double"))
-    ).drop("_by")
+def with_bucket(df: DataFrame, by: str, edges: Sequence[float], spread: Column | None = None) -> DataFrame:
+    """Adds the bucket of ``by``: -1 for a missing value, 0 for all of a key that is not spread."""
+    splits = [-math.inf, *(list(edges) or [0.0]), math.inf]  # at least one cut: any cut gives the same result
+    placed = Bucketizer(splits=splits, inputCol="_by", outputCol="_at", handleInvalid="keep").transform(
+        df.withColumn("_by", F.col(by).cast("double")))
+    at = F.when(F.col("_by").isNull(), -1.0).otherwise(F.col("_at"))
+    return placed.withColumn(_BUCKET, at if spread is None else F.when(spread, at).otherwise(0.0)).drop("_by", "_at")
 
 
 def _combine(how: str, column: Column) -> Column:
@@ -63,28 +68,30 @@ def running(
     edges: Sequence[float] = (),
     bucket: Column | None = None,
     descending: bool = False,
+    spread: str | None = None,
 ) -> DataFrame:
     """Add running sums / minima (inclusive) and grand totals of ``df``, one row per (keys, by).
 
     ``sums``/``mins``/``totals`` map new column -> source column.  ``bucket`` replaces the value edges when
-    the ordering column already has a natural monotone prefix (a hash).
+    the ordering column already has a natural monotone prefix (a hash).  ``spread`` names one of the keys, true
+    for the keys that need more than one bucket; the others are one bucket each and need no earlier totals.
     """
     keys = list(keys)
     rolling = {n: ("sum", c) for n, c in (sums or {}).items()}
     rolling |= {n: ("min", c) for n, c in (mins or {}).items()}
     whole = dict(totals or {})
-    single = bucket is None and not edges
-    df = df.withColumn(_BUCKET, bucket) if bucket is not None else with_bucket(df, by, edges)
+    is_spread = F.col(spread) if spread else F.lit(True)
+    df = df.withColumn(_BUCKET, bucket) if bucket is not None else with_bucket(df, by, edges, is_spread if spread else None)
 
     order = F.col(by).desc() if descending else F.col(by).asc()
     inside = W.partitionBy(*keys, _BUCKET).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = df.withColumns({n: _combine(how, F.col(c)).over(inside) for n, (how, c) in rolling.items()})
-    if single:
-        everything = W.partitionBy(*keys, _BUCKET)
-        return out.withColumns({n: F.sum(c).over(everything) for n, c in whole.items()}).drop(_BUCKET)
+    own = W.partitionBy(*keys, _BUCKET)
+    out = df.withColumns(
+        {n: _combine(how, F.col(c)).over(inside) for n, (how, c) in rolling.items()}
+        | {f"_o_{n}": F.sum(c).over(own) for n, c in whole.items()})
 
-    # One row per (keys, bucket): at most MAX_BUCKETS rows per key.
-    per_bucket = df.groupBy(*keys, _BUCKET).agg(
+    # One row per (spread key, bucket).
+    per_bucket = df.where(is_spread).groupBy(*keys, _BUCKET).agg(
         *[_combine(how, F.col(c)).alias(f"_b_{n}") for n, (how, c) in rolling.items()],
         *[F.sum(c).alias(f"_t_{n}") for n, c in whole.items()],
     )
@@ -92,16 +99,20 @@ def running(
     earlier = W.partitionBy(*keys).orderBy(bucket_order).rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy(*keys)
     before = per_bucket.select(
-        *keys, _BUCKET,
+        *[F.col(k).alias(f"_k_{k}") for k in (*keys, _BUCKET)],
         *[_combine(how, F.col(f"_b_{n}")).over(earlier).alias(f"_b_{n}") for n, (how, _) in rolling.items()],
-        *[F.sum(f"_t_{n}").over(every).alias(n) for n in whole],
+        *[F.sum(f"_t_{n}").over(every).alias(f"_t_{n}") for n in whole],
     )
-    joined = out.join(before, [*keys, _BUCKET])
-    merged = {}
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = out.join(before, same & (F.col(_BUCKET) == F.col(f"_k_{_BUCKET}")), "left")
+    merged = {n: F.coalesce(F.col(f"_t_{n}"), F.col(f"_o_{n}")) for n in whole}
     for n, (how, _) in rolling.items():
         prior = F.col(f"_b_{n}")
         merged[n] = F.coalesce(prior, F.lit(0)) + F.col(n) if how == "sum" else F.least(prior, F.col(n))
-    return joined.withColumns(merged).drop(_BUCKET, *[f"_b_{n}" for n in rolling])
+    helpers = [*(f"_b_{n}" for n in rolling), *(f"_{side}_{n}" for n in whole for side in "ot"), *(f"_k_{k}" for k in (*keys, _BUCKET))]
+    return joined.withColumns(merged).drop(_BUCKET, *helpers)
 
 
 def ranked_counts(df: DataFrame, value: str, keys: Sequence[str] = (), edges=None) -> DataFrame:
@@ -131,15 +142,14 @@ def exact_quantiles(df: DataFrame, value: str, fractions: dict[str, float], keys
 # ---- ranking metrics ---------------------------------------------------------
 
 def _score_table(df: DataFrame, label: str, score: str, keys) -> DataFrame:
-    return df.groupBy(*keys, score).agg(
-        F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n")
-    )
+    checked = df.select(*keys, known(score, score).alias(score), known(label, label).cast("long").alias("_label"))
+    return checked.groupBy(*keys, score).agg(F.sum("_label").alias("pos"), F.count("*").alias("n"))
 
 
 def score_ranking(df: DataFrame, label: str, score: str, keys: Sequence[str] = (), edges=None) -> DataFrame:
     """One row per distinct score: ``pos``/``n`` at it, ``upto``/``tp_upto`` at or below, ``total``/``total_pos``.
 
-    Every ranking and calibration metric is an aggregate of this table.
+    A missing score or label is an error.  Every ranking and calibration metric is an aggregate of this table.
     """
     edges = value_edges(df, score) if edges is None else edges
     return running(
@@ -174,8 +184,12 @@ def average_precision(df: DataFrame, label: str, score: str, keys: Sequence[str]
 
 
 def risk_coverage(df: DataFrame, loss: str, uncertainty: str, keys: Sequence[str] = (), edges=None) -> DataFrame:
-    """Cumulative mean loss while accepting in order of uncertainty; ties are one step."""
+    """Cumulative mean loss while accepting in order of uncertainty; ties are one step.
+
+    A missing uncertainty or loss is an error: it has no place in the order.
+    """
     edges = value_edges(df, uncertainty) if edges is None else edges
+    df = df.select(*keys, known(uncertainty, uncertainty).alias(uncertainty), known(loss, loss).alias(loss))
     steps = df.groupBy(*keys, uncertainty).agg(F.sum(loss).alias("loss"), F.count("*").alias("n"))
     ranked = running(
         steps, uncertainty, sums={"accepted": "n", "lost": "loss"}, totals={"total": "n"},
@@ -191,8 +205,12 @@ def risk_coverage(df: DataFrame, loss: str, uncertainty: str, keys: Sequence[str
 
 
 def pareto_frontier(df: DataFrame, cost: str, risk: str, edges=None) -> DataFrame:
-    """Rows no other row dominates (both axes at most, one strictly less); exact copies all stay."""
+    """Rows no other row dominates (both axes at most, one strictly less); exact copies all stay.
+
+    A missing cost or risk is an error.
+    """
     edges = value_edges(df, cost) if edges is None else edges
+    df = df.withColumns({cost: known(cost, cost), risk: known(risk, risk)})
     best = df.groupBy(cost).agg(F.min(risk).alias("_best"))
     best = running(best, cost, mins={"_upto": "_best"}, edges=edges)
     # The running minimum includes the row itself; it is on the frontier only when it *sets* the minimum

@@ -3,7 +3,7 @@
 "How many pairs (x, y) of a group have a(x) > a'(y) and b(x) > b'(y)?" is answered by dominance counting:
 
 1. every row becomes a *query* at a(x) and a *point* at a'(y); positions are dense ranks of those values
-   inside the group (an ordered scan, see :mod:`ordered`);
+   inside the group (an ordered scan, see :mod:`ordered`, that spreads the groups that are large);
 2. position p < q exactly when, at one single bit level, both share the higher bits, p has a 0 and q a 1.
    So each event goes to about half of log2(group size) (group, level, prefix) cells, where it meets
    precisely its counterparts;
@@ -22,7 +22,20 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, col, finite
 from ..plans.lineage import cut_lineage
-from .ordered import running, value_edges
+from .ordered import ROWS_PER_BUCKET, known, running, value_edges
+
+
+_LARGE = "_large"
+
+
+def _sized(df: DataFrame, keys: Sequence[str], rows_per_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, group sizes): the rows written once with ``_large``, whether their group needs more than one bucket."""
+    df = cut_lineage(df)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > rows_per_bucket).select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.lit(True).alias(_LARGE))
+    same = all_of(*[F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
+    flagged = df.join(large, same, "left").drop(*[f"_g_{k}" for k in keys])
+    return flagged.withColumn(_LARGE, F.coalesce(_LARGE, F.lit(False))), sizes
 
 
 def _events(df: DataFrame, keys, query: Column, point: Column, query_b=None, point_b=None) -> DataFrame:
@@ -39,7 +52,7 @@ def count_above(df: DataFrame, keys: Sequence[str], query: Column, point: Column
     """Per key: number of ordered pairs with ``query(x) > point(y)``."""
     events = _events(df, keys, query, point)
     table = events.groupBy(*keys, "v").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
-    scan = running(table, "v", sums={"seen": "p"}, keys=keys, edges=edges)
+    scan = running(table, "v", sums={"seen": "p"}, keys=keys, edges=edges, spread=_LARGE)
     return scan.groupBy(*keys).agg(F.sum(F.col("q") * (F.col("seen") - F.col("p"))).alias(name))
 
 
@@ -52,7 +65,7 @@ def count_dominating(
     events = _events(df, keys, query, point, query_b, point_b)
     ranks = running(
         events.select(*keys, "v").distinct().withColumn("_one", F.lit(1)), "v",
-        sums={"_rank": "_one"}, totals={"_size": "_one"}, keys=keys, edges=edges,
+        sums={"_rank": "_one"}, totals={"_size": "_one"}, keys=keys, edges=edges, spread=_LARGE,
     ).select(*keys, "v", (F.col("_rank") - 1).alias("_rank"), "_size")
     placed = events.join(ranks, [*keys, "v"])
     # ranks are 0 .. size-1: levels = bit length of the largest rank
@@ -65,7 +78,7 @@ def count_dominating(
     )
     inner = [*keys, "_level", "_cell"]
     table = cells.groupBy(*inner, "b").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
-    scan = running(table, "b", sums={"seen": "p"}, keys=inner, edges=edges_b)
+    scan = running(table, "b", sums={"seen": "p"}, keys=inner, edges=edges_b, spread=_LARGE)
     return scan.groupBy(*keys).agg(F.sum(F.col("q") * (F.col("seen") - F.col("p"))).alias(name))
 
 
@@ -88,7 +101,7 @@ def _pairs(n: Column) -> Column:
 
 def decision_pairs(
     df: DataFrame, group, prediction="prediction", reference="reference",
-    uncertainty="reference_uncertainty", scale: bool = True,
+    uncertainty="reference_uncertainty", rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Per decision group: resolved, unresolved and correctly ordered pairs.
 
@@ -98,19 +111,19 @@ def decision_pairs(
     """
     keys = [group] if isinstance(group, str) else list(group)
     # read several times below: write the narrow input once
-    df = cut_lineage(df.where(all_of(*[F.col(k).isNotNull() for k in keys])).select(
+    df, sizes = _sized(df.where(all_of(*[F.col(k).isNotNull() for k in keys])).select(
         *keys, col(prediction).cast("double").alias("_c"), col(reference).cast("double").alias("_r"),
         F.coalesce(col(uncertainty), F.lit(0.0)).alias("_u"),
-    ))
+    ), keys, rows_per_bucket)
     usable = df.where(finite("_c") & finite("_r"))
     low, high = F.col("_r") - F.col("_u"), F.col("_r") + F.col("_u")
-    edges = value_edges(usable, "_r") if scale else ()
-    edges_b = value_edges(usable, "_c") if scale and edges else ()
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    large = usable.where(_LARGE)
+    edges, edges_b = value_edges(large, "_r", rows_per_bucket), value_edges(large, "_c", rows_per_bucket)
+    inner = [*keys, _LARGE]
     counts = _add_up(keys, [
         sizes,
-        count_above(usable, keys, low, high, "resolved", edges),
-        count_dominating(usable, keys, low, high, F.col("_c"), F.col("_c"), "correct", edges, edges_b),
+        count_above(usable, inner, low, high, "resolved", edges).drop(_LARGE),
+        count_dominating(usable, inner, low, high, F.col("_c"), F.col("_c"), "correct", edges, edges_b).drop(_LARGE),
     ])
     return counts.select(
         *keys, "n", "resolved", (_pairs(F.col("n")) - F.col("resolved")).alias("unresolved"), "correct",
@@ -119,25 +132,30 @@ def decision_pairs(
 
 
 def ordering_accuracy(
-    df: DataFrame, group, candidate: str, reference: str, tie_tolerance: float = 1e-8, scale: bool = True,
+    df: DataFrame, group, candidate: str, reference: str, tie_tolerance: float = 1e-8, rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Per group: share of pairs whose relation (<, tied, >) the candidate reproduces; 1.0 for a single row."""
+    """Per group: share of pairs whose relation (<, tied, >) the candidate reproduces; 1.0 for a single row.
+
+    A missing value is an error; a NULL group is a group.
+    """
     if tie_tolerance < 0:
         raise ValueError("tie_tolerance must be non-negative")
     keys = [group] if isinstance(group, str) else list(group)
     tol = F.lit(float(tie_tolerance))
-    df = cut_lineage(df.select(*keys, col(candidate).cast("double").alias("_c"), col(reference).cast("double").alias("_r")))
-    edges = value_edges(df, "_r") if scale else ()
-    edges_b = value_edges(df, "_c") if scale and edges else ()
+    df, sizes = _sized(df.select(
+        *keys, known(candidate, "candidate").cast("double").alias("_c"), known(reference, "reference").cast("double").alias("_r")),
+        keys, rows_per_bucket)
+    large, inner = df.where(_LARGE), [*keys, _LARGE]
+    edges, edges_b = value_edges(large, "_r", rows_per_bucket), value_edges(large, "_c", rows_per_bucket)
     c, r = F.col("_c"), F.col("_r")
     # sign flip turns "candidate strictly smaller" into a second dominance count
     mirrored = [-e for e in reversed(edges_b)]
     counts = _add_up(keys, [
-        df.groupBy(*keys).agg(F.count("*").alias("n")),
-        count_above(df, keys, r - tol, r, "ref_untied", edges),
-        count_above(df, keys, c - tol, c, "cand_untied", edges_b),
-        count_dominating(df, keys, r - tol, r, c - tol, c, "concordant", edges, edges_b),
-        count_dominating(df, keys, r - tol, r, -c - tol, -c, "discordant", edges, mirrored),
+        sizes,
+        count_above(df, inner, r - tol, r, "ref_untied", edges).drop(_LARGE),
+        count_above(df, inner, c - tol, c, "cand_untied", edges_b).drop(_LARGE),
+        count_dominating(df, inner, r - tol, r, c - tol, c, "concordant", edges, edges_b).drop(_LARGE),
+        count_dominating(df, inner, r - tol, r, -c - tol, -c, "discordant", edges, mirrored).drop(_LARGE),
     ])
     pairs = _pairs(F.col("n"))
     both_tied = pairs - F.col("ref_untied") - F.col("cand_untied") + F.col("concordant") + F.col("discordant")
