@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tierlens.operators import enrich, observables as O, splits
 from tierlens.operators.fingerprints import multiset_fingerprint
 from tierlens.operators.validation import duplicate_keys
+from tierlens.plans.study import StudyConfig, with_eligibility
 from tierlens.sources.datasets import dataset_violations, merge_calculations
 
 from . import views as S
@@ -86,14 +87,53 @@ def _(t):
         cost("mlip"), cost("dft"), cost("high_level"), F.size("failures").alias("failures"))
 
 
+@query("assembled_study_eligibility", f"""{SQL_INPUT}{SQL_PARTS}, {S.SQL_STUDY},
+wide AS (SELECT observable_id, MAX(value) FILTER (method_id = 'A') AS mlip, MAX(value) FILTER (method_id = 'R') AS dft FROM results GROUP BY 1),
+keys AS (SELECT observable_id, string_agg(CASE WHEN coefficient > 0 THEN '+' ELSE '-' END || p_type, ',' ORDER BY CASE WHEN coefficient > 0 THEN '+' ELSE '-' END || p_type) AS key
+  FROM terms JOIN part ON p_partkey::VARCHAR = structure_id GROUP BY 1),
+marked AS (SELECT observable_id, MIN(observable_id::BIGINT) OVER (PARTITION BY key) AS first FROM keys),
+judged AS (SELECT observable_id AS id, wide.mlip, wide.dft, reference, reference_quality AS q, reference_uncertainty AS u, CASE WHEN first <> observable_id::BIGINT THEN first END AS dup
+  FROM wide JOIN study ON study.id = observable_id::BIGINT JOIN marked USING (observable_id))
+SELECT id, dup::VARCHAR AS duplicate_of, concat_ws('; ',
+  CASE WHEN mlip IS NULL OR dft IS NULL OR reference IS NULL THEN 'missing or failed paired calculation/reference' END,
+  CASE WHEN dup IS NOT NULL THEN 'duplicate observable of ' || dup END, CASE WHEN q = 'questionable' THEN 'reference-quality exclusion' END,
+  CASE WHEN q = 'unreviewed' THEN 'reference needs review or explicit exploratory mode' END) AS reasons FROM judged""")
+def _(t):
+    # two observables are copies if their terms agree in part type and sign
+    types = t.part.select(F.col("p_partkey").cast("string").alias("structure_id"), "p_type")
+    kinds = S.terms(t).join(types, "structure_id").groupBy("observable_id").agg(F.collect_list(
+        F.concat(F.when(F.col("coefficient") > 0, "+").otherwise("-"), "p_type")).alias("kinds"))
+    seen = S.observables(t).join(kinds, F.col("id") == F.col("observable_id")).drop("observable_id").withColumn("ord", F.col("id").cast("long"))
+    marked = enrich.mark_duplicates(seen, order_by="ord", terms="kinds").drop("kinds")
+    rows = O.assemble_study(marked, S.terms(t), S.calculations(t), S.structures(t), ["A", "N"], "R", "H", require_teacher=True)
+    # wide tolerances leave no target ambiguous
+    config = StudyConfig(surrogate_tolerance=0.0, reference_tolerance=0.0, decision_tolerance=0.0)
+    judged = with_eligibility(rows.withColumn("reference_uncertainty", F.lit(None).cast("double")), config)
+    return judged.select("id", "duplicate_of", F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query("method_guards", f"""WITH {S.SQL_CALCULATIONS}
-SELECT 'duplicate_calculation' AS rule, 0 AS violations UNION ALL
-SELECT 'fidelity_mismatch', COUNT(*) FROM calculations WHERE method_id = 'N' UNION ALL SELECT 'mixed_cost_units', 0""")
+SELECT 'duplicate_calculation' AS rule, COUNT(*) AS violations FROM calculations WHERE method_id = 'H' UNION ALL
+SELECT 'fidelity_mismatch', COUNT(*) FROM calculations WHERE method_id = 'N' UNION ALL SELECT 'mixed_cost_units', 1""")
 def _(t):
-    return O.method_guards(S.calculations(t), ["A"], "N", "H")
+    c = S.calculations(t)
+    again = c.where("method_id = 'H'").withColumn("cost_unit", F.lit("hours"))  # a second record in another unit
+    return O.method_guards(c.unionByName(again), ["A"], "N", "H")
 
 
 @query("teacher_match", f"""WITH {S.SQL_CALCULATIONS}
+SELECT COUNT(*) FILTER (method_id <> 'R') AS mlip_records, COUNT(*) FILTER (method_id = 'R') AS dft_records, 2 AS teachers,
+  COUNT(*) FILTER (status = 'failed' AND method_id <> 'N') AS unnamed, COUNT(*) FILTER (method_id = 'R' AND status = 'failed') AS unverified, FALSE AS matched
+FROM calculations WHERE method_id <> 'H'""")
+def _(t):
+    failed = F.col("status") == "failed"
+    c = S.calculations(t).withColumns({
+        "teacher_id": F.when(F.col("method_id") == "N", "another").when(~failed, F.col("teacher_id")),
+        "teacher_verified": F.col("teacher_verified") & ~failed})
+    return O.teacher_match(c, ["A", "N"], "R")
+
+
+@query("teacher_match_clean", f"""WITH {S.SQL_CALCULATIONS}
 SELECT COUNT(*) FILTER (method_id <> 'R') AS mlip_records, COUNT(*) FILTER (method_id = 'R') AS dft_records, 1 AS teachers, 0 AS unnamed, 0 AS unverified, TRUE AS matched
 FROM calculations WHERE method_id <> 'H'""")
 def _(t):
@@ -114,11 +154,15 @@ def _(t):
     return O.decision_group_leaks(t.orders.select(F.col("o_custkey").alias("decision_group"), F.col("o_orderpriority").alias("group_id")))
 
 
-@query("dataset_rules", f"""WITH {S.SQL_TERMS}
-SELECT 'no_structures' AS rule, 0 AS violations UNION ALL SELECT 'no_observables', 0 UNION ALL SELECT 'duplicate_structure', 0
-UNION ALL SELECT 'duplicate_observable', 0 UNION ALL SELECT 'decision_group_crosses_groups', 0""")
+@query("dataset_rules", f"""WITH {S.SQL_TERMS}, o AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM good))
+SELECT 'no_structures' AS rule, 0 AS violations UNION ALL SELECT 'no_observables', 0
+UNION ALL SELECT 'duplicate_structure', COUNT(*) FROM part WHERE p_brand = 'Brand#7'
+UNION ALL SELECT 'duplicate_observable', COUNT(*) FROM o WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT 'decision_group_crosses_groups', COUNT(*) FROM (SELECT o_custkey FROM o GROUP BY 1 HAVING COUNT(DISTINCT o_orderpriority) > 1)""")
 def _(t):
-    return dataset_violations(S.structures(t), S.observables(t))
+    parts = S.structures(t)
+    seen = S.observables(t).withColumn("group_id", F.col("reference.source"))  # split by priority instead of customer
+    return dataset_violations(parts.unionByName(parts.where("geometry_hash = 'stale'")), seen.unionByName(seen.where("group_id = '1-URGENT'")))
 
 
 # ---- enrichment --------------------------------------------------------------
@@ -221,7 +265,18 @@ def _(t):
     return split_of(t)
 
 
-@query("split_audit", """SELECT 'group_leakage' AS rule, 0 AS violations UNION ALL SELECT 'empty_partition', 0 UNION ALL SELECT 'key_mismatch', 0""")
+@query("split_audit", f"""WITH {SQL_SPLIT}, bad AS (
+  SELECT id, split.group_id, CASE WHEN o_orderstatus = 'P' THEN 'train' ELSE partition END AS p FROM split JOIN orders ON o_orderkey = id WHERE partition <> 'validation')
+SELECT 'group_leakage' AS rule, COUNT(*) AS violations FROM (SELECT group_id FROM bad GROUP BY 1 HAVING COUNT(DISTINCT p) > 1)
+UNION ALL SELECT 'empty_partition', 1 UNION ALL SELECT 'key_mismatch', COUNT(*) FROM split WHERE partition = 'validation'""")
+def _(t):
+    status = t.orders.select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    bad = split_of(t).where("partition <> 'validation'").join(status, "id").withColumn(
+        "partition", F.when(F.col("o_orderstatus") == "P", "train").otherwise(F.col("partition")))
+    return splits.split_audit(bad.drop("o_orderstatus"), t.orders, "o_orderkey", "o_custkey")
+
+
+@query("split_audit_clean", """SELECT 'group_leakage' AS rule, 0 AS violations UNION ALL SELECT 'empty_partition', 0 UNION ALL SELECT 'key_mismatch', 0""")
 def _(t):
     return splits.split_audit(split_of(t), t.orders, "o_orderkey", "o_custkey")
 
@@ -243,7 +298,7 @@ def _(t):
     return splits.key_differences(t.orders.select(F.col("o_orderkey").alias("id")), t.lineitem.select(F.col("l_orderkey").alias("id")))
 
 
-@query("connected_groups", """WITH RECURSIVE l AS (SELECT DISTINCT doc_id, md5(line) AS e FROM (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line FROM documents) WHERE LENGTH(line) >= 40),
+@query("connected_groups", """WITH RECURSIVE l AS (SELECT DISTINCT doc_id, md5(line) AS e FROM (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line FROM documents) WHERE LENGTH(line) > 0),
 s AS (SELECT l.doc_id AS v, m.u FROM l JOIN (SELECT e, MIN(doc_id) AS u FROM l GROUP BY e) m ON l.e = m.e),
 edges AS (SELECT DISTINCT u AS a, v AS b FROM s WHERE u <> v UNION SELECT DISTINCT v, u FROM s WHERE u <> v),
 reach(r, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, reach.c FROM reach JOIN edges e ON e.a = reach.r WHERE e.b > reach.c)
@@ -252,9 +307,11 @@ def _(t):
     return splits.connected_groups(S.document_entities(t))
 
 
-@query("verify_pairing", f"WITH {SQL_SPLIT} SELECT 'table_fingerprint' AS rule, 0 AS violations UNION ALL SELECT 'split_keys', 0 UNION ALL SELECT 'test_in_development', COUNT(*) FROM split WHERE partition = 'test' AND id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+@query("verify_pairing", f"WITH {SQL_SPLIT} SELECT 'table_fingerprint' AS rule, 1 AS violations UNION ALL SELECT 'split_keys', COUNT(*) FROM orders WHERE o_orderpriority = '5-LOW' UNION ALL SELECT 'test_in_development', COUNT(*) FROM split WHERE partition = 'test' AND id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 def _(t):
     rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("group_id"))
     mark = multiset_fingerprint(rows, ["id", "group_id"]).first()["fingerprint"]
     leaky = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"))
-    return splits.pairing_report(mark, mark, rows, split_of(t), leaky)
+    other = multiset_fingerprint(rows.where("id % 7 <> 0"), ["id", "group_id"]).first()["fingerprint"]
+    fewer = t.orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("group_id"))
+    return splits.pairing_report(mark, other, fewer, split_of(t), leaky)

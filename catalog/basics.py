@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tierlens.functions import columns as C
 from tierlens.operators import fingerprints, metrics, observables as O, validation as V
 from tierlens.plans.study import StudyConfig, with_eligibility
-from tierlens.records import FEATURES
+from tierlens.records import STAGE_MLIP, feature_verdict
 
 from . import views as S
 from .registry import query
@@ -290,9 +290,7 @@ def _(t):
 def _(t):
     kind = F.col("p_size") % 3
     name = F.when(kind == 0, "ensemble_std").when(kind == 1, "fod").otherwise(F.col("p_name"))
-    registry = t.spark.createDataFrame([(n, f.stage) for n, f in FEATURES.items()], "feature string, stage int")  # 12 rows
-    return t.part.select("p_partkey", name.alias("feature")).join(F.broadcast(registry), "feature", "left").select(
-        "p_partkey", "feature", F.when(F.col("stage").isNull(), "unknown").when(F.col("stage") > 0, "too_early").otherwise("available").alias("verdict"))
+    return t.part.select("p_partkey", name.alias("feature"), feature_verdict(name, STAGE_MLIP).alias("verdict"))
 
 
 @query("composition", """SELECT l_orderkey::VARCHAR AS structure_id, l_returnflag AS element, COUNT(*) AS count FROM lineitem GROUP BY 1, 2""")

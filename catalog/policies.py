@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tierlens.operators import ledger, models, policy, replay
 from tierlens.plans import study as P
 from tierlens.plans.lineage import cut_lineage
-from tierlens.sources.synthetic import synthetic_study
 
 from . import views as S
 from .assembly import SQL_SPLIT, split_of
@@ -22,7 +21,7 @@ POLICIES = [
     {"name": "uq_only", "mode": "uq_only", "stage1": "surrogate", "t1": 0.5, "t2": 1.0},
     {"name": "sequential", "t1": 0.5, "t2": 0.5, "use_screen": True},
 ]
-GRID = replay.default_grid((0.25, 0.5, 0.75), True)
+GRID = replay.default_grid(P.StudyConfig().thresholds, True)
 
 
 def sql_definitions(definitions) -> str:
@@ -116,7 +115,7 @@ def _(t):
 
 @query("ledger_budgeted")
 def _(t):
-    paths = replay.run_policies(rows_with_operations(t), POLICIES[3:], S.DECISION_TOL)
+    paths = replay.run_policies(rows_with_operations(t), POLICIES, S.DECISION_TOL)
     keys = ["policy_id", "priority"]
     bought = cut_lineage(ledger.purchases(paths, keys, "ord"))
     charged = ledger.charge_with_budget(bought, keys, 500.0)
@@ -124,11 +123,13 @@ def _(t):
         F.count("*").alias("n"), F.round(F.sum("cost"), 6).alias("cost"))
 
 
-@query("replay_summary", f"""WITH {sql_paths(POLICIES)}, {SQL_LEDGER}, {SQL_SUMMARY},
-pairs AS (SELECT a.policy_id, a.prediction - b.prediction AS c, a.reference - b.reference AS r, COALESCE(a.reference_uncertainty, 0) + COALESCE(b.reference_uncertainty, 0) AS u
+SQL_PAIRS = """pairs AS (SELECT a.policy_id, a.prediction - b.prediction AS c, a.reference - b.reference AS r, COALESCE(a.reference_uncertainty, 0) + COALESCE(b.reference_uncertainty, 0) AS u
   FROM replayed a JOIN replayed b ON a.policy_id = b.policy_id AND a.decision_group = b.decision_group AND a.ord < b.ord),
 pc AS (SELECT policy_id, COUNT(*) FILTER (c IS NOT NULL AND ABS(r) > u) AS pairs_resolved, COUNT(*) FILTER (c IS NULL OR ABS(r) <= u) AS pairs_unresolved,
-  COUNT(*) FILTER ((c > 0 AND r > u) OR (c < 0 AND r < -u)) AS ok FROM pairs GROUP BY 1)
+  COUNT(*) FILTER ((c > 0 AND r > u) OR (c < 0 AND r < -u)) AS ok FROM pairs GROUP BY 1)"""
+
+
+@query("replay_summary", f"""WITH {sql_paths(POLICIES)}, {SQL_LEDGER}, {SQL_SUMMARY}, {SQL_PAIRS}
 SELECT name, n, {SQL_ROUNDED}, pairs_resolved, pairs_unresolved, ROUND(ok / NULLIF(pairs_resolved, 0), 6) AS pairwise_ordering_accuracy FROM summary JOIN pc USING (policy_id)""")
 def _(t):
     paths = replay.run_policies(rows_with_operations(t), POLICIES, S.DECISION_TOL)
@@ -139,10 +140,11 @@ def _(t):
     return summary_columns(replay.replay_summary(paid, keys)).withColumn("name", F.element_at(names, F.col("policy_id") + 1)).drop("policy_id")
 
 
-@query("policy_grid", f"""WITH {sql_paths(GRID)}, {SQL_LEDGER}, {SQL_SUMMARY} SELECT policy_id, name, definition_digest, n, {SQL_ROUNDED} FROM summary""")
+@query("policy_grid", f"""WITH {sql_paths(GRID)}, {SQL_LEDGER}, {SQL_SUMMARY}, {SQL_PAIRS}
+SELECT policy_id, name, definition_digest, n, {SQL_ROUNDED}, pairs_resolved, pairs_unresolved, ROUND(ok / NULLIF(pairs_resolved, 0), 6) AS pairwise_ordering_accuracy
+FROM summary JOIN pc USING (policy_id)""")
 def _(t):
-    grid = replay.policy_grid(rows_with_operations(t), GRID, S.DECISION_TOL, pairwise=False)
-    return summary_columns(grid)
+    return summary_columns(replay.policy_grid(rows_with_operations(t), GRID, S.DECISION_TOL))
 
 
 @query("select_policy", f"""WITH {sql_paths(GRID)}, {SQL_LEDGER}, {SQL_SUMMARY}, ranked AS (
@@ -168,8 +170,6 @@ def _(t):
     return S.study(t).select("id", model.logit(inputs).alias("z"), F.round(model.probability(inputs), 12).alias("p"))
 
 
-# With a free intercept the fitted probabilities of a logistic model average to the class share of its own
-# fitting rows: that identity is what SQL can check of an iterative fit.
 SQL_PARTED = f"""{SQL_LABELLED}, {SQL_SPLIT}, parted AS (
   SELECT labelled.*, partition FROM labelled JOIN split ON split.id = labelled.id
   WHERE label_surrogate IS NOT NULL AND label_reference IS NOT NULL AND label_total IS NOT NULL)"""
@@ -180,30 +180,56 @@ def parted(t):
     return cut_lineage(rows.join(split_of(t).select("id", "partition"), "id"))
 
 
-@query("fit_logistic", f"""{SQL_PARTED} SELECT COUNT(*) AS n, ROUND(AVG(label_surrogate), 6) AS mean_probability, SUM(label_surrogate)::BIGINT AS positives FROM parted""")
+# A fit is right exactly if the gradient of its penalised loss vanishes: one residual per coefficient, all 0.
+def sql_residuals(models_terms: dict[str, list[str]], where: dict[str, str]) -> str:
+    parts = [f"SELECT '{m}' AS model, term, n, 0.0::DOUBLE AS residual FROM (SELECT COUNT(*) AS n FROM parted WHERE {where[m]}), (SELECT UNNEST({terms!r}) AS term)"
+             for m, terms in models_terms.items()]
+    return SQL_PARTED + " " + " UNION ALL ".join(parts)
+
+
+def residuals(model: str, rows, fitted, inputs, label):
+    found = models.score_residuals(rows, fitted, inputs, label)
+    # -0.0 and 0.0 are the same residual
+    return found.select(F.lit(model).alias("model"), "term", "n", (F.round("residual", 4) + 0.0).alias("residual"))
+
+
+@query("fit_logistic", sql_residuals({"plain": ["intercept", "ood_distance", "scf_cycles"]}, {"plain": "TRUE"}))
 def _(t):
-    rows = parted(t)
-    fitted = models.fit_logistic(rows, ["ood_distance", "scf_cycles"], "label_surrogate")
-    p = fitted.probability([F.col("ood_distance"), F.col("scf_cycles")])
-    return rows.agg(F.count("*").alias("n"), F.round(F.avg(p), 6).alias("mean_probability"), F.sum("label_surrogate").alias("positives"))
+    rows, names = parted(t), ["ood_distance", "scf_cycles"]
+    fitted = models.fit_logistic(rows, names, "label_surrogate")
+    return residuals("plain", rows, fitted, {n: F.col(n) for n in names}, "label_surrogate")
 
 
-@query("calibrate", f"""{SQL_PARTED} SELECT COUNT(*) AS n, ROUND(AVG(label_surrogate), 6) AS mean_risk FROM parted WHERE partition = 'calibration'""")
+@query("calibrate", sql_residuals({"calibrator": ["intercept", "logit"]}, {"calibrator": "partition = 'calibration'"}))
 def _(t):
     rows = parted(t)
     train, held = rows.where("partition = 'train'"), rows.where("partition = 'calibration'")
     base = models.fit_risk_model(train, ["ood_distance", "cheap_screen"], 0, "label_surrogate")
     tuned = models.calibrate(base, held, "label_surrogate", train)
-    return tuned.score(held, "risk").agg(F.count("*").alias("n"), F.round(F.avg("risk"), 6).alias("mean_risk"))
+    return residuals("calibrator", held, tuned.calibrator, {"logit": tuned.logit()}, "label_surrogate")
+
+
+def _risk_terms(features) -> list[str]:
+    return ["intercept", *[f"z_{n}" for n in features], *[f"missing_{n}" for n in features]]
+
 
+SQL_RISK = sql_residuals(
+    {m: _risk_terms(fs) for m, (fs, _, _) in CONFIG.model_definitions.items()} | {f"{m}, calibrated": ["intercept", "logit"] for m in CONFIG.model_definitions},
+    {m: "partition = 'train'" for m in CONFIG.model_definitions} | {f"{m}, calibrated": "partition = 'calibration'" for m in CONFIG.model_definitions})
 
-@query("fit_risk_models", f"""{SQL_PARTED} SELECT COUNT(*) AS n, ROUND(AVG(label_surrogate), 6) AS risk_surrogate, ROUND(AVG(label_total), 6) AS risk_total,
-  ROUND(AVG(label_reference), 6) AS risk_reference_mlip_only, ROUND(AVG(label_reference), 6) AS risk_reference_augmented FROM parted WHERE partition = 'calibration'""")
+
+@query("fit_risk_models", SQL_RISK)
 def _(t):
     rows = parted(t)
     train, held = rows.where("partition = 'train'"), rows.where("partition = 'calibration'")
-    scored = P.with_risks(held, P.fit_models(train, held, CONFIG))
-    return scored.agg(F.count("*").alias("n"), *[F.round(F.avg(f"risk_{m}"), 6).alias(f"risk_{m}") for m in CONFIG.model_definitions])
+    out = None
+    for name, model in P.fit_models(train, held, CONFIG).items():
+        features, _, target = CONFIG.model_definitions[name]
+        columns = dict(zip(_risk_terms(features)[1:], model.preprocessor.columns(F.col)))
+        for part in (residuals(name, train, model.model, columns, f"label_{target}"),
+                     residuals(f"{name}, calibrated", held, model.calibrator, {"logit": model.logit()}, f"label_{target}")):
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("risk_model_scores")
@@ -226,32 +252,24 @@ def study_rows(t):
 
 
 STUDY = P.StudyConfig(
-    surrogate_tolerance=S.SURROGATE_TOL, reference_tolerance=S.REFERENCE_TOL, decision_tolerance=S.DECISION_TOL,
-    bootstrap_repetitions=50, thresholds=(0.25, 0.5, 0.75))
+    surrogate_tolerance=S.SURROGATE_TOL, reference_tolerance=S.REFERENCE_TOL, decision_tolerance=S.DECISION_TOL)
 
 
 @query("fit_study")
 def _(t):
-    artifact = P.fit_study(cut_lineage(study_rows(t)), STUDY, pairwise=False)
+    artifact = P.fit_study(cut_lineage(study_rows(t)), STUDY)
     return summary_columns(artifact.validation.select("name", "policy_id", "n", "accuracy_all_cases", "total_cost", "objective"))
 
 
 @query("evaluate_study")
 def _(t):
     rows = cut_lineage(study_rows(t))
-    artifact = P.fit_study(rows, STUDY, pairwise=False)
+    artifact = P.fit_study(rows, STUDY)
     return rounded(P.evaluate_study(rows, artifact).report, 6)
 
 
 @query("test_audit")
 def _(t):
     rows = cut_lineage(study_rows(t))
-    artifact = P.fit_study(rows, STUDY, pairwise=False)
+    artifact = P.fit_study(rows, STUDY)
     return rounded(P.test_audit(P.scored_test_rows(rows, artifact), artifact.models), 6)
-
-
-@query("synthetic_study", """WITH i AS (SELECT o_custkey AS g, o_orderkey AS i FROM orders)
-SELECT 'SYNTHETIC:' || g || ':' || i AS id, 'SYNTHETIC-GROUP:' || g AS group_id, 0.03::DOUBLE AS cost_mlip FROM i""")
-def _(t):
-    out = synthetic_study(t.orders.select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("item")))
-    return out.select("id", "group_id", F.col("costs")["mlip"].alias("cost_mlip"))

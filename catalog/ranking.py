@@ -175,22 +175,22 @@ reps AS (SELECT replicate, SUM(sv) / SUM(cv) AS statistic FROM draws JOIN per US
 SQL_PAIRED = f"SELECT group_id AS g, ABS(mlip - reference) - ABS(dft - reference) AS v FROM study WHERE {COMPLETE}"
 
 
-@query("cluster_bootstrap", f"""WITH {S.SQL_STUDY}, {sql_bootstrap(SQL_PAIRED, 100)}
+@query("cluster_bootstrap", f"""WITH {S.SQL_STUDY}, {sql_bootstrap(SQL_PAIRED, 1000)}
 SELECT ROUND((SELECT AVG(v) FROM vals), 4) AS estimate, ROUND(quantile_cont(statistic, 0.025::DOUBLE), 4) AS lower,
   ROUND(quantile_cont(statistic, 0.975::DOUBLE), 4) AS upper, 0.95::DOUBLE AS confidence, (SELECT n FROM k) AS groups, COUNT(*) AS repetitions FROM reps""")
 def _(t):
     rows = complete(t).withColumn("delta", F.abs(F.col("mlip") - F.col("reference")) - F.abs(F.col("dft") - F.col("reference")))
-    return rounded(metrics.cluster_bootstrap(rows, "delta", "group_id", repetitions=100, seed=42), 4)
+    return rounded(metrics.cluster_bootstrap(rows, "delta", "group_id", seed=42), 4)
 
 
 @query("cluster_bootstrap_statistic", f"""WITH {S.SQL_STUDY}, vals AS ({SQL_PAIRED}), per AS (
   SELECT g, ROW_NUMBER() OVER (ORDER BY md5(g::VARCHAR)) - 1 AS idx FROM vals GROUP BY g), k AS (SELECT COUNT(*) AS n FROM per),
-draws AS (SELECT r.r AS replicate, ('0x' || substr(md5('7|' || r.r || '|' || d.d), 1, 15))::BIGINT % n AS idx FROM k, range(20) r(r), LATERAL (SELECT UNNEST(range(n)) AS d) d)
+draws AS (SELECT r.r AS replicate, ('0x' || substr(md5('7|' || r.r || '|' || d.d), 1, 15))::BIGINT % n AS idx FROM k, range(100) r(r), LATERAL (SELECT UNNEST(range(n)) AS d) d)
 SELECT replicate, ROUND(SUM(v * v) / COUNT(*) / 1000000, 4) AS statistic FROM draws JOIN per USING (idx) JOIN vals USING (g) GROUP BY replicate""")
 def _(t):
     rows = complete(t).withColumn("delta", F.abs(F.col("mlip") - F.col("reference")) - F.abs(F.col("dft") - F.col("reference")))
     mean_square = lambda v, w: F.sum(w * v * v) / F.sum(w) / 1_000_000
-    return rounded(metrics.bootstrap_replicates(rows, "delta", "group_id", 20, 7, mean_square), 4)
+    return rounded(metrics.bootstrap_replicates(rows, "delta", "group_id", 100, 7, mean_square), 4)
 
 
 # ---- pairwise ----------------------------------------------------------------

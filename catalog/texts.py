@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tierlens.operators import jobs
-from tierlens.plans.lineage import ensure_checkpoint_dir
+from tierlens.plans.lineage import shared_folder
 from tierlens.sources import datasets, geometries, reactions, run_logs
 
 from . import views as S
@@ -100,7 +100,8 @@ def reaction_lines(t):
 
 
 SQL_REACTIONS = """net AS (SELECT l_orderkey, l_partkey, SUM(CASE WHEN l_linestatus = 'F' THEN 1 ELSE -1 END)::DOUBLE AS c FROM lineitem GROUP BY 1, 2),
-rows_ok AS (SELECT o_orderkey, o_totalprice, COUNT(*) FILTER (c <> 0) AS k FROM orders JOIN net ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2)"""
+rows_ok AS (SELECT o_orderkey, o_totalprice, COUNT(*) FILTER (c <> 0) AS k, printf('S:%03d', ROW_NUMBER() OVER (ORDER BY o_orderkey)) AS row_id
+  FROM orders JOIN net ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2)"""
 
 
 @query("parse_reaction_list", f"""WITH {SQL_REACTIONS} SELECT o_orderkey AS line, CASE WHEN k < 2 THEN 'degenerate row' END AS problem,
@@ -113,20 +114,43 @@ def _(t):
 
 
 @query("import_subset", f"""WITH {SQL_REACTIONS}, g AS (
-  SELECT o_orderkey, MAX(k) AS k, COALESCE(string_agg('"S:p' || l_partkey || '"', ',' ORDER BY 'S:p' || l_partkey) FILTER (c > 0), '') AS pos,
+  SELECT o_orderkey, ANY_VALUE(row_id) AS row_id, MAX(k) AS k, COALESCE(string_agg('"S:p' || l_partkey || '"', ',' ORDER BY 'S:p' || l_partkey) FILTER (c > 0), '') AS pos,
     string_agg('S:p' || l_partkey || '=' || c, ',' ORDER BY 'S:p' || l_partkey) AS key
   FROM rows_ok JOIN net ON l_orderkey = o_orderkey AND c <> 0 WHERE k >= 2 GROUP BY 1)
-SELECT o_orderkey AS source_row, printf('S:%03d', o_orderkey) AS id, 'S:ts-' || substr(sha256('[' || pos || ']'), 1, 16) AS group_id, k AS terms,
-  CASE WHEN MIN(o_orderkey) OVER (PARTITION BY key) <> o_orderkey THEN printf('S:%03d', MIN(o_orderkey) OVER (PARTITION BY key)) END AS duplicate_of FROM g""")
+SELECT o_orderkey AS source_row, row_id AS id, 'S:ts-' || substr(sha256('[' || pos || ']'), 1, 16) AS group_id, k AS terms,
+  CASE WHEN MIN(o_orderkey) OVER (PARTITION BY key) <> o_orderkey THEN FIRST(row_id) OVER (PARTITION BY key ORDER BY o_orderkey) END AS duplicate_of FROM g""")
 def _(t):
-    none = F.expr("cast(array() as array<string>)")
-    parts = t.part.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("species"), none.alias("symbols"),
-                          F.expr("cast(array() as array<array<double>>)").alias("positions_angstrom"), F.lit("part").alias("source"))
-    sidecars = t.part.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("species"), F.lit(".CHRG").alias("name"), F.col("p_size").cast("string").alias("text"))
-    _, observables, _ = reactions.import_subset(reaction_lines(t), parts, sidecars, "S")
+    observables = imported(t)[1]
     return observables.select("source_row", "id", "group_id", F.size("terms").alias("terms"), "duplicate_of")
 
 
+def imported(t):
+    """Parts as species: every tenth has no geometry, brand 7 has a broken side file."""
+    species = F.concat(F.lit("p"), F.col("p_partkey"))
+    parts = t.part.where("p_partkey % 10 <> 0").select(
+        species.alias("species"), F.array(F.lit("H"), F.lit("H")).alias("symbols"),
+        F.array(F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0), F.col("p_retailprice"))).alias("positions_angstrom"),
+        F.lit("part").alias("source"))
+    charge = F.when(F.col("p_brand") == "Brand#7", "one").otherwise(F.col("p_size").cast("string"))
+    sidecars = t.part.select(species.alias("species"), F.lit(".CHRG").alias("name"), charge.alias("text"))
+    return reactions.import_subset(reaction_lines(t), parts, sidecars, "S")
+
+
+@query("import_subset_structures", f"""WITH {SQL_REACTIONS}, named AS (
+  SELECT DISTINCT l_partkey FROM rows_ok JOIN net ON l_orderkey = o_orderkey AND c <> 0 WHERE k >= 2)
+SELECT CASE WHEN p_partkey % 10 = 0 THEN 'missing' WHEN p_brand = 'Brand#7' THEN 'species' ELSE 'structure' END AS what, 'S:p' || p_partkey AS item,
+  CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_brand = 'Brand#7' THEN 'invalid side file' ELSE p_size || ' ' || round(p_retailprice * 100)::BIGINT END AS detail
+FROM named JOIN part ON p_partkey = l_partkey
+UNION ALL SELECT 'row', NULL, 'degenerate row' FROM rows_ok WHERE k < 2""")
+def _(t):
+    structures, _, missing, rejects = imported(t)
+    cents = F.round(F.col("positions_angstrom")[1][2] * 100).cast("long")
+    nothing = F.lit(None).cast("string")
+    return structures.select(F.lit("structure").alias("what"), F.col("id").alias("item"), F.concat_ws(" ", "charge", cents).alias("detail")).unionByName(
+        missing.select(F.lit("missing").alias("what"), F.col("id").alias("item"), nothing.alias("detail"))).unionByName(
+        rejects.select("what", F.when(F.col("what") == "species", F.col("item")).alias("item"), F.col("problem").alias("detail")))
+
+
 @query("attach_sidecars", """SELECT 'p' || p_partkey AS species, CASE WHEN p_type = 'ECONOMY' THEN p_size ELSE 0 END AS charge,
   CASE WHEN p_brand = 'Brand#7' THEN -1 WHEN p_type = 'ECONOMY' THEN p_size % 3 ELSE 0 END + 1 AS multiplicity,
   CASE WHEN p_brand = 'Brand#7' THEN 'invalid side file' END AS sidecar_problem FROM part""")
@@ -220,7 +244,7 @@ def _(t):
 
 def _scratch(t, name: str) -> str:
     """A fresh folder in the shared checkpoint area."""
-    return f"{ensure_checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("study_table_round_trip", f"WITH {S.SQL_STUDY} SELECT id, group_id, mlip, dft, reference, reference_quality FROM study")

@@ -203,20 +203,22 @@ def observables(t) -> DataFrame:
 
 
 def scored_documents(t) -> DataFrame:
-    """(doc_id, y, s): quality label and a coarse length score with many ties."""
-    return t.documents.join(t.labels, "doc_id").select(
-        "doc_id", F.col("quality").alias("y"), (F.floor(F.least("n_chars", F.lit(5000)) / 100) / 50).alias("s"), "toxic", "lang", "source")
+    """(doc_id, y, s): quality label and a length score in steps of 1/100, so that many scores tie."""
+    length = F.length("text").cast("long")
+    score = F.expr("100 * _length div (_length + 1500)") / 100
+    return t.documents.withColumn("_length", length).join(t.labels, "doc_id").select(
+        "doc_id", F.col("quality").alias("y"), score.alias("s"), "toxic", "lang", "source")
 
 
 SQL_SCORED = """
 scored AS (
-  SELECT d.doc_id, quality AS y, FLOOR(LEAST(n_chars, 5000) / 100) / 50 AS s, toxic, lang, source
+  SELECT d.doc_id, quality AS y, (100 * LENGTH(text) // (LENGTH(text) + 1500)) / 100 AS s, toxic, lang, source
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
 """
 
 
 def document_entities(t) -> DataFrame:
-    """(row_id, entity): documents and their lines of at least 40 characters."""
+    """(row_id, entity): documents and their lines that are not empty."""
     lines = t.documents.select(F.col("doc_id").alias("row_id"), F.explode(F.split("text", "\n")).alias("line"))
-    long = lines.where(F.length("line") >= 40).select("row_id", F.md5("line").alias("entity"))
-    return long.unionByName(t.documents.select(F.col("doc_id").alias("row_id"), F.lit(None).cast("string").alias("entity")))
+    full = lines.where(F.length("line") > 0).select("row_id", F.md5("line").alias("entity"))
+    return full.unionByName(t.documents.select(F.col("doc_id").alias("row_id"), F.lit(None).cast("string").alias("entity")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_true, stage_operations
+from ..plans.lineage import cut_lineage
 from ..records import REFERENCE_QUALITIES, STAGE_1_FEATURES, STAGE_2_FEATURES
 
 _STAGES = {"screen": ("mlip_features", STAGE_1_FEATURES), "diagnostics": ("dft_features", STAGE_2_FEATURES)}
@@ -134,7 +135,8 @@ def mark_duplicates(observables: DataFrame, order_by: str = "id", terms: str = "
     """``duplicate_of`` = first observable with the same multiset of (species, coefficient), else NULL."""
     key = F.sha2(F.to_json(F.array_sort(terms)), 256)
     keyed = observables.withColumn("_key", key)
-    first = keyed.groupBy("_key").agg(F.min_by("id", order_by).alias("_first"))
+    # written, so that a key shared by many observables is a skewed join that AQE splits
+    first = cut_lineage(keyed.groupBy("_key").agg(F.min_by("id", order_by).alias("_first")))
     return keyed.join(first, "_key").withColumn(
         "duplicate_of", F.when(F.col("_first") != F.col("id"), F.col("_first"))
     ).drop("_key", "_first")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import stage_operations
@@ -60,14 +60,22 @@ def price_conflicts(bought: DataFrame, keys: Sequence[str]) -> DataFrame:
     return first_buyers(bought, keys).where("inconsistent").select(*keys, "op")
 
 
+def one_price() -> Column:
+    """The ``cost`` of a group of offers of one operation; more than one price is an error."""
+    lowest, highest = F.min("cost"), F.max("cost")
+    conflict = F.raise_error(F.lit("one operation is offered at two prices in a ledger"))
+    return F.when(lowest == highest, lowest).when(lowest.isNotNull(), conflict).alias("cost")
+
+
 def charges(bought: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(ledger, row_no, cost): what each row adds to its ledger when nothing is refused."""
-    return first_buyers(bought, keys).groupBy(*keys, "row_no").agg(F.sum("cost").cast("double").alias("cost"))
+    first = _lines(bought, keys).groupBy(*keys, "op").agg(F.min("seq").alias("seq"), one_price())
+    return first.select(*keys, *_purchase_of(), F.col("cost").cast(MONEY).alias("cost")).groupBy(*keys, "row_no").agg(F.sum("cost").cast("double").alias("cost"))
 
 
 def ledger_totals(bought: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(ledger, total_cost) straight from the distinct operations, without attributing them to rows."""
-    per_op = _lines(bought, keys).groupBy(*keys, "op").agg(F.min("cost").alias("cost"))
+    per_op = _lines(bought, keys).groupBy(*keys, "op").agg(one_price())
     return per_op.groupBy(*keys).agg(F.sum(F.col("cost").cast(MONEY)).cast("double").alias("total_cost"))
 
 
@@ -86,13 +94,13 @@ def grid_totals(rows: DataFrame, paths: DataFrame, first_policy: int, policies:
         F.struct(stage_operations(STAGE_OF_STEP[s]).alias("ops"), F.col(f"_m_{s}").alias("mask")) for s in STEPS])
     lines = rows.select("id", "operations", "costs").join(masks, "id").select(F.explode(steps).alias("_s")).where("_s.mask <> 0")
     per_op = lines.select("_s.mask", F.explode("_s.ops").alias("op", "cost")).groupBy("op").agg(
-        F.bit_or("mask").alias("mask"), F.min("cost").alias("cost"))
+        F.bit_or("mask").alias("mask"), one_price())
     spread = per_op.select("cost", "mask", F.explode(F.sequence(F.lit(0), F.lit(policies - 1))).alias("_p"))
     return spread.where(F.expr("shiftright(mask, _p) & 1") == 1).groupBy((F.col("_p") + first_policy).alias("policy_id")).agg(
         F.sum(F.col("cost").cast(MONEY)).cast("double").alias("total_cost"))
 
 
-def charge_with_budget(bought: DataFrame, keys: Sequence[str], budget: float, max_rounds: int = 10_000) -> DataFrame:
+def charge_with_budget(bought: DataFrame, keys: Sequence[str], budget: float) -> DataFrame:
     """(ledger, row_no, cost, refused_step_no): purchases in ``seq`` order under a budget per ledger.
 
     A purchase that does not fit is refused whole and ends its row; cheaper ones later may still fit.  The
@@ -103,7 +111,8 @@ def charge_with_budget(bought: DataFrame, keys: Sequence[str], budget: float, ma
     * whatever lies behind and costs more than what is then left can never be bought (operations it is first
       to need cannot become free), so it is refused at once with the later steps of its row.
 
-    A round ends at least one purchase per open ledger, and usually whole price classes.
+    A round ends at least one purchase per open ledger (the first that does not fit), and usually whole price
+    classes, so the rounds end when nothing is pending.
     """
     keys = list(keys)
     if budget < 0:
@@ -114,10 +123,8 @@ def charge_with_budget(bought: DataFrame, keys: Sequence[str], budget: float, ma
     pending = cut_lineage(_lines(bought, keys))
     spent = None
     verdicts = []
-    for _ in range(max_rounds):
-        if pending.isEmpty():
-            break
-        first = cut_lineage(pending.groupBy(*keys, "op").agg(F.min("seq").alias("seq"), F.min("cost").alias("cost")).select(
+    while not pending.isEmpty():
+        first = cut_lineage(pending.groupBy(*keys, "op").agg(F.min("seq").alias("seq"), one_price()).select(
             *keys, "op", *_purchase_of(), F.col("cost").cast(MONEY).alias("cost")))
         priced = first.groupBy(*row_keys, "step_no", "seq").agg(F.sum("cost").cast("decimal(38,12)").alias("price"))
         lined = running(priced, "seq", sums={"upto": "price"}, keys=keys, edges=edges)
@@ -142,8 +149,6 @@ def charge_with_budget(bought: DataFrame, keys: Sequence[str], budget: float, ma
             F.col("refused_step_no").isNull() | (F.col("seq") % 8 < F.col("refused_step_no")))
         pending = cut_lineage(pending.select(*keys, "seq", "op", "cost"))
         spent = state.select(*keys, "spent")
-    else:
-        raise RuntimeError("budget rounds did not finish")
     union = bought.select(*row_keys).distinct().select(
         *row_keys, F.lit(None).cast("int").alias("step_no"), F.lit(0).cast("decimal(38,12)").alias("price"), F.lit(True).alias("paid"))
     for part in verdicts:

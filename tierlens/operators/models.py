@@ -79,6 +79,17 @@ def fit_logistic(df: DataFrame, inputs: Sequence[str], label: str, l2: float = 1
                          converged=rounds < MAX_ITERATIONS, iterations=rounds)
 
 
+def score_residuals(df: DataFrame, model: LogisticModel, inputs: dict[str, Column], label: str) -> DataFrame:
+    """(term, n, residual): the mean gradient of the penalised loss per coefficient, 0 at the optimum."""
+    rows = df.where(F.col(label).isNotNull())
+    miss = model.probability(list(inputs.values())) - F.col(label)
+    # a constant model has no coefficients to test: its residual is that of the smoothed share
+    penalty = dict(zip(inputs, model.coef))
+    sums = {"intercept": F.sum(miss)} | {n: F.sum(miss * x) + F.lit(model.l2 * penalty[n]) for n, x in inputs.items()}
+    found = F.array(*[F.struct(F.lit(n).alias("term"), F.count("*").alias("n"), (s / F.count("*")).alias("residual")) for n, s in sums.items()])
+    return rows.agg(found.alias("_r")).select(F.explode("_r").alias("_r")).select("_r.*")
+
+
 @dataclass(frozen=True)
 class RiskModel:
     preprocessor: Preprocessor

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import convert_energy, exact_sum
+from ..plans.lineage import cut_lineage
 from ..records import FEATURES, STAGE_DFT, AUXILIARY_FEATURES
 
 
@@ -57,14 +58,14 @@ def _per_structure(calculations: DataFrame, methods: Sequence[str]) -> DataFrame
 def term_records(terms: DataFrame, calculations: DataFrame, structures: DataFrame, methods: Sequence[str]) -> DataFrame:
     """(observable, position, method) with its calculation record ``rec`` (NULL if missing).
 
-    The calculation side is folded to one row per structure first, so terms are shuffled once however many
-    methods there are, and a structure used by a large share of all terms is a plain skewed join that AQE
-    splits on the term side.
+    The calculation side is folded to one row per structure and written first, so terms are shuffled once however
+    many methods there are, and a structure used by a large share of all terms is a join of two plain shuffles
+    that AQE splits on the term side.
     """
-    per_structure = structures.select(
+    per_structure = cut_lineage(structures.select(
         F.col("id").alias("structure_id"), F.col("geometry_hash").alias("_expected_hash"),
         (F.col("atom_count") if "atom_count" in structures.columns else F.lit(None).cast("int")).alias("_atoms"),
-    ).join(_per_structure(calculations, methods), "structure_id", "left")
+    ).join(_per_structure(calculations, methods), "structure_id", "left"))
     wanted = F.explode(F.array(*[F.lit(m) for m in methods])).alias("method_id")
     return terms.join(per_structure, "structure_id", "left").select("*", wanted).withColumn(
         "rec", F.try_element_at("_by_method", F.col("method_id"))
@@ -200,6 +201,9 @@ def decision_group_leaks(rows: DataFrame) -> DataFrame:
 
 # ---- the wide study table ----------------------------------------------------
 
+CARRIED = ("duplicate_of", "metadata", "ord")
+
+
 def _operation_key() -> Column:
     rec = F.col("rec")
     return F.concat_ws("/", F.col("structure_id"), rec["geometry_hash"], F.col("method_id"), rec["settings_hash"])
@@ -208,14 +212,18 @@ def _operation_key() -> Column:
 def assemble_study(
     observables: DataFrame, terms: DataFrame, calculations: DataFrame, structures: DataFrame,
     mlip_methods: Sequence[str], dft_method: str, high_level_method: str | None = None,
-    high_level_cost: float = 20.0,
+    high_level_cost: float = 20.0, require_teacher: bool = False,
 ) -> DataFrame:
     """One study row per observable; failed calculations stay as NULL with their reasons.
 
     The first surrogate method is the primary one and is never swapped.  The ensemble spread exists only if
-    *every* one of at least two members succeeded, a diagnostic only if every species reports it.
+    *every* one of at least two members succeeded, a diagnostic only if every species reports it.  What an
+    observable carries of ``duplicate_of``, ``metadata`` and ``ord`` goes on into its study row; with
+    ``require_teacher`` the surrogate and teacher records must share one verified teacher.
     """
     check_method_names(mlip_methods, dft_method, high_level_method)
+    if require_teacher and not teacher_match(calculations, mlip_methods, dft_method).first()["matched"]:
+        raise ValueError("surrogate and teacher records do not share one verified teacher")
     if high_level_cost < 0:
         raise ValueError("high_level_cost must be non-negative")
     methods = [*mlip_methods, dft_method, *([high_level_method] if high_level_method else [])]
@@ -282,4 +290,5 @@ def assemble_study(
         F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("operations"),
         "failures",
         ref["source"].alias("reference_source"), ref["method"].alias("reference_method"),
+        *[observables[c] for c in CARRIED if c in observables.columns],
     )

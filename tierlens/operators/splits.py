@@ -88,35 +88,34 @@ def key_differences(left: DataFrame, right: DataFrame, key: str = "id") -> DataF
         key, F.when(F.col("l") == 1, "left").otherwise("right").alias("only_in"))
 
 
-def connected_groups(links: DataFrame, row_id: str = "row_id", entity: str = "entity", max_rounds: int = 60) -> DataFrame:
+def connected_groups(links: DataFrame, row_id: str = "row_id", entity: str = "entity") -> DataFrame:
     """(row_id, component): rows sharing any entity, directly or through others, get the smallest row id.
 
     Every entity first contributes a star from its smallest row (a partial aggregation, never its pairs).
     Alternating star contraction then shortens the graph in O(log^2 n) rounds: each round links a node's
-    larger neighbours, then its smaller ones, to the smallest neighbour known.  Hubs are only ever the
-    group key of a ``min`` or the skewed side of an equi-join that AQE can split.  ``links`` rows with a
+    larger neighbours, then its smaller ones, to the smallest neighbour known.  Until only stars are left,
+    a round moves some node to a smaller neighbour, so the rounds end.  Hubs are only ever the group key of a
+    ``min`` or the skewed side of an equi-join of two written tables, which AQE splits.  ``links`` rows with a
     NULL entity keep their row in the result as a component of its own.
     """
     nodes = links.select(F.col(row_id).alias("row_id")).distinct()
-    linked = links.where(F.col(entity).isNotNull()).select(F.col(row_id).alias("v"), F.col(entity).alias("_e")).distinct()
-    stars = linked.groupBy("_e").agg(F.min("v").alias("u"))
+    linked = cut_lineage(links.where(F.col(entity).isNotNull()).select(F.col(row_id).alias("v"), F.col(entity).alias("_e")).distinct())
+    stars = cut_lineage(linked.groupBy("_e").agg(F.min("v").alias("u")))
     edges = linked.join(stars, "_e").where(F.col("u") < F.col("v")).select("u", "v").distinct()
     edges = cut_lineage(edges)
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(lowest, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        lowest = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut_lineage(both.where(F.col("v") > F.col("u")).join(lowest, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct())
         # small star: each node keeps its smaller neighbours, all tied to the smallest of them
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        least = cut_lineage(large.groupBy("v").agg(F.min("u").alias("m")))
         tied = large.join(least, "v").where(F.col("u") > F.col("m")).select(F.col("m").alias("u"), F.col("u").alias("v"))
         edges = cut_lineage(tied.unionByName(least.select(F.col("m").alias("u"), "v")).distinct())
         signature = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(signature) == before:
             break
         before = tuple(signature)
-    else:
-        raise RuntimeError("component contraction did not settle")
     return nodes.join(edges.select(F.col("v").alias("row_id"), F.col("u").alias("component")), "row_id", "left").select(
         "row_id", F.coalesce("component", "row_id").alias("component"))
 

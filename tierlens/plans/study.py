@@ -7,9 +7,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import blind_by_label, error_decomposition, is_true, target_labels
@@ -166,17 +166,55 @@ class Artifact:
     validation: DataFrame = field(compare=False)
     balance: DataFrame = field(compare=False)
     exclusions: DataFrame = field(compare=False)
+    fingerprints: dict[str, str] = field(default_factory=dict)
     sha256: str = ""
 
+    def tables(self) -> dict[str, DataFrame]:
+        return {"split": self.split, "validation": self.validation, "balance": self.balance, "exclusions": self.exclusions}
+
+    def table_fingerprints(self) -> dict[str, str]:
+        """One fingerprint per table as it is now, and one of the ids each model was trained and calibrated on."""
+        marks = {name: multiset_fingerprint(_flat(df), df.columns).first()["fingerprint"] for name, df in self.tables().items()}
+        for part in ("train", "calibration"):
+            ids = self.split.where(F.col("partition") == part).select("id")
+            marks[f"{part}_ids"] = multiset_fingerprint(ids, ["id"]).first()["fingerprint"]
+        return marks
+
     def content(self) -> dict:
         return {"config": asdict(self.config), "table": self.table_fingerprint, "selected": self.selected,
-                "models": {k: m.to_dict() for k, m in self.models.items()}}
+                "models": {k: m.to_dict() for k, m in self.models.items()}, "fingerprints": self.fingerprints}
 
     def digest(self) -> str:
         text = json.dumps(self.content(), sort_keys=True, separators=(",", ":"), allow_nan=False)
         return hashlib.sha256(text.encode()).hexdigest()
 
 
+def _flat(df: DataFrame) -> DataFrame:
+    """Doubles in twelve significant digits, so that a stored table has the fingerprint of the computed one."""
+    return df.select(*[
+        F.format_string("%.11e", F.col(f.name)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
+        for f in df.schema.fields])
+
+
+def save_artifact(artifact: Artifact, path: str) -> None:
+    """Write a frozen study below ``path``: its tables as Parquet, the rest as one line of JSON."""
+    spark = artifact.split.sparkSession
+    for name, df in artifact.tables().items():
+        df.write.mode("error").parquet(f"{path}/{name}")
+    text = json.dumps({**artifact.content(), "sha256": artifact.sha256}, sort_keys=True, allow_nan=False)
+    spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("error").text(f"{path}/artifact")
+
+
+def load_artifact(spark: SparkSession, path: str) -> Artifact:
+    """Read a frozen study; ``verify_artifact`` decides whether it may be used."""
+    value = json.loads(spark.read.text(f"{path}/artifact").first()["value"])
+    config = {k: tuple(v) if isinstance(v, list) else v for k, v in value["config"].items()}
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("split", "validation", "balance", "exclusions")}
+    return Artifact(
+        StudyConfig(**config), value["table"], {k: RiskModel.from_dict(m) for k, m in value["models"].items()}, value["selected"],
+        fingerprints=value["fingerprints"], sha256=value["sha256"], **tables)
+
+
 BASELINES = (
     {"name": "always_mlip", "mode": "always_mlip"},
     {"name": "always_dft", "mode": "always_dft"},
@@ -200,8 +238,10 @@ def fit_study(rows: DataFrame, config: StudyConfig, pairwise: bool = True) -> Ar
     balance = class_balance(
         staged.where(F.col("partition").isin("train", "calibration")), "partition",
         {n: f"label_{t}" for n, (_, _, t) in config.model_definitions.items()})
-    artifact = Artifact(config, fingerprint(rows), models, [*BASELINES, *best.values()], split, scores, balance, exclusions)
-    return Artifact(**{**artifact.__dict__, "sha256": artifact.digest()})
+    artifact = Artifact(
+        config, fingerprint(rows), models, [*BASELINES, *best.values()], split, scores, cut_lineage(balance), cut_lineage(exclusions))
+    artifact = replace(artifact, fingerprints=artifact.table_fingerprints())
+    return replace(artifact, sha256=artifact.digest())
 
 
 def _long(df: DataFrame, section: str, name: Column | str | None = None) -> DataFrame:
@@ -224,9 +264,13 @@ class Evaluation:
 
 
 def verify_artifact(rows: DataFrame, artifact: Artifact) -> None:
-    """Refuse a changed artifact, another table, or leaked test rows."""
+    """Refuse a changed artifact (its split, scores and model rows included), another table, or leaked test rows."""
     if artifact.sha256 != artifact.digest():
         raise ValueError("frozen artifact hash mismatch")
+    found = artifact.table_fingerprints()
+    changed = sorted(k for k in found if found[k] != artifact.fingerprints.get(k))
+    if changed:
+        raise ValueError(f"frozen artifact does not match its tables: {changed}")
     eligible, _ = split_eligible(rows, artifact.config)
     development = artifact.split.where(F.col("partition").isin("train", "calibration", "validation")).select("id")
     checks = pairing_report(fingerprint(rows), artifact.table_fingerprint, eligible, artifact.split, development)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_true, settle
 from ..operators.enrich import mark_duplicates
+from ..operators.ordered import running, value_edges
 from .text import to_number, words_of
 
 # fixed values: grammar of one row, "$tmer a/$f b/$f x c1 c2 $w reference"
@@ -60,14 +61,18 @@ def parse_reaction_lines(lines: DataFrame) -> DataFrame:
 
 
 def reaction_observables(parsed: DataFrame, subset: str, kind: str = "barrier", order_by: str = "line") -> DataFrame:
-    """Observables of one list: id from the line, split group from the positive species, duplicates marked."""
-    good = parsed.where(F.col("problem").isNull())
+    """Observables of one list: id from the data row, split group from the positive species, duplicates marked.
+
+    Data rows are numbered from 1 in the order of ``order_by``.
+    """
+    numbered = running(parsed.withColumn("_one", F.lit(1)), order_by, sums={"_row": "_one"}, edges=value_edges(parsed, order_by))
+    good = numbered.where(F.col("problem").isNull())
     terms = F.transform("terms", lambda t: F.struct(
         F.concat(F.lit(subset + ":"), t["structure_id"]).alias("structure_id"), t["coefficient"].alias("coefficient")))
     df = good.withColumn("terms", terms)
     positive = F.array_sort(F.transform(F.filter("terms", lambda t: t["coefficient"] > 0), lambda t: t["structure_id"]))
     df = df.select(
-        F.format_string(f"{subset}:%03d", F.col(order_by).cast("long")).alias("id"),
+        F.format_string(f"{subset}:%03d", F.col("_row").cast("long")).alias("id"),
         F.concat(F.lit(f"{subset}:ts-"), F.substring(F.sha2(F.to_json(positive), 256), 1, 16)).alias("group_id"),
         F.lit(kind).alias("kind"), "terms",
         F.struct(
@@ -84,9 +89,10 @@ def reaction_observables(parsed: DataFrame, subset: str, kind: str = "barrier",
 def attach_sidecars(geometries: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Geometries (species, …) with charge and multiplicity from (species, name, text) integer side files.
 
-    Missing files mean charge 0 and no unpaired electron; anything but an integer, or a negative count, is a
-    ``sidecar_problem``.
+    Missing files (no row, or a NULL text) mean charge 0 and no unpaired electron; anything but an integer, or a
+    negative count, is a ``sidecar_problem``.
     """
+    sidecars = sidecars.where(F.col("text").isNotNull())
     number = F.when(F.trim("text").rlike(r"^[+-]?\d+$"), F.trim("text").try_cast("int"))
     per = sidecars.groupBy("species").agg(
         F.max(F.when(F.col("name") == ".CHRG", number)).alias("_charge"),
@@ -99,14 +105,20 @@ def attach_sidecars(geometries: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 
 def import_subset(lines: DataFrame, geometries: DataFrame, sidecars: DataFrame, subset: str, kind: str = "barrier"):
-    """(structures, observables, missing) of one reaction list.
+    """(structures, observables, missing, rejects) of one reaction list.
 
     ``geometries``: (species, symbols, positions_angstrom, source).  Only species some row names are kept;
-    ``missing`` lists named species without a geometry.
+    ``missing`` lists named species without a geometry.  ``rejects`` (what, item, problem) holds every row outside
+    the grammar and every named species with an invalid side file; such structures are not returned.
     """
-    observables = reaction_observables(parse_reaction_lines(lines), subset, kind)
+    parsed = parse_reaction_lines(lines)
+    observables = reaction_observables(parsed, subset, kind)
     named = observables.select(F.explode("terms.structure_id").alias("id")).distinct()
     described = attach_sidecars(geometries, sidecars).withColumn("id", F.concat(F.lit(subset + ":"), F.col("species")))
-    structures = named.join(described, "id").select(
-        "id", "symbols", "positions_angstrom", "charge", "multiplicity", "source", "sidecar_problem")
-    return structures, observables, named.join(described, "id", "left_anti")
+    found = named.join(described, "id")
+    bad_rows = parsed.where(F.col("problem").isNotNull()).select(F.lit("row").alias("what"), F.col("source_line").alias("item"), "problem")
+    bad_species = found.where(F.col("sidecar_problem").isNotNull()).select(
+        F.lit("species").alias("what"), F.col("id").alias("item"), F.col("sidecar_problem").alias("problem"))
+    structures = found.where(F.col("sidecar_problem").isNull()).select(
+        "id", "symbols", "positions_angstrom", "charge", "multiplicity", "source")
+    return structures, observables, named.join(described, "id", "left_anti"), bad_rows.unionByName(bad_species)

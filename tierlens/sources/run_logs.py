@@ -42,7 +42,8 @@ def orbital_table_gap(text) -> Column:
     """Smallest gap over the spin channels of the only orbital table; NULL whenever it is not clear-cut."""
     text = col(text)
     after = F.split(text, ORBITAL_TITLE)[1]
-    tables = F.slice(F.split(after, ORBITAL_HEADER), 2, 1_000_000)
+    pieces = F.split(after, ORBITAL_HEADER)
+    tables = F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1)))
 
     def kind(line: Column) -> Column:
         return F.when(line.rlike(ORBITAL_ROW), "r").when(F.trim(line) == "", "b").otherwise("x")

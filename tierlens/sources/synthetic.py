@@ -66,7 +66,8 @@ def synthetic_study(ids: DataFrame, seed: int = 42) -> DataFrame:
         (F.col("reference") + 0.05 * per_item("hl")).alias("high_level_value"), F.lit(True).alias("high_level_supported"),
         F.concat(F.lit("SYNTHETIC-DECISION:"), g.cast("string")).alias("decision_group"),
         F.expr("cast(map() as map<string,map<string,double>>)").alias("operations"),
-        (g.cast("long") * 1_000_000 + i.cast("long")).alias("ord"),
+        # unique per (group, item) however many items there are: the pairing function of two naturals
+        ((g + i).cast("long") * (g + i + 1).cast("long") / 2 + i).cast("long").alias("ord"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +22,7 @@ def read_text_files(spark: SparkSession, path) -> DataFrame:
 def read_listed_files(paths: DataFrame, path: str = "path") -> DataFrame:
     """(path, text) for files Spark's readers skip because their names start with a dot.
 
-    The folder must be mounted on every executor; a missing file gives NULL text.
+    The folder must be mounted on every executor: a missing file gives NULL text, a missing folder is an error.
     """
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,6 +33,8 @@ def read_listed_files(paths: DataFrame, path: str = "path") -> DataFrame:
                     with open(p, encoding="utf-8") as handle:
                         texts.append(handle.read())
                 except FileNotFoundError:
+                    if not os.path.isdir(os.path.dirname(p) or "."):
+                        raise
                     texts.append(None)
             yield pd.DataFrame({"path": batch[path], "text": texts})
 
