@@ -68,3 +68,14 @@ def test_budget_matches_the_sequential_walk(spark, budget):
         for row in cost:
             assert got[name, row].cost == pytest.approx(cost[row]), (name, row)
             assert got[name, row].refused_step_no == refused.get(row), (name, row)
+
+
+def test_two_prices_are_an_error(spark):
+    bought = spark.createDataFrame(
+        [("l", 1, 1, {"x": 2.0}, 9), ("l", 2, 1, {"x": 1.0}, 17)], "policy_id string, row_no long, step_no int, operations map<string,double>, seq long")
+    for run in (ledger.charges, ledger.ledger_totals):
+        with pytest.raises(Exception, match="two prices"):
+            run(bought, ["policy_id"]).collect()
+    with pytest.raises(Exception, match="two prices"):
+        ledger.charge_with_budget(bought, ["policy_id"], 5.0).collect()
+    assert ledger.price_conflicts(bought, ["policy_id"]).count() == 1

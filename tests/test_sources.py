@@ -91,7 +91,9 @@ def test_reaction_grammar(spark):
     assert [tuple(t) for t in got[4].terms] == [("a", 2.0), ("b", 1.0)]
     assert all(got[k].problem and got[k].terms is None for k in range(5, 11))
     obs = {r.id: r for r in reactions.reaction_observables(reactions.parse_reaction_lines(df), "S").collect()}
-    assert obs["S:002"].duplicate_of is None and obs["S:003"].duplicate_of == "S:002" and obs["S:002"].group_id == obs["S:003"].group_id
+    # observables are numbered by data row: the preamble has no number
+    assert obs["S:001"].duplicate_of is None and obs["S:002"].duplicate_of == "S:001" and obs["S:001"].group_id == obs["S:002"].group_id
+    assert sorted(obs) == ["S:001", "S:002", "S:003"]
 
 
 def test_hidden_side_files(spark, tmp_path):

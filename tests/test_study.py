@@ -79,3 +79,23 @@ def test_models_round_trip(artifact):
 
     for model in artifact.models.values():
         assert RiskModel.from_dict(model.to_dict()) == model
+
+
+def test_changed_split_is_refused(spark, rows, artifact):
+    swapped = artifact.split.withColumn("partition", F.when(F.col("partition") == "train", "test").when(F.col("partition") == "test", "train").otherwise(F.col("partition")))
+    with pytest.raises(ValueError, match="split"):
+        P.verify_artifact(rows, replace(artifact, split=swapped))
+    first = artifact.split.where("partition = 'train'").agg(F.min("id")).first()[0]
+    moved = artifact.split.withColumn("partition", F.when(F.col("id") == first, "test").otherwise(F.col("partition")))
+    with pytest.raises(ValueError, match="split"):
+        P.verify_artifact(rows, replace(artifact, split=moved))
+    with pytest.raises(ValueError, match="validation"):
+        P.verify_artifact(rows, replace(artifact, validation=artifact.validation.where("policy_id > 0")))
+
+
+def test_stored_study_is_the_same_study(spark, rows, artifact, tmp_path):
+    P.save_artifact(artifact, str(tmp_path / "frozen"))
+    loaded = P.load_artifact(spark, str(tmp_path / "frozen"))
+    assert loaded.digest() == loaded.sha256 == artifact.sha256
+    P.verify_artifact(rows, loaded)
+    assert loaded.config == artifact.config and loaded.models == artifact.models
