@@ -89,6 +89,18 @@ def test_sentences_tile_the_text(text):
     assert sum(n for _, _, n in parts) == len(text.split()) and all(n <= 4 for _, _, n in parts)
 
 
+def test_a_passage_inside_a_long_sentence_is_found():
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    for _ in range(20):
+        passage = words(80)
+        known = {h for h, _, _ in spans_of(f"{words(9)} {passage}   {words(5)}")}
+        two = f"{words(4)} {passage}{' ' * 40}{words(7)}"
+        parts = sentences_of(two)
+        covered = {i for h, a, b in spans_of(two) if h in known for i in range(a, b + 1)}
+        assert sum(parts[i][2] for i in covered) > 40 and all(two[s:e].strip() in passage for s, e, _ in (parts[i] for i in covered))
+
+
 def test_every_long_aligned_passage_is_covered_by_spans():
     rng = random.Random(4)
 

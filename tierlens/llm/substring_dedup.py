@@ -1,6 +1,6 @@
 """Substring dedup by sliding sentence spans (operator 4).
 
-Every document is cut into sentences (long ones into pieces of a bounded number of words).  A span is a run of at
+Every document is cut into sentences, long ones into pieces that end at certain words or after a bounded number.  A span is a run of at
 least ``sentences`` consecutive sentences with at least ``words`` words: the shortest one from every sentence on, and
 the shortest one up to every sentence.  Spans are joined globally by hash.  Of a repeated span the first occurrence
 stays, by smallest id and position; every sentence that another occurrence covers is removed.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ from .tables import Scratch
 # a sentence ends with one of . ! ? (not a run of them) before white space, or at a line end
 _CUT = re.compile(r"(?<![.!?])[.!?]\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
+_CUT_WORDS = 6  # in a long sentence one word in so many ends a piece
 _SIGN = 1 << 63
 
 
@@ -30,20 +32,22 @@ def sentences_of(text: str, longest: int = 16) -> list[tuple[int, int, int]]:
     for end in [*(m.end() for m in _CUT.finditer(text)), len(text)]:
         if end <= start:
             continue
-        words = [m.end() for m in _WORD.finditer(text, start, end)]
+        words = list(_WORD.finditer(text, start, end))
         if len(words) <= longest:
             out.append((start, end, len(words)))
         else:
-            at = start
-            for i in range(longest, len(words) + longest, longest):
-                stop = words[i - 1] if i < len(words) else end
-                out.append((at, stop, min(longest, len(words) - i + longest)))
-                at = stop
+            at, n = start, 0
+            for word in words:
+                n, stop = n + 1, word.end()
+                # the word decides, so copies that begin at different words are cut alike from the next such word on
+                if n == longest or stop == end or crc32(word[0].rstrip().encode("utf-8", "surrogatepass")) % _CUT_WORDS == 0:
+                    out.append((at, stop, n))
+                    at, n = stop, 0
         start = end
     return out
 
 
-def spans_of(text: str, least: int = 3, words: int = 25) -> list[tuple[int, int, int]]:
+def spans_of(text: str, least: int = 3, words: int = 20) -> list[tuple[int, int, int]]:
     """(hash, first, last): signed 64-bit hash of the words of each span, and the sentences it covers."""
     parts = sentences_of(text)
     folded = [" ".join(text[s:e].lower().split()) for s, e, _ in parts]
