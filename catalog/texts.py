@@ -247,11 +247,17 @@ def _scratch(t, name: str) -> str:
     return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("study_table_round_trip", f"WITH {S.SQL_STUDY} SELECT id, group_id, mlip, dft, reference, reference_quality FROM study")
+@query("study_table_round_trip", f"""WITH {S.SQL_STUDY} SELECT id::VARCHAR AS id, group_id::VARCHAR AS group_id, mlip, dft, reference, reference_quality,
+  ensemble_std, fod, 20.0::DOUBLE AS high_level_cost, COALESCE((SELECT COUNT(DISTINCT l_partkey) FROM lineitem WHERE l_orderkey = id), 0) AS dft_operations FROM study""")
 def _(t):
+    from .policies import study_rows
+
     path = _scratch(t, "study-table")
-    datasets.save_table(S.study(t).select("id", "group_id", "mlip", "dft", "reference", "reference_quality"), path)
-    return datasets.load_table(t.spark, path)
+    datasets.save_table(study_rows(t), path)
+    return datasets.load_table(t.spark, path).select(
+        "id", "group_id", "mlip", "dft", "reference", "reference_quality", F.col("mlip_features")["ensemble_std"].alias("ensemble_std"),
+        F.col("dft_features")["fod"].alias("fod"), F.col("costs")["high_level"].alias("high_level_cost"),
+        F.coalesce(F.size(F.col("operations")["dft"]), F.lit(0)).alias("dft_operations"))
 
 
 @query("scan_manifest", "SELECT o_orderkey::VARCHAR AS system_id, o_orderpriority AS reaction_class, o_orderstatus AS decision_type FROM orders")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_true, stage_operations
+from ..functions.columns import finite, is_true, stage_operations
 from ..plans.lineage import cut_lineage
 from ..records import REFERENCE_QUALITIES, STAGE_1_FEATURES, STAGE_2_FEATURES
 
@@ -17,6 +17,8 @@ def attachment_violations(rows: DataFrame, attachments: DataFrame) -> DataFrame:
     p = F.col("provenance")
     own = (
         F.when(~is_true(F.col("stage").isin(*_STAGES)), F.lit("stage"))
+        .when(is_true(F.size("features") > 0) == F.lit(False), F.lit("features_required"))
+        .when(~is_true(F.forall(F.map_values("features"), finite)), F.lit("feature_value"))
         .when(is_true(F.size("operations") > 0) == F.lit(False), F.lit("operations_required"))
         .when(~is_true(F.forall(F.map_values("operations"), lambda v: v >= 0)), F.lit("operation_cost"))
         .when(~is_true(F.length(p["method"]) > 0) | ~is_true(p["source_sha256"].rlike("^[0-9a-f]{64}$")),
@@ -63,7 +65,8 @@ def attach_features(rows: DataFrame, attachments: DataFrame) -> DataFrame:
         F.flatten(F.collect_list(F.when(F.col("stage") == stage, F.map_entries(kind)))).alias(f"_{kind}_{stage}")
         for stage in _STAGES for kind in ("features", "operations")
     ], F.array_sort(F.collect_list(F.struct(
-        "stage", F.col("provenance.method").alias("method"), F.col("provenance.source_sha256").alias("source_sha256")
+        "row_id", "stage", F.col("provenance.method").alias("method"), F.col("provenance.source_sha256").alias("source_sha256"),
+        *[F.array_sort(F.map_entries(kind)).alias(kind) for kind in ("features", "operations")],
     ))).alias("attachments"))
     joined = rows.join(per_row, rows["id"] == per_row["row_id"], "left").drop("row_id")
     updates = {}

@@ -20,6 +20,7 @@ from ..operators.metrics import (
     blind_rate, class_balance, classification_report, cluster_bootstrap, raw_score_report, regression_report,
 )
 from ..operators.models import RiskModel, calibrate, fit_risk_model
+from ..operators.observables import decision_group_leaks
 from ..operators.ordered import pareto_frontier, risk_coverage
 from ..operators.replay import default_grid, policy_grid, replay_summary, run_policies, select_policy
 from ..operators.splits import grouped_split, pairing_report, split_audit
@@ -223,7 +224,12 @@ BASELINES = (
 
 
 def fit_study(rows: DataFrame, config: StudyConfig, pairwise: bool = True) -> Artifact:
-    """Split, fit, calibrate and select policies without looking at test labels."""
+    """Split, fit, calibrate and select policies without looking at test labels.
+
+    Decision groups must not cross split groups; conflicting prices stop the ledgers.
+    """
+    if not decision_group_leaks(rows).isEmpty():
+        raise ValueError("a decision group crosses split groups")
     eligible, exclusions = split_eligible(rows, config)
     split = cut_lineage(grouped_split(eligible, seed=config.seed))
     staged = cut_lineage(study_frame(eligible, config).join(split.select("id", "partition"), "id"))
