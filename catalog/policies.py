@@ -261,6 +261,42 @@ def _(t):
     return summary_columns(artifact.validation.select("name", "policy_id", "n", "accuracy_all_cases", "total_cost", "objective"))
 
 
+SQL_TEST_ROWS = f"""{SQL_LABELLED}, eligible AS (
+  SELECT * FROM labelled WHERE reference_quality = 'reviewed' AND label_surrogate IS NOT NULL AND label_reference IS NOT NULL AND label_total IS NOT NULL),
+{SQL_SPLIT.replace("SELECT DISTINCT o_custkey AS g FROM orders", "SELECT DISTINCT group_id AS g FROM eligible").replace(
+    "SELECT o_orderkey AS id, o_custkey AS group_id, p AS partition FROM orders JOIN r ON g = o_custkey", "SELECT id, group_id, p AS partition FROM eligible JOIN r ON g = group_id")},
+test AS (SELECT *, ABS(mlip - dft) <= {S.SURROGATE_TOL} AND label_reference = 1 AS blind FROM eligible WHERE id IN (SELECT id FROM split WHERE partition = 'test'))"""
+SQL_REGRESSION = " UNION ALL ".join(
+    f"SELECT 'regression' AS section, '{a}_vs_{b}' AS name, UNNEST(['n', 'mae', 'rmse', 'bias', 'max_abs']) AS metric, "
+    f"UNNEST([COUNT(*)::DOUBLE, AVG(ABS({a} - {b})), SQRT(AVG(({a} - {b}) * ({a} - {b}))), AVG({a} - {b}), MAX(ABS({a} - {b}))]) AS value FROM test"
+    for a, b in (("mlip", "dft"), ("dft", "reference"), ("mlip", "reference")))
+
+
+# what a report says without any fitted model, in SQL: a wrong split or eligibility shows here
+@query("evaluate_study_exact", f"""{SQL_TEST_ROWS}, cost AS (SELECT 0.03::DOUBLE * COUNT(DISTINCT l_partkey) AS c FROM lineitem WHERE l_orderkey IN (SELECT id FROM test)),
+always AS (SELECT COUNT(*)::DOUBLE AS n, AVG((ABS(mlip - reference) + COALESCE(reference_uncertainty, 0) <= {S.DECISION_TOL})::INT) AS ok, AVG(ABS(mlip - reference)) AS mae FROM test)
+SELECT section, name, metric, ROUND(value, 4) AS value FROM (
+  SELECT 'reference_blind' AS section, 'all' AS name, UNNEST(['n', 'blind_count', 'blind_fraction', 'uncertainty_missing']) AS metric,
+    UNNEST([COUNT(*)::DOUBLE, SUM(blind::INT)::DOUBLE, AVG(blind::INT), COUNT(*) FILTER (reference_uncertainty IS NULL)::DOUBLE]) AS value FROM test
+  UNION ALL {SQL_REGRESSION}
+  UNION ALL SELECT 'policies', 'always_mlip', UNNEST(['n', 'coverage', 'accuracy_all_cases', 'accuracy_accepted', 'mae_accepted', 'total_cost', 'mean_cost', 'dft_call_fraction', 'high_level_call_fraction', 'objective']),
+    UNNEST([n, 1, ok, ok, mae, c, c / n, 0, 0, 1 - ok + 0.05 * (c / n) / 20]) FROM always, cost)""")
+def _(t):
+    rows = cut_lineage(study_rows(t))
+    report = P.evaluate_study(rows, P.fit_study(rows, STUDY)).report
+    exact = F.col("section").isin("reference_blind", "regression") | ((F.col("name") == "always_mlip") & ~F.col("metric").startswith("pair"))
+    return rounded(report.where(exact), 4)
+
+
+@query("test_audit_errors", f"""{SQL_TEST_ROWS} SELECT id::VARCHAR AS id, group_id::VARCHAR AS group_id, blind AS reference_blind, ROUND(mlip - dft, 6) AS surrogate_error,
+  ROUND(dft - reference, 6) AS reference_error, ROUND(mlip - reference, 6) AS total_error FROM test""")
+def _(t):
+    rows = cut_lineage(study_rows(t))
+    artifact = P.fit_study(rows, STUDY, pairwise=False)  # pair counts are not part of an audit
+    audit = P.test_audit(P.scored_test_rows(rows, artifact), artifact.models)
+    return rounded(audit.select("id", "group_id", "reference_blind", "surrogate_error", "reference_error", "total_error"), 6)
+
+
 @query("evaluate_study")
 def _(t):
     rows = cut_lineage(study_rows(t))

@@ -258,7 +258,19 @@ def _(t):
     return rounded(features.covariance_table(t.embeddings, model), 6)
 
 
-@query("mahalanobis_score")
+# the inverse by Gauss-Jordan elimination, one pivot per step
+SQL_DISTANCE = f"""WITH RECURSIVE {SQL_Z},
+cov AS (SELECT a.i, b.i AS j, SUM(a.z * b.z) / (COUNT(*) - 1) + CASE WHEN a.i = b.i THEN 0.1::DOUBLE ELSE 0 END AS c FROM z a JOIN z b ON a.vec_id = b.vec_id GROUP BY 1, 2),
+start AS (SELECT list(line ORDER BY i) AS m FROM (
+  SELECT i, list_concat(list(c ORDER BY j), list_transform(range(64), lambda k: CASE WHEN k = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS line FROM cov GROUP BY i)),
+steps(k, m) AS (SELECT 0, m FROM start UNION ALL
+  SELECT k + 1, list_transform(range(64), lambda r: CASE WHEN r = k THEN p ELSE list_transform(range(128), lambda c: m[r + 1][c + 1] - m[r + 1][k + 1] * p[c + 1]) END)
+  FROM (SELECT k, m, list_transform(m[k + 1], lambda v: v / m[k + 1][k + 1]) AS p FROM steps WHERE k < 64)),
+inverse AS (SELECT i.r AS i, j.r AS j, m[i.r + 1][j.r + 65] AS p FROM steps, range(64) i(r), range(64) j(r) WHERE k = 64)
+SELECT a.vec_id, ROUND(SQRT(SUM(a.z * p * b.z)), 6) AS ood_distance FROM z a JOIN inverse v ON v.i = a.i JOIN z b ON b.vec_id = a.vec_id AND b.i = v.j GROUP BY 1"""
+
+
+@query("mahalanobis_score", SQL_DISTANCE)
 def _(t):
     model = features.fit_distance(t.embeddings, "embedding")
     return rounded(features.distance_scores(t.embeddings.select("vec_id", "embedding"), "embedding", model).select("vec_id", "ood_distance"), 6)
