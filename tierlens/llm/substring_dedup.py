@@ -85,9 +85,9 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans = spans_of(text.as_py() or "")
                 rows += [i] * len(spans)
                 found += spans
-            took = part.take(pa.array(rows, pa.int64()))
+            own = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [took.column(0), took.column(1), *[pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]],
+                [part.column(0).take(own), part.column(1).take(own), *[pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]],
                 ["id", "key", "h", "a", "b"])
 
 
