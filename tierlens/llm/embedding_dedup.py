@@ -55,57 +55,49 @@ class ProductCode:
         return np.concatenate(out, axis=1) if out else np.zeros((len(vectors), 0), np.int64)
 
 
-def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column that are usable as directions, and their unit vectors in double precision.
+def usable_rows(column: pa.Array, kind) -> tuple[np.ndarray, list[bytes]]:
+    """Rows of a list column that are usable as directions, and their components as bytes.
 
-    Unusable: NULL, holding a NULL or non-finite component, or zero.  Rows of another length than the longest are
-    padded with zeros, which changes neither norm nor products.
+    Unusable: NULL, holding a NULL or non-finite component, or zero.
     """
-    lists = column.to_pylist()
-    usable, kept = [], []
-    for i, v in enumerate(lists):
+    usable, stored = [], []
+    for i, v in enumerate(column.to_pylist()):
         if v is None or any(x is None for x in v):
             continue
-        a = np.array(v, np.float64)
-        biggest = np.abs(a).max(initial=0)
-        if np.isfinite(a).all() and biggest > 0:
-            a = a / biggest  # so that squares neither overflow nor vanish
+        a = np.array(v, kind)
+        if np.isfinite(a).all() and a.any():
             usable.append(i)
-            kept.append(a / np.sqrt((a * a).sum()))
-    width = max(map(len, kept), default=1)
-    out = np.zeros((len(kept), width))
-    for i, a in enumerate(kept):
-        out[i, :len(a)] = a
-    return np.array(usable, np.int64), out
+            stored.append(a.tobytes())
+    return np.array(usable, np.int64), stored
 
 
-def filters(vectors: DataFrame, code: ProductCode, best: int) -> DataFrame:
-    """(id, label, v, caps): unit vectors as bytes of doubles with their sorted filter numbers; unusable rows are left out."""
+def unit_matrix(stored: list[bytes], kind) -> np.ndarray:
+    """Unit vectors in double precision of stored components, the shorter ones padded with zeros."""
+    rows = [np.frombuffer(v, kind).astype(np.float64) for v in stored]
+    out = np.zeros((len(rows), max(map(len, rows), default=1)))
+    for i, r in enumerate(rows):
+        out[i, :len(r)] = r
+    out /= np.abs(out).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+
+
+def filters(vectors: DataFrame, code: ProductCode, best: int, kind) -> DataFrame:
+    """(id, label, v, caps): components as bytes of type ``kind`` with the sorted filter numbers; unusable rows are left out."""
     shared = vectors.sparkSession.sparkContext.broadcast(code)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            usable, unit = unit_rows(batch.column(2))
-            caps = np.sort(shared.value.decode(unit, best), axis=1) if len(unit) else np.zeros((0, 0), np.int64)
+            usable, stored = usable_rows(batch.column(2), kind)
+            unit = unit_matrix(stored, kind)
+            caps = np.sort(shared.value.decode(unit, best), axis=1) if len(stored) else np.zeros((0, 0), np.int64)
             took = batch.take(pa.array(usable))
             yield pa.RecordBatch.from_arrays(
-                [took.column(0), took.column(1), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(list(caps), pa.list_(pa.int64()))],
+                [took.column(0), took.column(1), pa.array(stored, pa.binary()), pa.array(list(caps), pa.list_(pa.int64()))],
                 ["id", "label", "v", "caps"])
 
     return vectors.mapInArrow(decode, f"id long, label {vectors.schema['label'].dataType.simpleString()}, v binary, caps array<long>")
 
 
-def _matrix(column: pa.ChunkedArray, kind) -> np.ndarray:
-    rows = [np.frombuffer(v, kind) for v in column.to_pylist()]
-    width = max(map(len, rows))
-    if all(len(r) == width for r in rows):
-        return np.stack(rows)
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        out[i, :len(r)] = r
-    return out
-
-
 def _bucket_pairs(end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All (i, j) with i < j < end[i], in blocks."""
     n = end - np.arange(len(end)) - 1
@@ -120,11 +112,11 @@ def _bucket_pairs(end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         start = stop
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, kind):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in sorted_runs(batches, rows=1 << 13):
             node, tile, own = (run.column(c).to_numpy(zero_copy_only=False) for c in ("node", "tile", "own"))
-            cap, v = run.column("cap").to_numpy(), _matrix(run.column("v"), np.float64)
+            cap, v = run.column("cap").to_numpy(), unit_matrix(run.column("v").to_pylist(), kind)
             caps = np.array(run.column("caps").to_pylist())
             links = np.zeros(len(node), np.int64)
             hits = []
@@ -163,11 +155,15 @@ def embedding_links(
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label).alias("label"), F.col(embedding).alias("v"))
     dims = rows.agg(F.max(F.size("v"))).first()[0]
     code = ProductCode(max(2, dims or 2), codewords, rotations, seed)
-    ready = scratch.keep(filters(rows.where(F.col("label").isNotNull() & F.col("id").isNotNull()).repartition("id"), code, best))
-    entries = ready.select(F.col("id").alias("node"), "v", "caps", "label", F.explode("caps").alias("cap")).withColumn(
-        "bucket", F.xxhash64("label", "cap")).drop("label")
-    units = tile_units(entries, scratch, "node", tile_rows)
-    found = scratch.keep(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify(threshold), "node long, root long, n long"))
+    kind = np.float32 if rows.schema["v"].dataType.elementType.typeName() == "float" else np.float64
+    known = rows.where(F.col("label").isNotNull() & F.col("id").isNotNull()).repartition("id")
+    # the number is written with the row, so it stays: it tells rows apart that share an id
+    ready = scratch.keep(filters(known, code, best, kind).withColumn("member", F.monotonically_increasing_id()))
+    entries = ready.select("member", "label", F.explode("caps").alias("cap")).withColumn("bucket", F.xxhash64("label", "cap")).drop("label")
+    # buckets are found on ids alone; only what shares a bucket gets its vector
+    units = scratch.keep(tile_units(entries, scratch, "member", tile_rows))
+    met = units.join(ready.select("member", F.col("id").alias("node"), "v", "caps"), "member").drop("member")
+    found = scratch.keep(met.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify(threshold, kind), "node long, root long, n long"))
     counts = found.groupBy("node").agg(F.sum("n").alias("n_links"))
     roots = components(found.where("node <> root").select("node", "root"), scratch)
     named = scratch.keep(counts.join(roots, "node", "left"))
