@@ -167,6 +167,7 @@ def embedding_links(
     counts = found.groupBy("node").agg(F.sum("n").alias("n_links"))
     roots = components(found.where("node <> root").select("node", "root"), scratch)
     named = scratch.keep(counts.join(roots, "node", "left"))
+    scratch.drop_but(named)
     out = rows.select("id").join(named, F.col("id") == F.col("node"), "left")
     component = F.coalesce("root", "id")
     return out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component"),

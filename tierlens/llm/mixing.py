@@ -116,6 +116,7 @@ def mix_sizes(sizes: DataFrame, id_column="doc_id", size="size", source="source"
     drawn = draws(F.col(size), id_column, source, quality, seed)
     rows = scratch.keep(sizes.select(F.col(id_column).alias("id"), F.col(source).alias("source"), *[c.alias(n) for n, c in drawn.items()]))
     plan = mixture_plan(rows, scratch, **targets)
+    scratch.drop_but(rows, plan)
     return rows.join(plan, _SOURCE).select("id", "source", "size", "source_size", "target", _taken(plan).alias("copies"))
 
 
@@ -129,6 +130,7 @@ def mix_rows(docs: DataFrame, id_column="doc_id", text="text", source="source",
     drawn = draws(word_count(text), id_column, source, quality, seed)
     rows = scratch.keep(docs.select(F.col(id_column).alias("id"), *[c.alias(n) for n, c in drawn.items()]))
     plan = mixture_plan(rows, scratch, **targets)
+    scratch.drop_but(plan)
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_column).alias("id"), *[c.alias(n) for n, c in drawn.items()])
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
     taken = given.join(plan, _SOURCE).select("_row", _taken(plan).alias("_copies")).where("_copies > 0").select("_row", copies)

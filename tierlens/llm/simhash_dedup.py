@@ -83,6 +83,7 @@ def simhash_components(
     smallest = scratch.keep(in_component.groupBy("root").agg(F.min("first_id").alias("component")))
     named = scratch.keep(linked.join(smallest, "root").select(F.col("node").alias("fp"), "component"))
     prints = scratch.keep(prints.join(named, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component")))
+    scratch.drop_but(marks, prints)
     return marks.join(prints, "fp").select("id", "fp", "component")
 
 
@@ -193,4 +194,5 @@ def drop_near_duplicates(
     keepers = scratch.keep(
         texts.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("group"))
         .agg(F.min(F.struct("id", "key")).alias("first")).select(F.col("first.key").alias("key")))
+    scratch.drop_but(keepers)
     return given.select("row", "key").join(keepers, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -127,6 +127,7 @@ def drop_repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str =
     # no repeated span, nothing removed: a document that only has first occurrences does not appear
     covered = spans.join(repeated, "h").where(~place.eqNullSafe(F.col("first"))).select("key", "a", "b").distinct()
     per_doc = scratch.keep(covered.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("covered")))
+    scratch.drop_but(per_doc)
     marked = given.select("row", "key", "text").join(per_doc, "key", "left").select("row", "text", "covered")
     shape = f"row {given.schema['row'].dataType.simpleString()}, text string, n_sentences long, n_removed long"
     return marked.mapInArrow(_cut_out, shape).select("row.*", F.col("text").alias("clean_text"), "n_sentences", "n_removed")

@@ -34,22 +34,26 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self._made = 0
+        self._made, self._paths = 0, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         self._made += 1
         path = f"{self.path}/{self._made}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
+        self._paths[id(out)] = out, path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(df))[1])
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_but(self, *tables: DataFrame) -> None:
+        """Delete every table but those the result still reads."""
+        self.drop(*[df for key, (df, _) in list(self._paths.items()) if key not in {id(t) for t in tables}])
+
 
 def null_safe_key(column: str, prefix: str) -> dict[str, Column]:
     """Two columns that join like ``<=>`` on a text column: its value or '', and whether it is NULL."""
