@@ -54,7 +54,7 @@ def default_grid(thresholds: Sequence[float], screen_in_stage1: bool) -> list[di
 
 def replay_summary(
     results: DataFrame, keys: Sequence[str], cost_weight: float = 0.05, cost_scale: float = 20.0,
-    totals: DataFrame | None = None, pairwise: bool = True, totals_on: Sequence[str] | None = None,
+    totals: DataFrame | None = None, pairwise: bool = True,
 ) -> DataFrame:
     """Coverage, accuracy, error, cost and objective per policy; abstentions count as not correct.
 
@@ -78,7 +78,7 @@ def replay_summary(
         *own_cost,
     )
     if totals is not None:
-        base = base.join(totals, list(totals_on or keys), "left").withColumn("total_cost", F.coalesce("total_cost", F.lit(0.0)))
+        base = base.join(totals, keys, "left").withColumn("total_cost", F.coalesce("total_cost", F.lit(0.0)))
     mean_cost = F.col("total_cost") / F.col("n")
     out = base.select(
         *keys, "n", "coverage", "accuracy_all_cases",
@@ -124,8 +124,10 @@ def policy_grid(
     cost_weight: float = 0.05, cost_scale: float = 20.0, use_diagnostics: bool = True,
     use_reference_screen: bool = True, pairwise: bool = True,
 ) -> DataFrame:
-    """One summary row per definition, each with a ledger of its own."""
-    keys = ["policy_id", "name", "definition_digest"]
+    """One summary row per definition, each with a ledger of its own.
+
+    Rows are grouped by the number of the definition alone; names and digests join the result.
+    """
     # the replayed copies stay narrow: operation maps are read once per row, by grid_totals
     narrow = scored.drop("operations", "costs", "mlip_features", "dft_features")
     paths = run_policies(narrow, definitions, tolerance, use_diagnostics, use_reference_screen)
@@ -136,7 +138,10 @@ def policy_grid(
             scored, paths.where(F.col("policy_id").between(start, start + count - 1)), start, count)
         totals = part if totals is None else totals.unionByName(part)
     # one row per policy
-    return replay_summary(paths, keys, cost_weight, cost_scale, F.broadcast(totals), pairwise, totals_on=["policy_id"])
+    out = replay_summary(paths, ["policy_id"], cost_weight, cost_scale, F.broadcast(totals), pairwise)
+    known = definition_table(definitions)
+    at = lambda field: F.element_at(F.array(*[F.lit(d[field]) for d in known]), F.col("policy_id") + 1)
+    return out.select("policy_id", *[at(c).alias(c) for c in ("name", "definition_digest")], *[c for c in out.columns if c != "policy_id"])
 
 
 def select_policy(summaries: DataFrame) -> DataFrame:
