@@ -111,7 +111,7 @@ def test_line_dedup_against_brute_force(spark, documents):
     places = [(i, n, line_dedup.normal_line(x)) for i, t in zip(documents.doc_id, documents.text) for n, x in enumerate(t.split("\n"))]
     places = [p for p in places if p[2]]
     lines = sorted({p[2] for p in places})
-    prints = line_dedup.line_prints([x.encode() for x in lines])
+    prints = line_dedup.line_prints(lines)
     near = np.argwhere(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3)
     links = [(i, j) for i, j in near if i < j and line_dedup.edit_distance(lines[i], lines[j]) <= 0.15 * max(len(lines[i]), len(lines[j]))]
     root, seen, want = dict(zip(lines, groups(len(lines), links))), set(), {}
