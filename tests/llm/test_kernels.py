@@ -9,11 +9,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tierlens.llm import line_dedup
 from tierlens.llm.bitslice import close_pairs, group_ends, spanning_roots
 from tierlens.llm.decontamination import Search, searches
 from tierlens.llm.license_scan import TEMPLATES, Index, align, winnow
 from tierlens.llm.line_dedup import edit_distance, line_prints
-from tierlens.llm.shingles import shingle_hashes, simhash
+from tierlens.llm.shingles import mixed, shingle_hashes, simhash
 from tierlens.llm.simhash_dedup import block_masks
 from tierlens.llm.substring_dedup import sentences_of, spans_of
 from tierlens.llm.token_counts import Counter
@@ -71,12 +72,16 @@ def test_edit_distance(a, b):
     assert edit_distance(a, b) == row[-1]
 
 
-def test_line_prints_do_not_depend_on_the_batch():
+def test_line_prints_do_not_depend_on_the_batch(monkeypatch):
     rng = random.Random(2)
-    lines = [" ".join("".join(rng.choices("abc", k=3)) for _ in range(n)) for n in (1, 2, 5, 50, 700, 40_000, 300)]
+    lines = [" ".join("".join(rng.choices("abcé", k=3)) for _ in range(n)) for n in (1, 2, 5, 50, 700, 40_000, 300)]
     together = [int(x) for x in line_prints(lines)]
     assert [int(line_prints([x])[0]) for x in lines] == together
-    assert [int(simhash(shingle_hashes(x.encode(), 1))[0]) for x in lines] == together
+    monkeypatch.setattr(line_dedup, "_PIECE", 50)
+    assert [int(x) for x in line_prints(lines)] == together
+    words = [sum((b + 1) * pow(line_dedup._BASE, i, 1 << 64) for i, b in enumerate(w.encode())) % (1 << 64) for w in lines[4].split()]
+    assert int(simhash(mixed(np.array(words, np.uint64), 1))[0]) == together[4]
+    assert line_prints(["a b"]) == line_prints(["b a"]) != line_prints(["ab"])
     assert line_prints([]).tolist() == []
 
 
