@@ -1,9 +1,10 @@
-"""License scans (operator 5): winnowed fingerprints pick candidates, banded alignment measures them.
+"""License scans (operator 5): common word runs pick candidates, banded alignment measures them.
 
-Licence templates are bounded reference texts.  Their words are numbered; hashes of runs of ``GRAM`` words are
-winnowed and kept in an inverted index that is broadcast.  A document is cut into words once; only runs of words that
-templates know can hold a match, so only those are hashed and winnowed.  A hit suggests a template and an offset;
-a banded alignment around it reports which template words occur, in order, and the span they cover.
+Licence templates are bounded reference texts.  Their words are numbered; every run of ``GRAM`` words of a long template
+is kept in an inverted index that is broadcast.  A document is cut into words once; only runs of words that templates
+know can hold a match, so only those are looked up.  Short templates need not keep any run whole: there every word
+votes for the place where the template would start.  A candidate suggests a template and an offset; a banded alignment
+around it reports which template words occur, in order, and the span they cover.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-GRAM, WINDOW = 3, 3  # every common run of GRAM + WINDOW - 1 words shares a fingerprint
+# a fifth of more than SHORT words and a band's insertions leave a run of GRAM words whole; shorter templates go by words
+GRAM, WINDOW, SHORT = 3, 3, 20
 _WORD = re.compile(r"\w+")
 
 # fixed values: licence notices as their stewards publish them, by SPDX name
@@ -74,19 +75,24 @@ class Index:
         self.names = sorted(templates)
         self.number: dict[str, int] = {}
         self.words = [[self.number.setdefault(w, len(self.number) + 1) for w in _WORD.findall(templates[n].lower())] for n in self.names]
-        self.prints: dict[int, list[tuple[int, int]]] = {}
+        self.prints: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self.votes: dict[int, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.words):
-            hashes = self.grams(words)
-            for at in winnow(hashes):
-                self.prints.setdefault(hashes[at], []).append((t, at))
+            if len(words) <= SHORT:
+                for at, w in enumerate(words):
+                    self.votes.setdefault(w, []).append((t, at))
+            else:
+                for at, gram in enumerate(zip(*[words[k:] for k in range(GRAM)])):
+                    self.prints.setdefault(gram, []).append((t, at))
 
     @staticmethod
-    def grams(words: list[int]) -> list[int]:
-        return [xxh64_intdigest(repr(words[i:i + GRAM])) for i in range(len(words) - GRAM + 1)]
+    def band(template: list[int]) -> int:
+        return max(2, len(template) // 8)
 
-    def candidates(self, words: list[int]) -> dict[int, list[int]]:
-        """Template -> sorted document places where the template would start, from the fingerprint hits."""
+    def candidates(self, words: list[int], least: float) -> dict[int, list[int]]:
+        """Template -> sorted document places where the template would start."""
         found: dict[int, set[int]] = {}
+        cast: dict[int, list[tuple[int, int]]] = {}
         end, n = 0, len(words)
         while end < n:
             if not words[end]:
@@ -94,20 +100,45 @@ class Index:
                 continue
             start = end
             while end < n and words[end]:
+                for t, place in self.votes.get(words[end], ()):
+                    cast.setdefault(t, []).append((end - place, place))
                 end += 1
-            if end - start >= GRAM + WINDOW - 1:
-                hashes = self.grams(words[start:end])
-                for at in winnow(hashes):
-                    for t, place in self.prints.get(hashes[at], ()):
-                        found.setdefault(t, set()).add(start + at - place)
+            for at in range(start, end - GRAM + 1):
+                for t, place in self.prints.get(tuple(words[at:at + GRAM]), ()):
+                    found.setdefault(t, set()).add(at - place)
+        for t, votes in cast.items():
+            starts = self.supported(votes, least * len(self.words[t]), self.band(self.words[t]))
+            if starts:
+                found[t] = starts
         return {t: sorted(starts) for t, starts in found.items()}
 
+    @staticmethod
+    def supported(votes: list[tuple[int, int]], least: float, band: int) -> set[int]:
+        """Starts around which, at most ``band`` away, at least ``least`` different template words vote."""
+        if len(votes) < least:
+            return set()
+        votes = sorted(votes)
+        out, held, low, high = set(), {}, 0, 0
+        for start, _ in votes:
+            while high < len(votes) and votes[high][0] <= start + band:
+                held[votes[high][1]] = held.get(votes[high][1], 0) + 1
+                high += 1
+            while votes[low][0] < start - band:
+                place = votes[low][1]
+                held[place] -= 1
+                if not held[place]:
+                    del held[place]
+                low += 1
+            if len(held) >= least:
+                out.add(start)
+        return out
+
     def matches(self, words: list[int], least: float) -> list[tuple[str, int, int, int, int]]:
         """(name, matched, of, first, last): alignments that cover at least ``least`` of a template, by place."""
         out = []
-        for t, starts in self.candidates(words).items():
+        for t, starts in self.candidates(words, least).items():
             template, done = self.words[t], -1
-            band = max(2, len(template) // 8)
+            band = self.band(template)
             i = 0
             while i < len(starts):
                 j = i
