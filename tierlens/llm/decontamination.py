@@ -137,7 +137,8 @@ def _scanned(rows: DataFrame, benchmark: DataFrame, item_id, item_text, window,
     """``rows`` (row, text) through every block of test strings."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "decontaminate")
-    segments = scratch.keep(item_segments(benchmark, item_id, item_text, window))
+    # a repeated item is one segment: copies share a hash, so they would all fall into one block
+    segments = scratch.keep(item_segments(benchmark, item_id, item_text, window).distinct())
     blocks = max(1, -(-(segments.agg(F.sum("n")).first()[0] or 0) // words_per_block))
     numbered = segments.withColumn("_block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
     state = rows.select("row", "text", F.lit(None).cast("binary").alias("marks"), F.lit(None).cast("array<string>").alias("items"))
