@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, language_id, license_scan, line_dedup, mixing, sharding, simhash_dedup, substring_dedup, token_counts
+from . import (
+    code_compression, conversation_trie, decontamination, embedding_dedup, language_id, license_scan, line_dedup, mixing, sharding, simhash_dedup,
+    substring_dedup, token_counts, topk_search)
 from .tables import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +157,99 @@ def op4(spark, sf_dir):
 @query("op5_license_scan")
 def op5(spark, sf_dir):
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def _crc32_table() -> str:
+    """DuckDB list of the 256 remainders of the reflected CRC-32 polynomial, by its rule."""
+    step = "case when c % 2 = 1 then xor(c // 2, 3988292384::bigint) else c // 2 end"
+    return f"list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: {step}))"
+
+
+@query("op11_conversation_trie", f"""
+with recursive crc_table as (select {_crc32_table()} as t),
+ids as (select distinct conv_id as c, conv_id - conv_id % 100 as host, conv_id::varchar as name from conversations where conv_id is not null),
+hashed as (
+  select c, host, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(name)), lambda i: ascii(name[i + 1])::bigint)),
+    lambda crc, byte: xor(crc // 256, t[(xor(crc, byte) % 256) + 1])), 4294967295::bigint) % 6 as h
+  from ids, crc_table),
+turns as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as at
+  from conversations where conv_id is not null),
+mixed as (
+  select h.c, 0 as own, t.at, t.role, t.text from hashed h join turns t on t.c = h.host and t.at < h.h
+  union all select h.c, 1, t.at, t.role, t.text from hashed h join turns t on t.c = h.c and t.at >= h.h),
+listed as (select c, list(struct_pack(role := role, text := text) order by own, at) as turns from mixed group by c),
+rebuilt as (select ids.c, coalesce(turns, []) as turns from ids left join listed using (c)),
+prefixes as (select c, d, turns[1:d] as prefix, len(turns) = d as ends from rebuilt, lateral (select unnest(range(0, len(turns) + 1)) as d)),
+nodes as (
+  select d, prefix, min(c) as conv_id, count(*) as n, string_agg(case when ends then c::varchar end, ',' order by c) as ending,
+    case when d > 0 then length(prefix[d].text) else 0 end as size
+  from prefixes group by d, prefix),
+children as (select d - 1 as d, prefix[1:d - 1] as prefix, count(*) as n_children from nodes where d > 0 group by 1, 2),
+below as (
+  select u.d, u.prefix, count(*) filter (where ch.n_children is null) as n_leaves, sum((v.n - 1) * v.size) as saved
+  from nodes v left join children ch on ch.d = v.d and ch.prefix = v.prefix,
+    lateral (select unnest(range(0, v.d + 1)) as d, v.prefix[1:d] as prefix) u group by 1, 2)
+select n.conv_id, n.d as depth, p.conv_id as parent_conv_id, n.n as n_convs, coalesce(ch.n_children, 0) as n_children,
+  b.n_leaves, b.saved::bigint as saved_tokens, sha256(coalesce(n.ending, '')) as ends_sha256
+from nodes n left join nodes p on p.d = n.d - 1 and p.prefix = n.prefix[1:n.d - 1]
+  left join children ch on ch.d = n.d and ch.prefix = n.prefix join below b on b.d = n.d and b.prefix = n.prefix
+""")
+def op11(spark, sf_dir):
+    nodes = conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select(
+        F.col("member").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
+def _codebook_rounds(rounds: int) -> str:
+    """SQL of ``rounds`` refinements: b0 .. b<rounds> are codebooks, a0 .. a<rounds> the parts assigned to them."""
+    whole = "((s - ((s % n) + n) % n) // n)"  # floor, also below zero
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""
+a{r} as materialized (
+  select row, part, arg_min(entry, far * 16 + entry) as entry, min(far) as far from (
+    select q.row, q.part, entry, list_sum(list_transform(list_zip(q.x, book), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as far
+    from parted q join b{r} using (part)) group by row, part)""")
+        if r < rounds:
+            out.append(f"""
+s{r} as (
+  select part, entry, count(*) as n, list_transform(range(1, max(len(x)) + 1), lambda j: list_sum(list_transform(list(x), lambda v: v[j]))::bigint) as total
+  from a{r} join parted using (row, part) group by part, entry),
+b{r + 1} as materialized (
+  select part, entry, coalesce(list_transform(total, lambda s: {whole}), book) as book from b{r} left join s{r} using (part, entry))""")
+    return ",".join(out)
+
+
+@query("op12_code_compression", f"""
+with kept as (
+  select row_number() over (order by vec_id nulls last) as row, vec_id, label, list_transform(embedding, lambda x: floor(4096.0::double * x)::bigint) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parted as materialized (select row, part, v[part * (len(v) // 8) + 1:(part + 1) * (len(v) // 8)] as x from kept, lateral (select unnest(range(8)) as part)),
+b0 as materialized (select part, (row - 1)::int as entry, x as book from parted where row <= 16),{_codebook_rounds(6)},
+coded as (select row, string_agg(lower(printf('%02x', entry)), '' order by part) as code, sum(far)::bigint as error from a6 group by row),
+digest as (select sha256(string_agg(array_to_string(book, ','), ',' order by part, entry)) as sha from b6)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, sha as codebooks_sha256
+from kept join coded using (row), digest
+""")
+def op12(spark, sf_dir):
+    codes, books = code_compression.compress_vectors(table(spark, sf_dir, "embeddings"))
+    return codes.select(
+        F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+@query("op13_topk_search", """
+with kept as (
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256.0::double * x)) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.row, q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from kept q join kept c on q.row <> c.row where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by row order by score desc, vec_id nulls last) as rank from scored)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5
+""")
+def op13(spark, sf_dir):
+    found = topk_search.top_k_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.withColumnRenamed("id", "vec_id")
