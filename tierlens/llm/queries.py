@@ -174,12 +174,12 @@ hashed as (
   from ids, crc_table),
 turns as (
   select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
-    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as at
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos
   from conversations where conv_id is not null),
 mixed as (
-  select h.c, 0 as own, t.at, t.role, t.text from hashed h join turns t on t.c = h.host and t.at < h.h
-  union all select h.c, 1, t.at, t.role, t.text from hashed h join turns t on t.c = h.c and t.at >= h.h),
-listed as (select c, list(struct_pack(role := role, text := text) order by own, at) as turns from mixed group by c),
+  select h.c, 0 as own, t.pos, t.role, t.text from hashed h join turns t on t.c = h.host and t.pos < h.h
+  union all select h.c, 1, t.pos, t.role, t.text from hashed h join turns t on t.c = h.c and t.pos >= h.h),
+listed as (select c, list(struct_pack(role := role, text := text) order by own, pos) as turns from mixed group by c),
 rebuilt as (select ids.c, coalesce(turns, []) as turns from ids left join listed using (c)),
 prefixes as (select c, d, turns[1:d] as prefix, len(turns) = d as ends from rebuilt, lateral (select unnest(range(0, len(turns) + 1)) as d)),
 nodes as (
