@@ -79,27 +79,6 @@ def ledger_totals(bought: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per_op.groupBy(*keys).agg(F.sum(F.col("cost").cast(MONEY)).cast("double").alias("total_cost"))
 
 
-def grid_totals(rows: DataFrame, paths: DataFrame, first_policy: int, policies: int) -> DataFrame:
-    """(policy_id, total_cost) of up to 62 policies replayed over the same rows, one ledger each.
-
-    Which policies bought a step is kept as a bit set per row, so operations are exploded and shuffled once
-    per row and step instead of once per policy.
-    """
-    if not 0 < policies <= 62:
-        raise ValueError("at most 62 policies share one bit set")
-    bit = F.expr(f"shiftleft(1L, cast(policy_id - {first_policy} as int))")
-    masks = paths.groupBy("id").agg(*[
-        F.bit_or(F.when(F.array_contains("purchased", s), bit).otherwise(F.lit(0).cast("long"))).alias(f"_m_{s}") for s in STEPS])
-    steps = F.array(*[
-        F.struct(stage_operations(STAGE_OF_STEP[s]).alias("ops"), F.col(f"_m_{s}").alias("mask")) for s in STEPS])
-    lines = rows.select("id", "operations", "costs").join(masks, "id").select(F.explode(steps).alias("_s")).where("_s.mask <> 0")
-    per_op = lines.select("_s.mask", F.explode("_s.ops").alias("op", "cost")).groupBy("op").agg(
-        F.bit_or("mask").alias("mask"), one_price())
-    spread = per_op.select("cost", "mask", F.explode(F.sequence(F.lit(0), F.lit(policies - 1))).alias("_p"))
-    return spread.where(F.expr("shiftright(mask, _p) & 1") == 1).groupBy((F.col("_p") + first_policy).alias("policy_id")).agg(
-        F.sum(F.col("cost").cast(MONEY)).cast("double").alias("total_cost"))
-
-
 def charge_with_budget(bought: DataFrame, keys: Sequence[str], budget: float) -> DataFrame:
     """(ledger, row_no, cost, refused_step_no): purchases in ``seq`` order under a budget per ledger.
 

@@ -25,25 +25,25 @@ from ..plans.lineage import cut_lineage
 from .ordered import ROWS_PER_BUCKET, known, running, value_edges
 
 
-_LARGE = "_large"
+LARGE = "_large"  # whether the row's group needs more than one bucket
 
 
-def _sized(df: DataFrame, keys: Sequence[str], rows_per_bucket: int) -> tuple[DataFrame, DataFrame]:
+def sized(df: DataFrame, keys: Sequence[str], rows_per_bucket: int) -> tuple[DataFrame, DataFrame]:
     """(rows, group sizes): the rows written once with ``_large``, whether their group needs more than one bucket."""
     df = cut_lineage(df)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > rows_per_bucket).select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.lit(True).alias(_LARGE))
+    large = sizes.where(F.col("n") > rows_per_bucket).select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.lit(True).alias(LARGE))
     same = all_of(*[F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
     flagged = df.join(large, same, "left").drop(*[f"_g_{k}" for k in keys])
-    return flagged.withColumn(_LARGE, F.coalesce(_LARGE, F.lit(False))), sizes
+    return flagged.withColumn(LARGE, F.coalesce(LARGE, F.lit(False))), sizes
 
 
-def _events(df: DataFrame, keys, query: Column, point: Column, query_b=None, point_b=None) -> DataFrame:
+def _events(df: DataFrame, keys, query: Column, point: Column, carried: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
+    """Two rows per row: as a query at ``query`` (q = 1) and as a point at ``point`` (q = 0), with what each side carries."""
+    carried = carried or {}
     sides = [
-        F.struct(query.alias("v"), F.lit(1).alias("q"), F.lit(0).alias("p"),
-                 *([query_b.alias("b")] if query_b is not None else [])),
-        F.struct(point.alias("v"), F.lit(0).alias("q"), F.lit(1).alias("p"),
-                 *([point_b.alias("b")] if point_b is not None else [])),
+        F.struct(place.alias("v"), F.lit(q).alias("q"), *[values[side].alias(n) for n, values in carried.items()])
+        for side, (place, q) in enumerate(((query, 1), (point, 0)))
     ]
     return df.select(*keys, F.explode(F.array(*sides)).alias("_e")).select(*keys, "_e.*")
 
@@ -51,34 +51,45 @@ def _events(df: DataFrame, keys, query: Column, point: Column, query_b=None, poi
 def count_above(df: DataFrame, keys: Sequence[str], query: Column, point: Column, name: str, edges=()) -> DataFrame:
     """Per key: number of ordered pairs with ``query(x) > point(y)``."""
     events = _events(df, keys, query, point)
-    table = events.groupBy(*keys, "v").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
-    scan = running(table, "v", sums={"seen": "p"}, keys=keys, edges=edges, spread=_LARGE)
+    table = events.groupBy(*keys, "v").agg(F.sum("q").alias("q"), F.sum(1 - F.col("q")).alias("p"))
+    scan = running(table, "v", sums={"seen": "p"}, keys=keys, edges=edges, spread=LARGE)
     return scan.groupBy(*keys).agg(F.sum(F.col("q") * (F.col("seen") - F.col("p"))).alias(name))
 
 
-def count_dominating(
-    df: DataFrame, keys: Sequence[str], query: Column, point: Column, query_b: Column, point_b: Column,
-    name: str, edges=(), edges_b=(),
+def dominance_cells(
+    df: DataFrame, keys: Sequence[str], query: Column, point: Column, carried: dict[str, tuple[Column, Column]], edges=(),
 ) -> DataFrame:
-    """Per key: number of ordered pairs with ``query(x) > point(y)`` and ``query_b(x) > point_b(y)``."""
+    """Every event in the cells (keys, _level, _cell) in which a query meets exactly the points below it.
+
+    ``carried`` names what a query and what a point takes along; ``q`` tells them apart.
+    """
     keys = list(keys)
-    events = _events(df, keys, query, point, query_b, point_b)
+    events = _events(df, keys, query, point, carried)
     ranks = running(
         events.select(*keys, "v").distinct().withColumn("_one", F.lit(1)), "v",
-        sums={"_rank": "_one"}, totals={"_size": "_one"}, keys=keys, edges=edges, spread=_LARGE,
+        sums={"_rank": "_one"}, totals={"_size": "_one"}, keys=keys, edges=edges, spread=LARGE,
     ).select(*keys, "v", (F.col("_rank") - 1).alias("_rank"), "_size")
     placed = events.join(ranks, [*keys, "v"])
     # ranks are 0 .. size-1: levels = bit length of the largest rank
     levels = F.length(F.bin(F.greatest(F.col("_size") - 1, F.lit(1))))
-    cells = (
+    return (
         placed.withColumn("_level", F.explode(F.sequence(F.lit(0), levels - 1)))
         .withColumn("_digit", F.expr("shiftright(_rank, _level)"))
         .where(F.expr("_digit & 1") == F.col("q"))
         .withColumn("_cell", F.expr("shiftright(_digit, 1)"))
     )
+
+
+def count_dominating(
+    df: DataFrame, keys: Sequence[str], query: Column, point: Column, query_b: Column, point_b: Column,
+    name: str, edges=(), edges_b=(),
+) -> DataFrame:
+    """Per key: number of ordered pairs with ``query(x) > point(y)`` and ``query_b(x) > point_b(y)``."""
+    keys = list(keys)
+    cells = dominance_cells(df, keys, query, point, {"b": (query_b, point_b)}, edges)
     inner = [*keys, "_level", "_cell"]
-    table = cells.groupBy(*inner, "b").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
-    scan = running(table, "b", sums={"seen": "p"}, keys=inner, edges=edges_b, spread=_LARGE)
+    table = cells.groupBy(*inner, "b").agg(F.sum("q").alias("q"), F.sum(1 - F.col("q")).alias("p"))
+    scan = running(table, "b", sums={"seen": "p"}, keys=inner, edges=edges_b, spread=LARGE)
     return scan.groupBy(*keys).agg(F.sum(F.col("q") * (F.col("seen") - F.col("p"))).alias(name))
 
 
@@ -101,29 +112,33 @@ def _pairs(n: Column) -> Column:
 
 def decision_pairs(
     df: DataFrame, group, prediction="prediction", reference="reference",
-    uncertainty="reference_uncertainty", rows_per_bucket: int = ROWS_PER_BUCKET,
+    uncertainty="reference_uncertainty", rows_per_bucket: int = ROWS_PER_BUCKET, tie_tolerance: float = 0.0,
 ) -> DataFrame:
     """Per decision group: resolved, unresolved and correctly ordered pairs.
 
     A pair is unresolved if a prediction or reference is missing or the two reference intervals
-    ``reference +- uncertainty`` touch; it is correct if the predictions are in the strict order of the
-    disjoint intervals.  ``group`` may be several columns (policy, decision group).
+    ``reference +- uncertainty`` are no more than ``tie_tolerance`` apart; it is correct if the predictions are in the
+    order of the disjoint intervals, by more than ``tie_tolerance``.  ``group`` may be several columns (policy,
+    decision group).
     """
+    if tie_tolerance < 0:
+        raise ValueError("tie_tolerance must be non-negative")
+    tolerance = F.lit(float(tie_tolerance))
     keys = [group] if isinstance(group, str) else list(group)
     # read several times below: write the narrow input once
-    df, sizes = _sized(df.where(all_of(*[F.col(k).isNotNull() for k in keys])).select(
+    df, sizes = sized(df.where(all_of(*[F.col(k).isNotNull() for k in keys])).select(
         *keys, col(prediction).cast("double").alias("_c"), col(reference).cast("double").alias("_r"),
         F.coalesce(col(uncertainty), F.lit(0.0)).alias("_u"),
     ), keys, rows_per_bucket)
     usable = df.where(finite("_c") & finite("_r"))
-    low, high = F.col("_r") - F.col("_u"), F.col("_r") + F.col("_u")
-    large = usable.where(_LARGE)
+    low, high = F.col("_r") - F.col("_u") - tolerance, F.col("_r") + F.col("_u")
+    large = usable.where(LARGE)
     edges, edges_b = value_edges(large, "_r", rows_per_bucket), value_edges(large, "_c", rows_per_bucket)
-    inner = [*keys, _LARGE]
+    inner = [*keys, LARGE]
     counts = _add_up(keys, [
         sizes,
-        count_above(usable, inner, low, high, "resolved", edges).drop(_LARGE),
-        count_dominating(usable, inner, low, high, F.col("_c"), F.col("_c"), "correct", edges, edges_b).drop(_LARGE),
+        count_above(usable, inner, low, high, "resolved", edges).drop(LARGE),
+        count_dominating(usable, inner, low, high, F.col("_c") - tolerance, F.col("_c"), "correct", edges, edges_b).drop(LARGE),
     ])
     return counts.select(
         *keys, "n", "resolved", (_pairs(F.col("n")) - F.col("resolved")).alias("unresolved"), "correct",
@@ -142,20 +157,20 @@ def ordering_accuracy(
         raise ValueError("tie_tolerance must be non-negative")
     keys = [group] if isinstance(group, str) else list(group)
     tol = F.lit(float(tie_tolerance))
-    df, sizes = _sized(df.select(
+    df, sizes = sized(df.select(
         *keys, known(candidate, "candidate").cast("double").alias("_c"), known(reference, "reference").cast("double").alias("_r")),
         keys, rows_per_bucket)
-    large, inner = df.where(_LARGE), [*keys, _LARGE]
+    large, inner = df.where(LARGE), [*keys, LARGE]
     edges, edges_b = value_edges(large, "_r", rows_per_bucket), value_edges(large, "_c", rows_per_bucket)
     c, r = F.col("_c"), F.col("_r")
     # sign flip turns "candidate strictly smaller" into a second dominance count
     mirrored = [-e for e in reversed(edges_b)]
     counts = _add_up(keys, [
         sizes,
-        count_above(df, inner, r - tol, r, "ref_untied", edges).drop(_LARGE),
-        count_above(df, inner, c - tol, c, "cand_untied", edges_b).drop(_LARGE),
-        count_dominating(df, inner, r - tol, r, c - tol, c, "concordant", edges, edges_b).drop(_LARGE),
-        count_dominating(df, inner, r - tol, r, -c - tol, -c, "discordant", edges, mirrored).drop(_LARGE),
+        count_above(df, inner, r - tol, r, "ref_untied", edges).drop(LARGE),
+        count_above(df, inner, c - tol, c, "cand_untied", edges_b).drop(LARGE),
+        count_dominating(df, inner, r - tol, r, c - tol, c, "concordant", edges, edges_b).drop(LARGE),
+        count_dominating(df, inner, r - tol, r, -c - tol, -c, "discordant", edges, mirrored).drop(LARGE),
     ])
     pairs = _pairs(F.col("n"))
     both_tied = pairs - F.col("ref_untied") - F.col("cand_untied") + F.col("concordant") + F.col("discordant")

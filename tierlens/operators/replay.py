@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import exact_sum
-from .ledger import grid_totals
+from .lattice import lattice_summary
 from .pairs import decision_pairs
 from .policy import replay_paths
 
@@ -54,18 +54,13 @@ def default_grid(thresholds: Sequence[float], screen_in_stage1: bool) -> list[di
 
 def replay_summary(
     results: DataFrame, keys: Sequence[str], cost_weight: float = 0.05, cost_scale: float = 20.0,
-    totals: DataFrame | None = None, pairwise: bool = True,
+    pairwise: bool = True,
 ) -> DataFrame:
-    """Coverage, accuracy, error, cost and objective per policy; abstentions count as not correct.
-
-    Costs come from the ``cost`` column of ``results``, or from ``totals`` (keys, total_cost) when only the
-    ledger sums are needed.
-    """
+    """Coverage, accuracy, error, ``cost`` and objective per policy; abstentions count as not correct."""
     if cost_weight < 0 or cost_scale <= 0:
         raise ValueError("cost_weight must be non-negative and cost_scale positive")
     keys = list(keys)
     share = lambda c: F.avg(F.col(c).cast("double"))
-    own_cost = [] if totals is not None else [exact_sum("cost").alias("total_cost")]
     base = results.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.avg((~F.col("abstained")).cast("double")).alias("coverage"),
@@ -75,10 +70,8 @@ def replay_summary(
         F.avg("absolute_error").alias("mae_accepted"),
         share("ran_dft").alias("dft_call_fraction"),
         share("ran_high_level").alias("high_level_call_fraction"),
-        *own_cost,
+        exact_sum("cost").alias("total_cost"),
     )
-    if totals is not None:
-        base = base.join(totals, keys, "left").withColumn("total_cost", F.coalesce("total_cost", F.lit(0.0)))
     mean_cost = F.col("total_cost") / F.col("n")
     out = base.select(
         *keys, "n", "coverage", "accuracy_all_cases",
@@ -122,24 +115,18 @@ def run_policies(
 def policy_grid(
     scored: DataFrame, definitions: Sequence[dict], tolerance: float,
     cost_weight: float = 0.05, cost_scale: float = 20.0, use_diagnostics: bool = True,
-    use_reference_screen: bool = True, pairwise: bool = True,
+    use_reference_screen: bool = True, pairwise: bool = True, tie_tolerance: float = 0.0,
 ) -> DataFrame:
     """One summary row per definition, each with a ledger of its own.
 
-    Rows are grouped by the number of the definition alone; names and digests join the result.
+    No row is repeated per definition: see :mod:`lattice`.
     """
-    # the replayed copies stay narrow: operation maps are read once per row, by grid_totals
-    narrow = scored.drop("operations", "costs", "mlip_features", "dft_features")
-    paths = run_policies(narrow, definitions, tolerance, use_diagnostics, use_reference_screen)
-    totals = None
-    for start in range(0, len(definitions), 62):
-        count = min(62, len(definitions) - start)
-        part = grid_totals(
-            scored, paths.where(F.col("policy_id").between(start, start + count - 1)), start, count)
-        totals = part if totals is None else totals.unionByName(part)
-    # one row per policy
-    out = replay_summary(paths, ["policy_id"], cost_weight, cost_scale, F.broadcast(totals), pairwise)
+    if cost_weight < 0 or cost_scale <= 0:
+        raise ValueError("cost_weight must be non-negative and cost_scale positive")
+    if tolerance < 0:
+        raise ValueError("tolerance must be non-negative")
     known = definition_table(definitions)
+    out = lattice_summary(scored, known, tolerance, cost_weight, cost_scale, use_diagnostics, use_reference_screen, pairwise, tie_tolerance)
     at = lambda field: F.element_at(F.array(*[F.lit(d[field]) for d in known]), F.col("policy_id") + 1)
     return out.select("policy_id", *[at(c).alias(c) for c in ("name", "definition_digest")], *[c for c in out.columns if c != "policy_id"])
 
