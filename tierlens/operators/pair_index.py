@@ -7,7 +7,7 @@ prediction of a row is active; running counts of the active ones, one column per
 pairs, and the product of totals its resolved pairs.  Neither ranks nor sorting are repeated per policy.
 
 The cells of a group of more than ``rows_per_bucket`` rows are cut at prediction values, and what lies in earlier pieces
-of a cell joins the piece as one array, so no task holds a whole hot cell.
+of a cell joins the piece as one text of counts, so no task holds a whole hot cell.
 """
 
 from __future__ import annotations
@@ -135,17 +135,19 @@ def _counted(shared):
             new = np.r_[True, (value[1:] != value[:-1]) | (unit[1:] != unit[:-1])]
             tied = np.maximum.accumulate(np.where(new, np.arange(len(value)), 0))  # first row of the same value
             asks = np.flatnonzero(q)
-            lists = [table.column(c).take(pa.array(starts[:-1])).to_pylist() for c in ("earlier", "whole")]
+            heads = table.select(["earlier", "whole"]).take(pa.array(starts[:-1])).combine_chunks()
+            cut = np.flatnonzero(heads.column("whole").is_valid().to_numpy(zero_copy_only=False))  # pieces of large cells
+            lists = [np.array([text.split(",") for text in heads.column(c).take(pa.array(cut)).to_pylist()], np.int64).reshape(-1, len(policies.ids))
+                     for c in ("earlier", "whole")]
             for where, on in policies.blocks(table):
-                width = on.shape[1]
-                upto = np.zeros((len(q) + 1, width), np.int64)
+                upto = np.zeros((len(q) + 1, on.shape[1]), np.int64)
                 np.cumsum(on * (1 - q)[:, None], axis=0, out=upto[1:])
-                begin, end = upto[starts[:-1]], upto[starts[1:]]
-                earlier = np.array([[0] * width if v is None else v[where] for v in lists[0]]).reshape(-1, width)
-                whole = np.array([end[n] - begin[n] if v is None else v[where] for n, v in enumerate(lists[1])]).reshape(-1, width)
+                begin, whole = upto[starts[:-1]].copy(), upto[starts[1:]] - upto[starts[:-1]]
+                begin[cut] -= lists[0][:, where]
+                whole[cut] = lists[1][:, where]
                 mine, at = on[asks], unit[asks]
-                correct[where] += (mine * (upto[tied[asks]] - begin[at] + earlier[at])).sum(axis=0)
-                resolved[where] += (mine * whole[at]).sum(axis=0)
+                correct[where] += np.einsum("ij,ij->j", mine, upto[tied[asks]] - begin[at])
+                resolved[where] += np.einsum("ij,ij->j", mine, whole[at])
         yield pa.RecordBatch.from_arrays([pa.array(policies.ids), pa.array(resolved), pa.array(correct)], ["policy_id", "resolved", "correct"])
 
     return compute
@@ -154,7 +156,9 @@ def _counted(shared):
 def policy_pairs(index: DataFrame, slots: Sequence[str], active, ids: Sequence[int]) -> DataFrame:
     """(policy_id, resolved, correct) over all groups of an index (see :class:`Policies`)."""
     shared = index.sparkSession.sparkContext.broadcast(Policies(slots, active, ids))
-    ordered = lambda df, *more: df.repartition(*_UNIT).sortWithinPartitions(*_UNIT, *more)
+    # a fixed number of tasks: counting is work for processors, which merging small partitions would leave idle
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lambda df, *more: df.repartition(tasks, *_UNIT).sortWithinPartitions(*_UNIT, *more)
     columns = [*_UNIT, "q", "kind", *slots]
     group = index.schema["_group"].dataType.simpleString()
     types = f"_group {group}, _level int, _cell long, {_BUCKET} double, totals array<long>"
@@ -164,14 +168,16 @@ def policy_pairs(index: DataFrame, slots: Sequence[str], active, ids: Sequence[i
     summed = each.select(
         *_UNIT, "_p", F.coalesce(F.sum("_n").over(cell.orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("e"),
         F.sum("_n").over(cell).alias("w"))
+    # as texts: the size of an Arrow batch with lists is measured anew for every row, over all its rows
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     listed = summed.groupBy(*_UNIT).agg(F.array_sort(F.collect_list(F.struct("_p", "e", "w"))).alias("_l")).select(
-        *[F.col(c).alias(f"_k{c}") for c in _UNIT], F.col("_l.e").alias("earlier"), F.col("_l.w").alias("whole"))
+        *[F.col(c).alias(f"_k{c}") for c in _UNIT], joined("_l.e").alias("earlier"), joined("_l.w").alias("whole"))
     same = [F.col(c) == F.col(f"_k{c}") for c in _UNIT]
-    # the arrays stand on the first row of a unit only
+    # the counts stand on the first row of a unit only
     first = F.row_number().over(W.partitionBy(*_UNIT).orderBy("value", "q")) == 1
     large = index.where(LARGE).withColumn("_first", first)
     with_lists = large.join(listed, same[0] & same[1] & same[2] & same[3] & F.col("_first"), "left")
-    none = F.lit(None).cast("array<bigint>")
+    none = F.lit(None).cast("string")
     rows = index.where(f"not {LARGE}").select(*columns, "value", none.alias("earlier"), none.alias("whole")).unionByName(
         with_lists.select(*columns, "value", "earlier", "whole"))
     counted = ordered(rows, "value", F.col("earlier").isNull()).mapInArrow(_counted(shared), "policy_id long, resolved long, correct long")
