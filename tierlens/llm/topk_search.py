@@ -26,7 +26,7 @@ from .tables import Scratch
 from .vectors import numbered_blocks, packed_rows, unpack
 
 _TILE = 256  # queries scored at once
-_NONE = np.iinfo(np.int64).min  # below every score
+_NONE = -2 ** 62  # below every score
 
 
 class Queries:
@@ -93,7 +93,8 @@ def _resolve(shared, cutoffs, dims: int, k: int, kind):
     """Phases 2 and 3: entries that reach the uniform threshold in some list, resolved; the k best per query and slice."""
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, cutoff = shared.value, cutoffs.value
-        lists = len(queries.runs)
+        # partial scores are whole numbers, and every type here holds them exactly
+        least = np.ceil(cutoff / len(queries.runs)).astype(kind) if kind != np.int64 else -(-cutoff // len(queries.runs))
         empty = np.zeros(0, np.int64)
         q, score, no_id, ids = empty, empty, np.zeros(0, bool), empty
         for batch in batches:
@@ -104,10 +105,10 @@ def _resolve(shared, cutoffs, dims: int, k: int, kind):
             row_id = batch.column("id").fill_null(0).to_numpy()
             for start, stop in _tiles(queries):
                 parts, own = queries.partial_scores(start, stop, member, v)
-                low = cutoff[start:stop, None]
+                low = least[start:stop, None]
                 enough = np.zeros(own.shape, bool)
                 for p in parts:
-                    enough |= p * lists >= low
+                    enough |= p >= low
                 i, j = np.nonzero(enough & ~own)
                 s = sum(p[i, j] for p in parts).astype(np.int64)
                 take = s >= cutoff[start + i]
@@ -167,7 +168,7 @@ def top_k_search(
         known = placed.where(F.col("place") <= k).groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("score"))
         # with fewer than k candidates nothing may be cut off; at most ``block`` rows
         low = {r.query: r.score for r in known.where(F.col("n") == k).collect()}
-        cutoff = np.array([low.get(m, -2 ** 62) for m in shared.value.member.tolist()], np.int64)
+        cutoff = np.array([low.get(m, _NONE) for m in shared.value.member.tolist()], np.int64)
         cutoffs = spark.sparkContext.broadcast(cutoff)
         kept = candidates.mapInArrow(_resolve(shared, cutoffs, dims, k, kind), schema)
         kept.write.mode("append").parquet(found)
