@@ -403,6 +403,14 @@ def end_digests(ends: DataFrame) -> DataFrame:
 
 # ---- the operator ------------------------------------------------------------
 
+def _where_known(rows: DataFrame, key: str, tables: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Left joins of the rows whose ``key`` is known; the others pass by, or a join would send them all to one task."""
+    known = rows.where(F.col(key).isNotNull())
+    for table, on in tables:
+        known = known.join(table, on, "left")
+    return known.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def prefix_trie(
     conversations: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
     slab: int = 64, piece_rows: int = 1 << 18,
@@ -463,8 +471,8 @@ def prefix_trie(
         at_root = digests.where("e1 is null").first()
         roots = [(top.least, 0, None, top.n, nodes.where("depth = 1").count(), max(top.leaves, 1), top.saved, at_root.sha if at_root else none)]
     root = spark.createDataFrame(roots, "member long, depth long, parent long, n_convs long, n_children long, n_leaves long, saved long, ends_sha256 string")
-    named = nodes.join(below, ["k1", "k2"], "left").join(in_slab, ["up", "depth"], "left").join(before, ["b1", "b2"], "left").join(
-        digests.withColumnsRenamed({"e1": "k1", "e2": "k2"}), ["k1", "k2"], "left")
+    named = _where_known(nodes, "k1", [(below, ["k1", "k2"]), (digests.withColumnsRenamed({"e1": "k1", "e2": "k2"}), ["k1", "k2"])])
+    named = _where_known(_where_known(scratch.keep(named), "up", [(in_slab, ["up", "depth"])]), "b1", [(before, ["b1", "b2"])])
     parent = F.when(F.col("depth") == 1, F.lit(top.least)).otherwise(F.coalesce("parent", "parent_before"))
     saved = F.col("saved") - F.col("least_saved") - (F.col("n") - 1) * F.col("above")
     result = root.unionByName(named.select(
