@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,6 +235,31 @@ def test_top_k_edges(spark):
         assert found_rows(topk_search.top_k_search(vectors(spark, rows), asks)) == brute_search(rows)
 
 
+def test_cutoffs_are_safe_and_sharp():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int32)
+    rows = pa.table({"id": np.arange(4000), "member": np.arange(4000), "v": pa.array([r.tobytes() for r in x], pa.binary())})
+    queries = topk_search.Queries(rows.slice(0, 300), 64, 2, np.float32)
+
+    class Shared:
+        value = queries
+
+    class Cutoffs:
+        pass
+
+    true = x[:300].astype(np.int64) @ x.T.astype(np.int64)
+    true[np.arange(300), np.arange(300)] = -2 ** 60
+    fifth = np.sort(true, axis=1)[:, -5]
+    gathered = list(topk_search._gather(Shared, 64, 5, np.float32)(iter(rows.to_batches(1000))))[0].to_pandas()
+    assert (gathered.groupby("query").size() == 5).all() and len(gathered) == 1500
+    Cutoffs.value = gathered.groupby("query").score.min().to_numpy()
+    assert (Cutoffs.value <= fifth).all() and (Cutoffs.value > 0.6 * fifth).all()
+    parts, own = queries.partial_scores(0, 256, np.arange(4000), x.astype(np.float32))
+    enough = np.logical_or.reduce([p >= np.ceil(Cutoffs.value[:256, None] / 2) for p in parts]) & ~own
+    assert enough.mean() < 0.1 and (true[:256] < fifth[:256, None])[~enough].all()
+
+
 def test_blocks_hold_what_they_promise(spark):
     rows = Scratch(spark, "t").keep(spark.range(1000).repartition(7).withColumn("number", F.monotonically_increasing_id()))
     blocks = numbered_blocks(rows, "number", 64)
