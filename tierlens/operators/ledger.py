@@ -79,64 +79,101 @@ def ledger_totals(bought: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per_op.groupBy(*keys).agg(F.sum(F.col("cost").cast(MONEY)).cast("double").alias("total_cost"))
 
 
-def charge_with_budget(bought: DataFrame, keys: Sequence[str], budget: float) -> DataFrame:
+def charge_with_budget(
+    bought: DataFrame, keys: Sequence[str], budget: float, opening: DataFrame | None = None,
+) -> DataFrame:
     """(ledger, row_no, cost, refused_step_no): purchases in ``seq`` order under a budget per ledger.
 
-    A purchase that does not fit is refused whole and ends its row; cheaper ones later may still fit.  The
-    outcome is found in rounds over *all* ledgers at once instead of by walking them:
-
-    * price every pending purchase by the operations it would be first to buy.  That is exact up to the first
-      purchase that overflows the running total, so everything before it is accepted;
-    * whatever lies behind and costs more than what is then left can never be bought (operations it is first
-      to need cannot become free), so it is refused at once with the later steps of its row.
-
-    A round ends at least one purchase per open ledger (the first that does not fit), and usually whole price
-    classes, so the rounds end when nothing is pending.
+    A purchase that does not fit is refused whole and ends its row; cheaper ones later may still fit.  ``opening``
+    (ledger, op, cost) lists operations that a ledger has already paid for; they count towards the budget, and more of
+    them than the budget allows is an error.
     """
     keys = list(keys)
     if budget < 0:
         raise ValueError("budget must be non-negative")
     row_keys = [*keys, "row_no"]
-    limit = F.expr(f"cast({budget!r}D as {MONEY}) + {_SLACK}")
-    edges = value_edges(bought, "seq")  # later rounds only hold fewer purchases
-    pending = cut_lineage(_lines(bought, keys))
-    spent = None
-    verdicts = []
-    while not pending.isEmpty():
-        first = cut_lineage(pending.groupBy(*keys, "op").agg(F.min("seq").alias("seq"), one_price()).select(
-            *keys, "op", *_purchase_of(), F.col("cost").cast(MONEY).alias("cost")))
-        priced = first.groupBy(*row_keys, "step_no", "seq").agg(F.sum("cost").cast("decimal(38,12)").alias("price"))
-        lined = running(priced, "seq", sums={"upto": "price"}, keys=keys, edges=edges)
-        lined = lined.withColumn("spent", F.lit(0).cast("decimal(38,12)")) if spent is None else lined.join(spent, keys)
-        reached = F.col("spent") + F.col("upto")
-        # the running total only grows, so the largest total within the limit is what the ledger has spent
-        state = cut_lineage(lined.groupBy(*keys).agg(
-            F.min(F.when(reached > limit, F.col("seq"))).alias("stop"),
-            F.coalesce(F.max(F.when(reached <= limit, reached)), F.max("spent")).cast("decimal(38,12)").alias("spent"),
-        ))
-        fits = F.col("stop").isNull() | (F.col("seq") < F.col("stop"))
-        hopeless = F.col("spent") + F.col("price") > limit
-        judged = cut_lineage(priced.join(state, keys).withColumn("paid", fits).where(fits | hopeless).select(
-            *row_keys, "step_no", "price", "paid"))
-        verdicts.append(judged)
-        # operations of accepted purchases are owned from now on; rows end at their refused step
-        owned = first.join(state, keys).where(fits).select(*keys, "op")
-        ended = judged.where(~F.col("paid")).groupBy(*row_keys).agg(F.min("step_no").alias("refused_step_no"))
-        open_ledgers = state.where(F.col("stop").isNotNull()).select(*keys)
-        pending = pending.join(open_ledgers, keys, "left_semi").join(owned, [*keys, "op"], "left_anti")
-        pending = pending.withColumn("row_no", F.expr("seq div 8")).join(ended, row_keys, "left").where(
-            F.col("refused_step_no").isNull() | (F.col("seq") % 8 < F.col("refused_step_no")))
-        pending = cut_lineage(pending.select(*keys, "seq", "op", "cost"))
-        spent = state.select(*keys, "spent")
     union = bought.select(*row_keys).distinct().select(
-        *row_keys, F.lit(None).cast("int").alias("step_no"), F.lit(0).cast("decimal(38,12)").alias("price"), F.lit(True).alias("paid"))
-    for part in verdicts:
+        *row_keys, F.lit(None).cast("int").alias("step_no"), F.lit(0).cast(MONEY).alias("price"), F.lit(True).alias("paid"))
+    for part in budget_rounds(bought, keys, budget, opening):
         union = union.unionByName(part)
     return union.groupBy(*row_keys).agg(
         F.sum(F.when(F.col("paid"), F.col("price"))).cast("double").alias("cost"),
         F.min(F.when(~F.col("paid"), F.col("step_no"))).alias("refused_step_no"))
 
 
+def budget_rounds(bought: DataFrame, keys: Sequence[str], budget: float, opening: DataFrame | None = None) -> list[DataFrame]:
+    """Verdicts (ledger, row_no, step_no, price, paid), one table per round over all ledgers at once.
+
+    Of what a ledger has left, a purchase that costs more than half is *large*, another one *small*; at most one large
+    one can be accepted before less than half is left.  A round therefore lets the small ones through in order, up to the
+    first large one that fits on top of them or the first small one that does not fit, and refuses every large one before
+    that place.  Either event leaves less than half, so the rounds of a ledger grow with the logarithm of its budget over
+    its lowest price, not with the number of refusals.
+
+    * Behind the first large step of a row nothing is bought before that step is, so those steps wait.
+    * Operations are paid by the first *small* step that needs them, since the large ones before it are refused.  Which
+      steps are large is judged by the operations they are the first of all to need, which they pay in any case; a small
+      step that turns out large once refused steps no longer pay for it is settled and ends the round (only such rounds,
+      which need refused operations that others share, may leave more than half).
+    * What lies behind the end and would have to pay more than what is left is refused at once.
+    """
+    keys = list(keys)
+    row_keys = [*keys, "row_no"]
+    row_no, money = F.expr("seq div 8").alias("row_no"), lambda c: c.cast(MONEY)
+    step_no = F.expr("cast(seq % 8 as int)").alias("step_no")
+    edges = value_edges(bought, "seq")  # later rounds only hold fewer purchases
+    pending, room = _lines(bought, keys), bought.select(*keys).distinct().withColumn("spent", money(F.lit(0)))
+    if opening is not None:
+        owned = opening.groupBy(*keys, "op").agg(one_price()).withColumnRenamed("cost", "_paid")
+        balance = owned.groupBy(*keys).agg(money(F.sum(money(F.col("_paid")))).alias("_spent"))
+        excess = F.raise_error(F.lit("initial charges exceed the budget"))
+        balance = balance.withColumn("_spent", F.when(F.col("_spent") <= money(F.lit(float(budget))), F.col("_spent")).otherwise(excess))
+        room = room.join(balance, keys, "left").select(*keys, F.coalesce("_spent", "spent").alias("spent"))
+        known = pending.join(owned, [*keys, "op"], "left")
+        conflict = F.raise_error(F.lit("one operation is offered at two prices in a ledger"))
+        same = F.when(F.col("_paid").isNull(), False).when(F.col("_paid") == F.col("cost"), True).otherwise(conflict)
+        pending = known.where(~same).drop("_paid")
+    pending, room = cut_lineage(pending), cut_lineage(room)
+    limit = F.expr(f"cast({budget!r}D as {MONEY}) + {_SLACK}")
+    left = money(limit - F.col("spent"))
+    verdicts = []
+    while not pending.isEmpty():
+        first = pending.groupBy(*keys, "op").agg(F.min("seq").alias("seq"), one_price())
+        least = cut_lineage(first.groupBy(*keys, "seq").agg(money(F.sum(money(F.col("cost")))).alias("least")).join(room, keys))
+        large = least.where(F.col("least") + F.col("least") > left).groupBy(*keys, row_no).agg(F.min("seq").alias("large"))
+        lines = pending.withColumn("row_no", row_no).join(large, row_keys, "left")
+        is_large = F.coalesce(F.col("seq") == F.col("large"), F.lit(False)).alias("is_large")
+        lines = cut_lineage(lines.where("large is null or seq <= large").select(*keys, "seq", "op", money(F.col("cost")).alias("cost"), is_large))
+        payers = lines.where("not is_large").groupBy(*keys, "op").agg(F.min("seq").alias("payer"))
+        pays = F.col("payer").isNull() | (F.col("payer") >= F.col("seq"))
+        priced = lines.join(payers, [*keys, "op"], "left").groupBy(*keys, "seq", "is_large").agg(
+            money(F.sum(F.when(pays, F.col("cost")).otherwise(0))).alias("price"))
+        priced = cut_lineage(priced.withColumn("small", F.when(F.col("is_large"), money(F.lit(0))).otherwise(F.col("price"))))
+        lined = running(priced, "seq", sums={"upto": "small"}, keys=keys, edges=edges).join(room, keys)
+        fits = money(F.col("upto")) + F.col("price") - F.col("small") <= left
+        ends = F.when(F.col("is_large"), F.col("fits")).otherwise(~F.col("fits") | (F.col("price") + F.col("price") > left))
+        lined = cut_lineage(lined.withColumn("fits", fits).withColumn("ends", ends).drop("upto", "small", "spent"))
+        stops = cut_lineage(lined.groupBy(*keys).agg(F.min(F.when(F.col("ends"), F.col("seq"))).alias("stop")))
+        settled = lined.join(stops, keys).where("stop is null or seq <= stop")
+        paid = F.when(F.col("seq") == F.col("stop"), F.col("fits")).otherwise(~F.col("is_large")).alias("paid")
+        settled = cut_lineage(settled.select(*keys, "seq", "price", paid))
+        added = settled.where("paid").groupBy(*keys).agg(money(F.sum("price")).alias("added"))
+        room = cut_lineage(stops.where("stop is not null").join(room, keys).join(added, keys, "left").select(
+            *keys, "stop", money(F.col("spent") + F.coalesce("added", money(F.lit(0)))).alias("spent")))
+        hopeless = least.drop("spent").join(room, keys).where((F.col("seq") > F.col("stop")) & (F.col("least") > left))
+        judged = cut_lineage(settled.unionByName(hopeless.select(*keys, "seq", F.col("least").alias("price"), F.lit(False).alias("paid"))).select(
+            *keys, row_no, step_no, "price", "paid"))
+        verdicts.append(judged)
+        # operations of accepted purchases are owned from now on; rows end at their refused step
+        owned = lines.join(settled.where("paid").select(*keys, "seq"), [*keys, "seq"], "left_semi").select(*keys, "op").distinct()
+        ended = judged.where("not paid").groupBy(*row_keys).agg(F.min("step_no").alias("refused"))
+        after = pending.join(room.select(*keys, "stop"), keys).where("seq > stop").withColumn("row_no", row_no)
+        after = after.join(ended, row_keys, "left").where("refused is null or seq % 8 < refused")
+        pending = cut_lineage(after.join(owned, [*keys, "op"], "left_anti").select(*keys, "seq", "op", "cost"))
+        room = room.drop("stop")
+    return verdicts
+
+
 def apply_ledger(paths: DataFrame, charged: DataFrame, keys: Sequence[str], tolerance: float, order_by: str = "ord") -> DataFrame:
     """Replayed rows with their cost; a refused purchase turns the row into an abstention at that step."""
     keys = list(keys)
