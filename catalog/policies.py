@@ -113,7 +113,37 @@ def _(t):
     return ledger.charges(ledger.purchases(paths, ["policy_id"], "ord"), ["policy_id"]).withColumnRenamed("row_no", "row_id")
 
 
-@query("ledger_budgeted")
+# The walk itself: a fold over each ledger's purchases in order, whose state is the last element folded in.
+SQL_WALK = f"""{SQL_LEDGER},
+numbered AS (SELECT op, (ROW_NUMBER() OVER (ORDER BY op))::INT AS no FROM (SELECT DISTINCT op FROM step_ops)),
+stepped AS (
+  SELECT r.policy_id, r.priority, r.id, r.ord, list_position(['mlip', 'screen', 'dft', 'diagnostics', 'reference_screen', 'high_level'], o.step)::INT AS step_no,
+    LIST(n.no ORDER BY n.no) AS ops, LIST(o.cost::DECIMAL(18,2) ORDER BY n.no) AS costs
+  FROM replayed r JOIN step_ops o ON o.id = r.id AND list_contains(string_split(r.purchased, ','), o.step) JOIN numbered n ON n.op = o.op GROUP BY ALL),
+walked AS (
+  SELECT policy_id, priority, list_reduce(list_prepend(
+      {{'id': -1::BIGINT, 'step_no': 0, 'ops': []::INT[], 'costs': []::DECIMAL(18,2)[], 'spent': 0::DECIMAL(18,2), 'owned': []::INT[], 'ended': -1::BIGINT, 'said': []::STRUCT(id BIGINT, step_no INT, price DECIMAL(18,2), paid BOOLEAN)[]}},
+      LIST({{'id': id::BIGINT, 'step_no': step_no, 'ops': ops, 'costs': costs, 'spent': NULL::DECIMAL(18,2), 'owned': NULL::INT[], 'ended': NULL::BIGINT, 'said': NULL::STRUCT(id BIGINT, step_no INT, price DECIMAL(18,2), paid BOOLEAN)[]}} ORDER BY ord, step_no)),
+    lambda s, x: CASE
+      WHEN x.id = s.ended THEN s
+      WHEN s.spent + list_sum(list_transform(list_zip(x.ops, x.costs), lambda z: CASE WHEN list_contains(s.owned, z[1]) THEN 0 ELSE z[2] END)) <= 500 THEN
+        {{'id': x.id, 'step_no': x.step_no, 'ops': x.ops, 'costs': x.costs,
+          'spent': (s.spent + list_sum(list_transform(list_zip(x.ops, x.costs), lambda z: CASE WHEN list_contains(s.owned, z[1]) THEN 0 ELSE z[2] END)))::DECIMAL(18,2),
+          'owned': list_distinct(list_concat(s.owned, x.ops)), 'ended': s.ended,
+          'said': list_append(s.said, {{'id': x.id, 'step_no': x.step_no,
+            'price': list_sum(list_transform(list_zip(x.ops, x.costs), lambda z: CASE WHEN list_contains(s.owned, z[1]) THEN 0 ELSE z[2] END))::DECIMAL(18,2), 'paid': true}})}}
+      ELSE {{'id': x.id, 'step_no': x.step_no, 'ops': x.ops, 'costs': x.costs, 'spent': s.spent, 'owned': s.owned, 'ended': x.id,
+          'said': list_append(s.said, {{'id': x.id, 'step_no': x.step_no, 'price': 0::DECIMAL(18,2), 'paid': false}})}} END).said AS said
+  FROM stepped GROUP BY 1, 2),
+said AS (SELECT policy_id, priority, UNNEST(said) AS v FROM walked),
+told AS (SELECT policy_id, priority, v.id AS id, SUM(v.price) AS cost, MIN(CASE WHEN NOT v.paid THEN v.step_no END) AS refused FROM said GROUP BY 1, 2, 3)"""
+SQL_BUDGET_REASONS = " ".join(f"WHEN {n} THEN '{policy.BUDGET_REASONS[step]}'" for n, step in enumerate(policy.STEPS, start=1))
+
+
+@query("ledger_budgeted", f"""WITH {sql_paths(POLICIES)}, {SQL_WALK}
+SELECT r.policy_id, r.priority, CASE WHEN refused IS NULL THEN r.action ELSE 'abstain' END AS action,
+  CASE WHEN refused IS NULL THEN r.reason ELSE CASE refused {SQL_BUDGET_REASONS} END END AS reason, COUNT(*) AS n, ROUND(SUM(COALESCE(cost, 0)::DOUBLE), 6) AS cost
+FROM replayed r LEFT JOIN told t ON t.policy_id = r.policy_id AND t.priority = r.priority AND t.id = r.id GROUP BY 1, 2, 3, 4""")
 def _(t):
     paths = replay.run_policies(rows_with_operations(t), POLICIES, S.DECISION_TOL)
     keys = ["policy_id", "priority"]

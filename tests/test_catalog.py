@@ -10,7 +10,7 @@ import __spark_entry__ as entry_module
 from catalog import ORACLES, QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
-HEAVY = {"ledger_budgeted", "evaluate_study", "test_audit", "fit_study"}  # covered by their own tests
+HEAVY = {"evaluate_study", "test_audit", "fit_study"}  # covered by their own tests
 
 
 def cell(v):

@@ -153,7 +153,7 @@ def budget_rounds(bought: DataFrame, keys: Sequence[str], budget: float, opening
         fits = money(F.col("upto")) + F.col("price") - F.col("small") <= left
         ends = F.when(F.col("is_large"), F.col("fits")).otherwise(~F.col("fits") | (F.col("price") + F.col("price") > left))
         lined = cut_lineage(lined.withColumn("fits", fits).withColumn("ends", ends).drop("upto", "small", "spent"))
-        stops = cut_lineage(lined.groupBy(*keys).agg(F.min(F.when(F.col("ends"), F.col("seq"))).alias("stop")))
+        stops = lined.groupBy(*keys).agg(F.min(F.when(F.col("ends"), F.col("seq"))).alias("stop"))
         settled = lined.join(stops, keys).where("stop is null or seq <= stop")
         paid = F.when(F.col("seq") == F.col("stop"), F.col("fits")).otherwise(~F.col("is_large")).alias("paid")
         settled = cut_lineage(settled.select(*keys, "seq", "price", paid))
@@ -161,8 +161,8 @@ def budget_rounds(bought: DataFrame, keys: Sequence[str], budget: float, opening
         room = cut_lineage(stops.where("stop is not null").join(room, keys).join(added, keys, "left").select(
             *keys, "stop", money(F.col("spent") + F.coalesce("added", money(F.lit(0)))).alias("spent")))
         hopeless = least.drop("spent").join(room, keys).where((F.col("seq") > F.col("stop")) & (F.col("least") > left))
-        judged = cut_lineage(settled.unionByName(hopeless.select(*keys, "seq", F.col("least").alias("price"), F.lit(False).alias("paid"))).select(
-            *keys, row_no, step_no, "price", "paid"))
+        judged = settled.unionByName(hopeless.select(*keys, "seq", F.col("least").alias("price"), F.lit(False).alias("paid"))).select(
+            *keys, row_no, step_no, "price", "paid")
         verdicts.append(judged)
         # operations of accepted purchases are owned from now on; rows end at their refused step
         owned = lines.join(settled.where("paid").select(*keys, "seq"), [*keys, "seq"], "left_semi").select(*keys, "op").distinct()
