@@ -26,31 +26,65 @@ _CUT_WORDS = 6  # in a long sentence one word in so many ends a piece
 _SIGN = 1 << 63
 
 
+_MOST_WORDS = 1 << 17  # remembered per task; a full memory starts anew
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+_BACK = pow(_BASE, -1, 1 << 64)
+_ALL = (1 << 64) - 1
+
+
+class _Cuts(dict):
+    """Whether a word (as it stands, with what white space follows) ends a piece of a long sentence."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) >= _MOST_WORDS:
+            self.clear()
+        cut = self[word] = crc32(word.rstrip().encode("utf-8", "surrogatepass")) % _CUT_WORDS == 0
+        return cut
+
+
+class _Hashes(dict):
+    """Hash of a lower-cased word."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _MOST_WORDS:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+        return h
+
+
+_cuts, _hashes = _Cuts(), _Hashes()
+
+
 def sentences_of(text: str, longest: int = 16) -> list[tuple[int, int, int]]:
     """(start, end, words): pieces that together are the whole text, separators included."""
     out, start = [], 0
     for end in [*(m.end() for m in _CUT.finditer(text)), len(text)]:
         if end <= start:
             continue
-        words = list(_WORD.finditer(text, start, end))
+        words = _WORD.findall(text, start, end)
         if len(words) <= longest:
             out.append((start, end, len(words)))
         else:
-            at, n = start, 0
+            # white space before the first word, if any, belongs to the first piece
+            at, stop, n = start, end - sum(map(len, words)), 0
             for word in words:
-                n, stop = n + 1, word.end()
+                n += 1
+                stop += len(word)
                 # the word decides, so copies that begin at different words are cut alike from the next such word on
-                if n == longest or stop == end or crc32(word[0].rstrip().encode("utf-8", "surrogatepass")) % _CUT_WORDS == 0:
+                if n == longest or stop == end or _cuts[word]:
                     out.append((at, stop, n))
                     at, n = stop, 0
         start = end
     return out
 
 
-def spans_of(text: str, least: int = 3, words: int = 20) -> list[tuple[int, int, int]]:
-    """(hash, first, last): signed 64-bit hash of the words of each span, and the sentences it covers."""
-    parts = sentences_of(text)
-    folded = [" ".join(text[s:e].lower().split()) for s, e, _ in parts]
+def spans_of(text: str, least: int = 3, words: int = 20, parts: list | None = None) -> list[tuple[int, int, int]]:
+    """(hash, first, last): signed 64-bit hash of the words of each span, and the sentences it covers.
+
+    Words are summed up with powers of a base by their place; a span's hash is a difference of two sums, moved to
+    place 0, so no span is hashed word by word.
+    """
+    parts = sentences_of(text) if parts is None else parts
     runs, end, held = set(), 0, 0
     for start in range(len(parts)):  # shortest from each sentence on
         while end < len(parts) and (end - start < least or held < words):
@@ -60,6 +94,8 @@ def spans_of(text: str, least: int = 3, words: int = 20) -> list[tuple[int, int,
             break
         runs.add((start, end - 1))
         held -= parts[start][2]
+    if not runs:
+        return []
     start, held = len(parts) - 1, 0
     for last in range(len(parts) - 1, -1, -1):  # shortest up to each sentence
         while start >= 0 and (last - start < least or held < words):
@@ -69,22 +105,34 @@ def spans_of(text: str, least: int = 3, words: int = 20) -> list[tuple[int, int,
             break
         runs.add((start + 1, last))
         held -= parts[last][2]
+    upto, back, total, power, undo = [0], [1], 0, 1, 1
+    for s, e, _ in parts:
+        for word in text[s:e].lower().split():
+            total = (total + _hashes[word] * power) & _ALL
+            power = (power * _BASE) & _ALL
+            undo = (undo * _BACK) & _ALL
+        upto.append(total)
+        back.append(undo)
     out = []
     for a, b in sorted(runs):
-        h = xxh64_intdigest(" ".join(w for w in folded[a:b + 1] if w), 42)
+        h = ((upto[b + 1] - upto[a]) * back[a]) & _ALL
         out.append((h - (1 << 64) if h >= _SIGN else h, a, b))
     return out
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans (h, a, b) of every text, and one row (NULL, sentences, NULL) that counts its sentences."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             rows, found = [], []
             for i, text in enumerate(part.column(2)):
-                spans = spans_of(text.as_py() or "")
-                rows += [i] * len(spans)
+                text = text.as_py() or ""
+                parts = sentences_of(text)
+                spans = spans_of(text, parts=parts)
+                rows += [i] * (len(spans) + 1)
                 found += spans
+                found.append((None, len(parts), None))
             own = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(own), part.column(1).take(own), *[pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]],
@@ -93,18 +141,21 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, total, gone = [], [], []
-        for text, covered in zip(batch.column(1), batch.column(2)):
+        texts, gone = [], []
+        for text, covered in zip(batch.column(1), batch.column(3)):
             text, covered = text.as_py(), covered.as_py()
+            if not covered:
+                texts.append(text)
+                gone.append(0)
+                continue
             parts = sentences_of(text or "")
             drop = bytearray(len(parts))
-            for span in covered or ():
+            for span in covered:
                 drop[span["a"]:span["b"] + 1] = b"\x01" * (span["b"] + 1 - span["a"])
-            texts.append(text if not any(drop) else "".join(text[s:e] for (s, e, _), d in zip(parts, drop) if not d))
-            total.append(len(parts))
+            texts.append("".join(text[s:e] for (s, e, _), d in zip(parts, drop) if not d))
             gone.append(sum(drop))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
+            [batch.column(0), pa.array(texts, pa.string()), batch.column(2), pa.array(gone, pa.int64())],
             ["row", "text", "n_sentences", "n_removed"])
 
 
@@ -122,12 +173,15 @@ def drop_repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str =
     kind = given.schema["id"].dataType.simpleString()
     spans = scratch.keep(given.select("id", "key", "text").mapInArrow(_spans, f"id {kind}, key long, h long, a int, b int"))
     place = F.struct("id", "key", "a")
-    repeated = scratch.keep(
-        spans.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first"))
-    # no repeated span, nothing removed: a document that only has first occurrences does not appear
-    covered = spans.join(repeated, "h").where(~place.eqNullSafe(F.col("first"))).select("key", "a", "b").distinct()
-    per_doc = scratch.keep(covered.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("covered")))
+    repeated = scratch.keep(spans.where("h is not null").groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select(
+        "h", F.col("first.key").alias("_key"), F.col("first.a").alias("_a")))
+    # a key stands for one id, so key and place tell the first occurrence from the others
+    covered = spans.where("h is not null").select("h", "key", "a", "b").join(repeated, "h").where("key <> _key or a <> _a").select("key", "a", "b").distinct()
+    counted = covered.unionByName(spans.where("h is null").select("key", "a", "b"))
+    per_doc = scratch.keep(counted.groupBy("key").agg(
+        F.collect_list(F.when(F.col("b").isNotNull(), F.struct("a", "b"))).alias("covered"),
+        F.max(F.when(F.col("b").isNull(), F.col("a"))).cast("long").alias("n_sentences")))
     scratch.drop_but(per_doc)
-    marked = given.select("row", "key", "text").join(per_doc, "key", "left").select("row", "text", "covered")
+    marked = given.select("row", "key", "text").join(per_doc, "key").select("row", "text", "n_sentences", "covered")
     shape = f"row {given.schema['row'].dataType.simpleString()}, text string, n_sentences long, n_removed long"
     return marked.mapInArrow(_cut_out, shape).select("row.*", F.col("text").alias("clean_text"), "n_sentences", "n_removed")
