@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tierlens.functions import columns as C
 from tierlens.operators import fingerprints, metrics, observables as O, validation as V
 from tierlens.plans.study import StudyConfig, with_eligibility
 from tierlens.records import STAGE_MLIP, feature_verdict
+from tierlens.sources import datasets
 
 from . import views as S
 from .registry import query
@@ -101,6 +103,36 @@ def _(t):
         F.coalesce("reason", F.lit("eligible")).alias("reason")).agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
 
 
+# rows of one customer and priority repeat the first of them, as their stored metadata says
+@query("loaded_study_eligibility", f"""{SQL_LABELLED.replace(f'WHERE {COMPLETE}', '')}, marked AS (
+  SELECT labelled.*, MIN(labelled.id) OVER (PARTITION BY group_id, priority) AS original FROM labelled),
+r AS (
+  SELECT id, 'missing or failed paired calculation/reference' AS reason FROM marked WHERE NOT ({COMPLETE})
+  UNION ALL SELECT id, 'duplicate observable of ' || original FROM marked WHERE original <> id
+  UNION ALL SELECT id, 'reference-quality exclusion' FROM marked WHERE reference_quality = 'questionable'
+  UNION ALL SELECT id, 'reference needs review or explicit exploratory mode' FROM marked WHERE reference_quality = 'unreviewed'
+  UNION ALL SELECT id, 'reference uncertainty makes a training target ambiguous' FROM marked
+    WHERE {COMPLETE} AND reference_quality = 'reviewed' AND original = id
+      AND (label_surrogate IS NULL OR label_reference IS NULL OR label_total IS NULL)),
+placed AS (SELECT id, ROW_NUMBER() OVER (ORDER BY group_id::VARCHAR, id) - 1 AS ord FROM study)
+SELECT marked.id::VARCHAR AS id, placed.ord, COALESCE(reason, 'eligible') AS reason, 'relative' AS cost_unit
+FROM marked JOIN placed ON placed.id = marked.id LEFT JOIN r ON marked.id = r.id""")
+def _(t):
+    first = W.partitionBy("group_id", "priority")
+    rows = S.study(t).withColumn("_first", F.min("id").over(first))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    row = F.struct(
+        F.col("id").alias("_place"), text("id"), text("group_id"), "mlip", "dft", "reference", "reference_quality", "reference_uncertainty",
+        "high_level_value", "high_level_supported", text("decision_group"),
+        F.struct(F.when(F.col("_first") != F.col("id"), F.col("_first").cast("string")).alias("duplicate_of")).alias("metadata"))
+    # one document per customer
+    documents = rows.groupBy(F.col("group_id").cast("string").alias("path")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    documents = documents.select("path", F.to_json(F.struct(F.lit("1.0").alias("schema_version"), "rows")).alias("text"))
+    loaded = datasets.unpack_study_table(datasets.check_documents(documents))
+    return with_eligibility(loaded, CONFIG).select("id", "ord", F.explode_outer("reasons").alias("reason"), "cost_unit").withColumn(
+        "reason", F.coalesce("reason", F.lit("eligible")))
+
+
 @query("spin_contamination", """SELECT o_orderkey, ABS(x - s * (s + 1)) AS contamination FROM (
   SELECT o_orderkey, LENGTH(o_orderpriority) AS m, (LENGTH(o_orderpriority) - 1) / 2.0::DOUBLE AS s, o_totalprice / 10000 AS x FROM orders)""")
 def _(t):

@@ -1,5 +1,6 @@
 """End to end on a designed table, with partition invariance and tamper checks."""
 
+import json
 from dataclasses import replace
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tierlens.plans import study as P
 from tierlens.plans.lineage import cut_lineage
+from tierlens.sources import datasets
 from tierlens.sources.synthetic import synthetic_ids, synthetic_study
 
 CONFIG = P.StudyConfig(synthetic=True, bootstrap_repetitions=40, thresholds=(0.25, 0.75))
@@ -99,3 +101,26 @@ def test_stored_study_is_the_same_study(spark, rows, artifact, tmp_path):
     assert loaded.digest() == loaded.sha256 == artifact.sha256
     P.verify_artifact(rows, loaded)
     assert loaded.config == artifact.config and loaded.models == artifact.models
+
+
+def test_stored_tables_keep_marks_order_and_unit(spark, tmp_path):
+    rows = [{"id": f"r{n}", "group_id": f"g{n}", "mlip": 1.0, "dft": 1.0, "reference": 1.0, "reference_quality": "reviewed",
+             "metadata": {"duplicate_of": "r1"} if n == 2 else {}} for n in range(4)]
+    for name, part in (("a", rows[:3]), ("b", rows[3:])):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"schema_version": "1.0", "cost_unit": "hours", "rows": part}))
+    table = datasets.load_study_table(spark, str(tmp_path))
+    assert [(r.id, r.ord, r.cost_unit) for r in table.orderBy("ord").collect()] == [(f"r{n}", n, "hours") for n in range(4)]
+    config = P.StudyConfig()
+    for variant in (table, table.drop("duplicate_of"), table.drop("duplicate_of").withColumn("metadata", F.to_json("metadata"))):
+        reasons = {r.id: r.reasons for r in P.with_eligibility(variant, config).collect()}
+        assert reasons == {"r0": [], "r1": [], "r2": ["duplicate observable of r1"], "r3": []}
+    (tmp_path / "a.json").write_text(json.dumps({"schema_version": "1.0", "energy_unit": "eV", "rows": rows}))
+    with pytest.raises(Exception, match="kcal/mol"):
+        datasets.load_study_table(spark, str(tmp_path)).collect()
+
+
+def test_studies_without_eligible_rows_or_with_two_units_are_refused(spark, rows):
+    with pytest.raises(ValueError, match="no eligible rows"):
+        P.fit_study(rows.withColumn("reference_quality", F.lit("questionable")), CONFIG)
+    with pytest.raises(ValueError, match="cost unit"):
+        P.fit_study(rows.withColumn("cost_unit", F.when(F.hash("id") % 2 == 0, "hours").otherwise("relative")), CONFIG)

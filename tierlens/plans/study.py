@@ -11,6 +11,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import blind_by_label, error_decomposition, is_true, target_labels
 from ..operators.features import feature_column, fit_preprocessor
@@ -95,10 +96,24 @@ EXCLUSIONS = {
 }
 
 
+def duplicate_mark(rows: DataFrame) -> Column:
+    """The row a row repeats: its ``duplicate_of``, or that of its ``metadata`` (VARIANT, map, struct or JSON text)."""
+    marks = [F.col("duplicate_of")] if "duplicate_of" in rows.columns else []
+    if "metadata" in rows.columns:
+        kind = rows.schema["metadata"].dataType
+        if isinstance(kind, T.VariantType):
+            marks.append(F.try_variant_get("metadata", "$.duplicate_of", "string"))
+        elif isinstance(kind, T.StringType):
+            marks.append(F.get_json_object("metadata", "$.duplicate_of"))
+        elif isinstance(kind, T.MapType) or "duplicate_of" in kind.fieldNames():
+            marks.append(F.col("metadata")["duplicate_of"].cast("string"))
+    return F.coalesce(*marks, F.lit(None).cast("string"))
+
+
 def with_eligibility(rows: DataFrame, config: StudyConfig) -> DataFrame:
     """Adds ``reasons``: all grounds on which a row is kept out of a study (empty = eligible)."""
     quality = F.col("reference_quality")
-    duplicate = F.col("duplicate_of") if "duplicate_of" in rows.columns else F.lit(None).cast("string")
+    duplicate = duplicate_mark(rows)
     grounds = F.array_compact(F.array(
         F.when(F.col("mlip").isNull() | F.col("dft").isNull() | F.col("reference").isNull(), F.lit(EXCLUSIONS["missing"])),
         F.when(F.length(duplicate) > 0, F.concat(F.lit(EXCLUSIONS["duplicate"]), duplicate)),
@@ -230,7 +245,11 @@ def fit_study(rows: DataFrame, config: StudyConfig, pairwise: bool = True) -> Ar
     """
     if not decision_group_leaks(rows).isEmpty():
         raise ValueError("a decision group crosses split groups")
+    if "cost_unit" in rows.columns and rows.select("cost_unit").distinct().limit(2).count() > 1:
+        raise ValueError("the rows of a study must share one cost unit")
     eligible, exclusions = split_eligible(rows, config)
+    if eligible.isEmpty():
+        raise ValueError("no eligible rows: every row is excluded (see split_eligible)")
     split = cut_lineage(grouped_split(eligible, seed=config.seed))
     staged = cut_lineage(study_frame(eligible, config).join(split.select("id", "partition"), "id"))
     train, calibration = (staged.where(F.col("partition") == p) for p in ("train", "calibration"))

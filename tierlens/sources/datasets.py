@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,9 @@ MANIFEST_COLUMNS = (
     "high_level_method", "decision_type",
 )
 
+# fixed values: units of study tables
+STUDY_ENERGY_UNIT, COST_UNIT = "kcal/mol", "relative"
+
 TABLE_SCHEMAS = {
     "structure": STRUCTURE_SCHEMA, "observable": OBSERVABLE_SCHEMA, "calculation": CALCULATION_SCHEMA,
     "study_row": STUDY_ROW_SCHEMA, "attachment": ATTACHMENT_SCHEMA, "review": REVIEW_SCHEMA,
@@ -75,7 +79,31 @@ def load_calculations(spark: SparkSession, paths) -> DataFrame:
 
 
 def load_study_table(spark: SparkSession, path) -> DataFrame:
-    return _unpack(read_documents(spark, path), "rows", STUDY_ROW_SCHEMA)
+    """Rows of one or many study documents (see :func:`unpack_study_table`)."""
+    return unpack_study_table(read_documents(spark, path))
+
+
+def unpack_study_table(documents: DataFrame) -> DataFrame:
+    """Study rows with what a study needs to know of where they stood.
+
+    ``duplicate_of``: the mark in a row's metadata, if any; ``ord``: the row's place, documents one after the other by
+    path; ``cost_unit``: that of its document.  An energy unit other than that of study tables, or an empty cost unit,
+    is an error.
+    """
+    field = lambda name, default: F.coalesce(F.variant_get("doc", f"$.{name}", "string"), F.lit(default))
+    unit, energy = field("cost_unit", COST_UNIT), field("energy_unit", STUDY_ENERGY_UNIT)
+    wrong = F.raise_error(F.concat(F.lit("study tables are in kcal/mol and name a cost unit: "), F.col("path")))
+    opened = documents.select(
+        "path", F.when((energy == STUDY_ENERGY_UNIT) & (F.length(unit) > 0), unit).otherwise(wrong).alias("cost_unit"),
+        F.variant_get("doc", "$.rows", "array<variant>").alias("_rows"))
+    # one narrow row per document
+    sizes = opened.select(F.col("path").alias("_path"), F.size("_rows").cast("long").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_path").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    placed = opened.select("path", "cost_unit", F.posexplode("_rows").alias("_at", "_r")).join(starts, F.col("path") == F.col("_path"))
+    return placed.select(
+        *[F.variant_get("_r", f"$.{f.name}", _ddl(f.dataType)).alias(f.name) for f in STUDY_ROW_SCHEMA.fields],
+        F.try_variant_get("_r", "$.metadata.duplicate_of", "string").alias("duplicate_of"), (F.col("_before") + F.col("_at")).alias("ord"), "cost_unit")
 
 
 def load_records(spark: SparkSession, path, kind: str) -> DataFrame:
