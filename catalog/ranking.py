@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tierlens.operators import features, metrics, ordered, pairs
+from tierlens.operators import features, metrics, ordered, pairs, statistics
 from tierlens.plans.lineage import cut_lineage
 
 from . import views as S
@@ -193,6 +193,21 @@ def _(t):
     return rounded(metrics.bootstrap_replicates(rows, "delta", "group_id", 100, 7, mean_square), 4)
 
 
+@query("bootstrap_weighted_median", f"""WITH {S.SQL_STUDY}, vals AS (SELECT group_id AS g, scf_cycles AS v FROM study WHERE {COMPLETE}), per AS (
+  SELECT g, ROW_NUMBER() OVER (ORDER BY md5(g::VARCHAR)) - 1 AS idx FROM vals GROUP BY g), k AS (SELECT COUNT(*) AS n FROM per),
+draws AS (SELECT r.r AS replicate, ('0x' || substr(md5('7|' || r.r || '|' || d.d), 1, 15))::BIGINT % n AS idx FROM k, range(40) r(r), LATERAL (SELECT UNNEST(range(n)) AS d) d)
+SELECT replicate, quantile_disc(v, 0.6::DOUBLE) AS statistic FROM draws JOIN per USING (idx) JOIN vals USING (g) GROUP BY replicate""")
+def _(t):
+    return metrics.bootstrap_replicates(complete(t), "scf_cycles", "group_id", 40, 7, statistics.WeightedQuantile(0.6))
+
+
+@query("weighted_median", """WITH per AS (SELECT l_returnflag, l_discount AS v, SUM(l_quantity) AS w FROM lineitem GROUP BY 1, 2),
+upto AS (SELECT *, SUM(w) OVER (PARTITION BY l_returnflag ORDER BY v) AS below, SUM(w) OVER (PARTITION BY l_returnflag) AS whole FROM per)
+SELECT l_returnflag, MIN(v) AS statistic FROM upto WHERE 2 * below >= whole GROUP BY 1""")
+def _(t):
+    return statistics.aggregate_statistic(t.lineitem, ["l_returnflag"], "l_discount", statistics.WeightedQuantile(), "l_quantity")
+
+
 # ---- pairwise ----------------------------------------------------------------
 
 @query("decision_pairs", f"""WITH {S.SQL_STUDY}, p AS (

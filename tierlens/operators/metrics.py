@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col
 from ..plans.lineage import cut_lineage
 from .ordered import kth_smallest, ranking_aggregates, running, score_ranking, value_edges
+from .statistics import Statistic, aggregate_statistic
 
 
 def regression_report(df: DataFrame, predicted: str, reference: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -186,12 +187,13 @@ def _per_group(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def bootstrap_replicates(
     df: DataFrame, value: str, group: str, repetitions: int, seed: int,
-    statistic: Callable[[Column, Column], Column] | None = None, per_group: DataFrame | None = None,
+    statistic: Callable[[Column, Column], Column] | Statistic | None = None, per_group: DataFrame | None = None,
 ) -> DataFrame:
     """(replicate, statistic): groups drawn with replacement, each draw weighting all rows of its group.
 
     The mean needs only (sum, count) per group.  Another ``statistic`` is an *aggregate expression* of a value
-    column and its weight (times the group was drawn), so it is still a distributed aggregation per replicate.
+    column and its weight (times the group was drawn), or a Python :class:`~tierlens.operators.statistics.Statistic`;
+    both are distributed aggregations per replicate.
     """
     if repetitions < 2:
         raise ValueError("at least two repetitions are needed")
@@ -208,12 +210,19 @@ def bootstrap_replicates(
         return picked.groupBy("replicate").agg((F.sum("_sum") / F.sum("_count")).alias("statistic"))
     weights = draws.groupBy("replicate", "_index").agg(F.count("*").alias("_w"))
     drawn = weights.join(numbered.select("_index", group), "_index").join(df.select(group, value), group)
-    return drawn.groupBy("replicate").agg(statistic(F.col(value), F.col("_w")).alias("statistic"))
+    return _applied(drawn, ["replicate"], value, F.col("_w"), statistic)
+
+
+def _applied(df: DataFrame, keys: list[str], value: str, weight: Column, statistic) -> DataFrame:
+    """(keys, statistic), whichever kind of statistic it is."""
+    if callable(statistic):
+        return df.groupBy(*keys).agg(statistic(F.col(value), weight).alias("statistic"))
+    return aggregate_statistic(df, keys, value, statistic, weight)
 
 
 def cluster_bootstrap(
     df: DataFrame, value: str, group: str, repetitions: int = 1000, confidence: float = 0.95, seed: int = 42,
-    statistic: Callable[[Column, Column], Column] | None = None,
+    statistic: Callable[[Column, Column], Column] | Statistic | None = None,
 ) -> DataFrame:
     """One row: estimate on the data and the percentile interval over replicates."""
     if not 0 < confidence < 1:
@@ -227,7 +236,7 @@ def cluster_bootstrap(
         F.count("*").alias("repetitions"), F.lit(1).alias("_k"))
     sizes = per_group.agg((F.sum("_sum") / F.sum("_count")).alias("estimate"), F.count("*").alias("groups"), F.lit(1).alias("_k"))
     if statistic is not None:
-        own = df.agg(statistic(F.col(value), F.lit(1)).alias("estimate"), F.lit(1).alias("_k"))
+        own = _applied(df, [], value, F.lit(1), statistic).select(F.col("statistic").alias("estimate"), F.lit(1).alias("_k"))
         sizes = sizes.drop("estimate").join(own, "_k")
     return sizes.join(interval, "_k").select(
         "estimate", "lower", "upper", F.lit(confidence).alias("confidence"), "groups", "repetitions")
