@@ -310,8 +310,12 @@ def test_embedding_edges(spark):
     rows = [(1, e1, 0), (2, e1, 0), (3, e1, 1), (4, e1, None), (5, None, 0), (6, [0.0] * 8, 0), (7, [float("nan")] + [0.0] * 7, 0),
             (8, [None] + [1.0] * 7, 0), (9, [2e30] + [0.0] * 7, 0), (None, e1, 0), (10, [1e-30] + [0.0] * 7, 1)]
     got = {r.id: (r.n_links, r.component, r.kept) for r in embedding_dedup.embedding_links(spark.createDataFrame([(*r, "x", "y") for r in rows], schema)).collect()}
-    assert got == {1: (2, 1, True), 2: (2, 1, False), 9: (2, 1, False), 3: (1, 3, True), 10: (1, 3, False), 4: (0, 4, True), 5: (0, 5, True),
-                   6: (0, 6, True), 7: (0, 7, True), 8: (0, 8, True), None: (0, None, True)}
+    assert got == {1: (3, 1, True), 2: (3, 1, False), 9: (3, 1, False), 3: (1, 3, True), 10: (1, 3, False), 4: (0, 4, True), 5: (0, 5, True),
+                   6: (0, 6, True), 7: (0, 7, True), 8: (0, 8, True), None: (3, 1, False)}
+    # copies, repeated ids and rows without an id count like any other row
+    copies = [(1, e1, 0), (1, e1, 0), (2, e1, 0), (None, e1, 0), (None, [0.0] + e1[:-1], 0), (None, [0.0] + e1[:-1], 0), (7, [0.0, 0.0] + e1[:-2], 0)]
+    found = [(r.id, r.n_links, r.component, r.kept) for r in embedding_dedup.embedding_links(spark.createDataFrame([(*r, "x", "y") for r in copies], schema)).collect()]
+    assert sorted(found, key=str) == sorted([(1, 3, 1, True)] * 2 + [(2, 3, 1, False), (None, 3, 1, False)] + [(None, 1, None, False)] * 2 + [(7, 0, 7, True)], key=str)
     assert embedding_dedup.embedding_links(spark.createDataFrame([], schema)).count() == 0
     assert embedding_dedup.embedding_links(spark.createDataFrame([(None, None, None, None, None)] * 2, schema)).count() == 2
 

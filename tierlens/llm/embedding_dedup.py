@@ -82,7 +82,10 @@ def unit_matrix(stored: list[bytes], kind) -> np.ndarray:
 
 
 def filters(vectors: DataFrame, code: ProductCode, best: int, kind) -> DataFrame:
-    """(id, label, v, caps): components as bytes of type ``kind`` with the sorted filter numbers; unusable rows are left out."""
+    """(node, label, v, caps) of (node, label, v): components as bytes of type ``kind`` with the sorted filter numbers.
+
+    Unusable rows are left out.
+    """
     shared = vectors.sparkSession.sparkContext.broadcast(code)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +96,9 @@ def filters(vectors: DataFrame, code: ProductCode, best: int, kind) -> DataFrame
             took = batch.take(pa.array(usable))
             yield pa.RecordBatch.from_arrays(
                 [took.column(0), took.column(1), pa.array(stored, pa.binary()), pa.array(list(caps), pa.list_(pa.int64()))],
-                ["id", "label", "v", "caps"])
+                ["node", "label", "v", "caps"])
 
-    return vectors.mapInArrow(decode, f"id long, label {vectors.schema['label'].dataType.simpleString()}, v binary, caps array<long>")
+    return vectors.mapInArrow(decode, f"node long, label {vectors.schema['label'].dataType.simpleString()}, v binary, caps array<long>")
 
 
 def _bucket_pairs(end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -118,6 +121,7 @@ def _verify(threshold: float, kind):
             node, tile, own = (run.column(c).to_numpy(zero_copy_only=False) for c in ("node", "tile", "own"))
             cap, v = run.column("cap").to_numpy(), unit_matrix(run.column("v").to_pylist(), kind)
             caps = np.array(run.column("caps").to_pylist())
+            size = run.column("size").to_numpy()
             links = np.zeros(len(node), np.int64)
             hits = []
             for i, j in _bucket_pairs(group_ends(run.column("unit").to_numpy())):
@@ -131,7 +135,8 @@ def _verify(threshold: float, kind):
                     both = (a[:, :, None] == b[:, None, :]).any(axis=2)
                     first[s:s + 4096] = a[np.arange(len(a)), both.argmax(axis=1)] == cap[i[s:s + 4096]]
                 i, j = i[first], j[first]
-                links += np.bincount(i, minlength=len(node)) + np.bincount(j, minlength=len(node))
+                np.add.at(links, i, size[j])
+                np.add.at(links, j, size[i])
                 hits.append((i, j))
             root = spanning_roots(len(node), hits)
             some = np.flatnonzero(links)
@@ -147,28 +152,40 @@ def embedding_links(
     """(id, n_links, component, kept) for every row.
 
     Rows link if their labels are equal and not NULL and their cosine is at least ``threshold``.  Vectors that are
-    NULL, zero or hold NULL or non-finite components have no links.  Ids are whole numbers; a repeated id is one
-    node whose links add up.  Every link reported is verified; a link is missed only if the two vectors share none
-    of their ``best`` x ``rotations`` filters (recall is measured in the tests).
+    NULL, zero or hold NULL or non-finite components have no links.  Rows of equal label and vector are compared as one,
+    with their number, and every row is counted by itself: rows that repeat an id, and rows without one, link and count
+    like any other.  ``component`` is the smallest id reachable (NULL if no row of the group has an id), a row alone has
+    its own; ``kept`` says whether it is the row's id, or the row stands alone.  Every link reported is verified; a link
+    is missed only if the two vectors share none of their ``best`` x ``rotations`` filters (recall is measured in the
+    tests).  An empty table gives an empty result; further columns are not read, whatever their names.
     """
     scratch = Scratch(vectors.sparkSession, "caps")
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label).alias("label"), F.col(embedding).alias("v"))
     dims = rows.agg(F.max(F.size("v"))).first()[0]
     code = ProductCode(max(2, dims or 2), codewords, rotations, seed)
     kind = np.float32 if rows.schema["v"].dataType.elementType.typeName() == "float" else np.float64
-    known = rows.where(F.col("label").isNotNull() & F.col("id").isNotNull()).repartition("id")
-    # the number is written with the row, so it stays: it tells rows apart that share an id
-    ready = scratch.keep(filters(known, code, best, kind).withColumn("member", F.monotonically_increasing_id()))
-    entries = ready.select("member", "label", F.explode("caps").alias("cap")).withColumn("bucket", F.xxhash64("label", "cap")).drop("label")
-    # buckets are found on ids alone; only what shares a bucket gets its vector
+    known = rows.where(F.col("label").isNotNull() & F.col("v").isNotNull())
+    # the number is written with the row, so it stays
+    nodes = scratch.keep(known.groupBy("label", "v").agg(F.count("*").alias("size"), F.min("id").alias("least")).withColumn(
+        "node", F.monotonically_increasing_id()))
+    ready = scratch.keep(filters(nodes.select("node", "label", "v"), code, best, kind))
+    entries = ready.select(F.col("node").alias("member"), "label", F.explode("caps").alias("cap")).withColumn("bucket", F.xxhash64("label", "cap")).drop("label")
+    # buckets are found on numbers alone; only what shares a bucket gets its vector
     units = scratch.keep(tile_units(entries, scratch, "member", tile_rows))
-    met = units.join(ready.select("member", F.col("id").alias("node"), "v", "caps"), "member").drop("member")
+    sized = ready.join(nodes.select("node", "size"), "node")
+    met = units.join(sized.select(F.col("node").alias("member"), "node", "size", "v", "caps"), "member").drop("member")
     found = scratch.keep(met.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify(threshold, kind), "node long, root long, n long"))
-    counts = found.groupBy("node").agg(F.sum("n").alias("n_links"))
+    counts = found.groupBy("node").agg(F.sum("n").alias("others"))
     roots = components(found.where("node <> root").select("node", "root"), scratch)
-    named = scratch.keep(counts.join(roots, "node", "left"))
+    # usable vectors only: the copies of an unusable one do not link
+    grouped = scratch.keep(ready.select("node").join(nodes.select("node", "size", "least"), "node").join(counts, "node", "left").join(
+        roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = grouped.groupBy("root").agg(F.min("least").alias("component"), F.sum("size").alias("rows"))
+    told = grouped.join(least, "root").select("node", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component", "rows")
+    named = scratch.keep(nodes.select("node", F.col("label").alias("_label"), F.col("v").alias("_v")).join(told, "node").drop("node"))
     scratch.drop_but(named)
-    out = rows.select("id").join(named, F.col("id") == F.col("node"), "left")
-    component = F.coalesce("root", "id")
+    out = rows.join(named, (F.col("label") == F.col("_label")) & (F.col("v") == F.col("_v")), "left")
+    alone = F.coalesce(F.col("rows") == 1, F.lit(True))
+    component = F.when(alone, F.col("id")).otherwise(F.col("component"))
     return out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component"),
-                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+                      F.when(alone, True).otherwise(F.coalesce(F.col("id") == F.col("component"), F.lit(False))).alias("kept"))

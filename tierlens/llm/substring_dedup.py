@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +24,11 @@ from .tables import Scratch
 _CUT = re.compile(r"(?<![.!?])[.!?]\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 _CUT_WORDS = 6  # in a long sentence one word in so many ends a piece
-_SIGN = 1 << 63
 
 
 _MOST_WORDS = 1 << 17  # remembered per task; a full memory starts anew
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _BACK = pow(_BASE, -1, 1 << 64)
-_ALL = (1 << 64) - 1
 
 
 class _Cuts(dict):
@@ -78,46 +77,46 @@ def sentences_of(text: str, longest: int = 16) -> list[tuple[int, int, int]]:
     return out
 
 
-def spans_of(text: str, least: int = 3, words: int = 20, parts: list | None = None) -> list[tuple[int, int, int]]:
-    """(hash, first, last): signed 64-bit hash of the words of each span, and the sentences it covers.
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first n powers of the base and of its inverse modulo 2^64; remembered, and doubled when needed."""
+    while len(_known_powers[0]) < n:
+        for k, table in enumerate(_known_powers):
+            # table[m + i] = table[m] * table[i]
+            _known_powers[k] = np.concatenate([table, table * (table[-1:] * table[1:2])])
+    return _known_powers[0], _known_powers[1]
+
+
+_known_powers = [np.array([1, _BASE], np.uint64), np.array([1, _BACK], np.uint64)]
+
+
+def span_arrays(text: str, parts: list[tuple[int, int, int]], least: int = 3, words: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, last) of the spans of a text cut into ``parts``: signed 64-bit hash of a span's words, and its sentences.
 
     Words are summed up with powers of a base by their place; a span's hash is a difference of two sums, moved to
     place 0, so no span is hashed word by word.
     """
-    parts = sentences_of(text) if parts is None else parts
-    runs, end, held = set(), 0, 0
-    for start in range(len(parts)):  # shortest from each sentence on
-        while end < len(parts) and (end - start < least or held < words):
-            held += parts[end][2]
-            end += 1
-        if end - start < least or held < words:
-            break
-        runs.add((start, end - 1))
-        held -= parts[start][2]
-    if not runs:
-        return []
-    start, held = len(parts) - 1, 0
-    for last in range(len(parts) - 1, -1, -1):  # shortest up to each sentence
-        while start >= 0 and (last - start < least or held < words):
-            held += parts[start][2]
-            start -= 1
-        if last - start < least or held < words:
-            break
-        runs.add((start + 1, last))
-        held -= parts[last][2]
-    upto, back, total, power, undo = [0], [1], 0, 1, 1
-    for s, e, _ in parts:
-        for word in text[s:e].lower().split():
-            total = (total + _hashes[word] * power) & _ALL
-            power = (power * _BASE) & _ALL
-            undo = (undo * _BACK) & _ALL
-        upto.append(total)
-        back.append(undo)
-    out = []
-    for a, b in sorted(runs):
-        h = ((upto[b + 1] - upto[a]) * back[a]) & _ALL
-        out.append((h - (1 << 64) if h >= _SIGN else h, a, b))
-    return out
+    n = len(parts)
+    upto = np.zeros(n + 1, np.int64)
+    np.cumsum(np.fromiter((k for *_, k in parts), np.int64, n), out=upto[1:])
+    sentence = np.arange(n + 1)
+    # shortest run from each sentence on, and shortest run up to each sentence (ends exclusive)
+    end = np.maximum(sentence + least, np.searchsorted(upto, upto + words))
+    start = np.minimum(sentence - least, np.searchsorted(upto, upto - words, side="right") - 1)
+    forward, backward = np.flatnonzero(end <= n), np.flatnonzero(start >= 0)
+    runs = np.unique(np.concatenate([forward * (n + 1) + end[forward], start[backward] * (n + 1) + backward]))
+    if not len(runs):
+        return np.zeros(0, np.int64), runs, runs
+    first, stop = runs // (n + 1), runs % (n + 1)
+    each = np.fromiter(map(_hashes.__getitem__, text.lower().split()), np.uint64, int(upto[-1]))
+    power, undo = _powers(len(each) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each * power[:len(each)], dtype=np.uint64)])
+    h = (sums[upto[stop]] - sums[upto[first]]) * undo[upto[first]]
+    return h.view(np.int64), first, stop - 1
+
+
+def spans_of(text: str, least: int = 3, words: int = 20) -> list[tuple[int, int, int]]:
+    """(hash, first, last) of every span of a text, see :func:`span_arrays`."""
+    return list(zip(*(x.tolist() for x in span_arrays(text, sentences_of(text), least, words))))
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,17 +124,21 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            rows, found = [], []
-            for i, text in enumerate(part.column(2)):
+            found, sizes = [], []
+            for text in part.column(2):
                 text = text.as_py() or ""
                 parts = sentences_of(text)
-                spans = spans_of(text, parts=parts)
-                rows += [i] * (len(spans) + 1)
-                found += spans
-                found.append((None, len(parts), None))
-            own = pa.array(rows, pa.int64())
+                found.append(span_arrays(text, parts))
+                sizes.append(len(parts))
+            rows = np.repeat(np.arange(len(found)), [len(h) for h, *_ in found])
+            own = pa.array(np.concatenate([rows, np.arange(len(found))]))
+            counts = np.zeros(len(rows) + len(found), bool)
+            counts[len(rows):] = True
+            h, a, b = (np.concatenate([f[k] for f in found]) for k in range(3))
+            none = np.zeros(len(found), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(own), part.column(1).take(own), *[pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]],
+                [part.column(0).take(own), part.column(1).take(own), pa.array(np.concatenate([h, none]), mask=counts),
+                 pa.array(np.concatenate([a, sizes]).astype(np.int32)), pa.array(np.concatenate([b, none]).astype(np.int32), mask=counts)],
                 ["id", "key", "h", "a", "b"])
 
 
