@@ -162,7 +162,7 @@ pc AS (SELECT policy_id, COUNT(*) FILTER (c IS NOT NULL AND ABS(r) > u) AS pairs
 @query("replay_summary", f"""WITH {sql_paths(POLICIES)}, {SQL_LEDGER}, {SQL_SUMMARY}, {SQL_PAIRS}
 SELECT name, n, {SQL_ROUNDED}, pairs_resolved, pairs_unresolved, ROUND(ok / NULLIF(pairs_resolved, 0), 6) AS pairwise_ordering_accuracy FROM summary JOIN pc USING (policy_id)""")
 def _(t):
-    paths = replay.run_policies(rows_with_operations(t), POLICIES, S.DECISION_TOL)
+    paths = cut_lineage(replay.run_policies(rows_with_operations(t), POLICIES, S.DECISION_TOL))
     keys = ["policy_id"]
     charged = ledger.charges(ledger.purchases(paths, keys, "ord"), keys)
     paid = cut_lineage(ledger.apply_ledger(paths, charged, keys, S.DECISION_TOL).drop("operations", "costs"))

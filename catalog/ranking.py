@@ -162,13 +162,23 @@ def _(t):
     return metrics.conformal_interval(rows, "dft", q["quantile"]).select("id", "lower", "upper", "bounded")
 
 
+SEP = " || '|' || "
+
+
+def sql_draws(seed: int, repetitions: int) -> str:
+    """The operator's hash draws over groups numbered in md5 order: a bucket of 1,024 first, then a group in it."""
+    pick = lambda *parts: f"('0x' || substr(md5('{seed}|' || {SEP.join(parts)}), 1, 15))::BIGINT"
+    return f"""k AS (SELECT COUNT(*) AS n FROM per),
+fallen AS (SELECT r.r AS replicate, {pick('r.r', 'd.d')} % n // 1024 AS bucket, ANY_VALUE(n) AS n, COUNT(*) AS m
+  FROM k, range({repetitions}) r(r), LATERAL (SELECT UNNEST(range(n)) AS d) d GROUP BY 1, 2),
+draws AS (SELECT replicate, bucket * 1024 + {pick('replicate', 'bucket', 'j.j')} % LEAST(1024, n - bucket * 1024) AS idx
+  FROM fallen, LATERAL (SELECT UNNEST(range(1, m + 1)) AS j) j)"""
+
+
 def sql_bootstrap(values: str, repetitions: int) -> str:
-    """Same hash draws as the operator: groups numbered in md5 order, md5(seed|replicate|draw) picks one."""
     return f"""vals AS ({values}), per AS (
   SELECT g, SUM(v) AS sv, COUNT(v) AS cv, ROW_NUMBER() OVER (ORDER BY md5(g::VARCHAR)) - 1 AS idx FROM vals GROUP BY g),
-k AS (SELECT COUNT(*) AS n FROM per),
-draws AS (SELECT r.r AS replicate, ('0x' || substr(md5('42|' || r.r || '|' || d.d), 1, 15))::BIGINT % n AS idx
-  FROM k, range({repetitions}) r(r), LATERAL (SELECT UNNEST(range(n)) AS d) d),
+{sql_draws(42, repetitions)},
 reps AS (SELECT replicate, SUM(sv) / SUM(cv) AS statistic FROM draws JOIN per USING (idx) GROUP BY replicate)"""
 
 
@@ -184,8 +194,7 @@ def _(t):
 
 
 @query("cluster_bootstrap_statistic", f"""WITH {S.SQL_STUDY}, vals AS ({SQL_PAIRED}), per AS (
-  SELECT g, ROW_NUMBER() OVER (ORDER BY md5(g::VARCHAR)) - 1 AS idx FROM vals GROUP BY g), k AS (SELECT COUNT(*) AS n FROM per),
-draws AS (SELECT r.r AS replicate, ('0x' || substr(md5('7|' || r.r || '|' || d.d), 1, 15))::BIGINT % n AS idx FROM k, range(100) r(r), LATERAL (SELECT UNNEST(range(n)) AS d) d)
+  SELECT g, ROW_NUMBER() OVER (ORDER BY md5(g::VARCHAR)) - 1 AS idx FROM vals GROUP BY g), {sql_draws(7, 100)}
 SELECT replicate, ROUND(SUM(v * v) / COUNT(*) / 1000000, 4) AS statistic FROM draws JOIN per USING (idx) JOIN vals USING (g) GROUP BY replicate""")
 def _(t):
     rows = complete(t).withColumn("delta", F.abs(F.col("mlip") - F.col("reference")) - F.abs(F.col("dft") - F.col("reference")))
@@ -194,8 +203,7 @@ def _(t):
 
 
 @query("bootstrap_weighted_median", f"""WITH {S.SQL_STUDY}, vals AS (SELECT group_id AS g, scf_cycles AS v FROM study WHERE {COMPLETE}), per AS (
-  SELECT g, ROW_NUMBER() OVER (ORDER BY md5(g::VARCHAR)) - 1 AS idx FROM vals GROUP BY g), k AS (SELECT COUNT(*) AS n FROM per),
-draws AS (SELECT r.r AS replicate, ('0x' || substr(md5('7|' || r.r || '|' || d.d), 1, 15))::BIGINT % n AS idx FROM k, range(40) r(r), LATERAL (SELECT UNNEST(range(n)) AS d) d)
+  SELECT g, ROW_NUMBER() OVER (ORDER BY md5(g::VARCHAR)) - 1 AS idx FROM vals GROUP BY g), {sql_draws(7, 40)}
 SELECT replicate, quantile_disc(v, 0.6::DOUBLE) AS statistic FROM draws JOIN per USING (idx) JOIN vals USING (g) GROUP BY replicate""")
 def _(t):
     return metrics.bootstrap_replicates(complete(t), "scf_cycles", "group_id", 40, 7, statistics.WeightedQuantile(0.6))

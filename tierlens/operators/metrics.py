@@ -168,10 +168,13 @@ def conformal_interval(df: DataFrame, prediction: str, quantile: float | None) -
 
 # ---- cluster bootstrap -------------------------------------------------------
 
-def draw_index(seed: int, replicate: Column, draw: Column, groups: int) -> Column:
-    """Which group a draw picks: an md5 prefix modulo the group count, identical on any partitioning."""
-    text = F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), draw.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % groups
+GROUPS_PER_BUCKET, REPLICATES_AT_ONCE = 1024, 64
+
+
+def draw_index(seed: int, bound, *parts: Column) -> Column:
+    """A number below ``bound`` from an md5 prefix of the seed and the parts, identical on any partitioning."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % bound
 
 
 def _numbered_groups(per_group: DataFrame, group: str) -> DataFrame:
@@ -201,16 +204,41 @@ def bootstrap_replicates(
     groups = per_group.count()
     if groups < 2:
         raise ValueError("bootstrap needs at least two independent clusters")
-    numbered = _numbered_groups(per_group, group)
-    draws = df.sparkSession.range(repetitions * groups).select(
-        F.expr(f"id div {groups}").alias("replicate"), F.col("id").alias("_draw"))
-    draws = draws.select("replicate", draw_index(seed, F.col("replicate"), F.col("_draw") % groups, groups).alias("_index"))
+    numbered = _numbered_groups(per_group, group).withColumn("_bucket_no", F.expr(f"_index div {GROUPS_PER_BUCKET}"))
+    drawn = _bucket_draws(numbered, groups, repetitions, seed)
     if statistic is None:
-        picked = draws.join(numbered.select("_index", "_sum", "_count"), "_index")
-        return picked.groupBy("replicate").agg((F.sum("_sum") / F.sum("_count")).alias("statistic"))
-    weights = draws.groupBy("replicate", "_index").agg(F.count("*").alias("_w"))
-    drawn = weights.join(numbered.select("_index", group), "_index").join(df.select(group, value), group)
-    return _applied(drawn, ["replicate"], value, F.col("_w"), statistic)
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("c"))
+        total = F.aggregate("_picks", start, lambda acc, at: F.struct(
+            (acc["s"] + F.coalesce(F.col("_values")[at]["_sum"], F.lit(0.0))).alias("s"), (acc["c"] + F.col("_values")[at]["_count"]).alias("c")))
+        sums = drawn.select("replicate", total.alias("_t"))
+        return sums.groupBy("replicate").agg((F.sum("_t.s") / F.sum("_t.c")).alias("statistic"))
+    picked = drawn.select("replicate", "_bucket_no", F.explode("_picks").alias("_at")).select(
+        "replicate", (F.col("_bucket_no") * GROUPS_PER_BUCKET + F.col("_at")).alias("_index"))
+    weights = picked.groupBy("replicate", "_index").agg(F.count("*").alias("_w"))
+    weighted = weights.join(numbered.select("_index", group), "_index").join(df.select(group, value), group)
+    return _applied(weighted, ["replicate"], value, F.col("_w"), statistic)
+
+
+def _bucket_draws(numbered: DataFrame, groups: int, repetitions: int, seed: int) -> DataFrame:
+    """(replicate, _bucket_no, _values, _picks): which groups of a bucket a replicate draws, by place in the bucket.
+
+    Drawing splits in two.  Of the ``groups`` draws of a replicate each falls into a bucket of 1,024 neighbouring
+    groups; only how many do is counted, so what is shuffled is a number per replicate and bucket.  Inside its bucket a
+    draw then picks a group, where the bucket's groups stand as one array.
+    """
+    fallen = numbered.sparkSession.range(repetitions * groups).select(
+        F.expr(f"id div {groups}").alias("replicate"), F.expr(f"id % {groups}").alias("_draw"))
+    fallen = fallen.select("replicate", F.floor(
+        draw_index(seed, groups, F.col("replicate"), F.col("_draw")) / GROUPS_PER_BUCKET).alias("_bucket_no"))
+    counts = fallen.groupBy("_bucket_no", "replicate").agg(F.count("*").alias("_m")).groupBy(
+        "_bucket_no", F.expr(f"replicate div {REPLICATES_AT_ONCE}").alias("_block")).agg(F.collect_list(F.struct("replicate", "_m")).alias("_counts"))
+    # at most 1,024 groups
+    listed = numbered.groupBy("_bucket_no").agg(F.array_sort(F.collect_list(F.struct("_index", "_sum", "_count"))).alias("_values"))
+    tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = counts.join(listed, "_bucket_no").repartition(tasks, "_bucket_no", "_block")
+    each = met.select("_bucket_no", "_values", F.explode("_counts").alias("_c")).select("_bucket_no", "_values", "_c.replicate", "_c._m")
+    picks = F.transform(F.sequence(F.lit(1), "_m"), lambda j: draw_index(seed, F.size("_values"), F.col("replicate"), F.col("_bucket_no"), j))
+    return each.select("replicate", "_bucket_no", "_values", picks.alias("_picks"))
 
 
 def _applied(df: DataFrame, keys: list[str], value: str, weight: Column, statistic) -> DataFrame:
