@@ -180,7 +180,7 @@ def embedding_links(
     # usable vectors only: the copies of an unusable one do not link
     grouped = scratch.keep(ready.select("node").join(nodes.select("node", "size", "least"), "node").join(counts, "node", "left").join(
         roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component"), F.sum("size").alias("rows"))
+    least = scratch.keep(grouped.groupBy("root").agg(F.min("least").alias("component"), F.sum("size").alias("rows")))
     told = grouped.join(least, "root").select("node", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component", "rows")
     named = scratch.keep(nodes.select("node", F.col("label").alias("_label"), F.col("v").alias("_v")).join(told, "node").drop("node"))
     scratch.drop_but(named)
