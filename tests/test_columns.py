@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,34 @@ def test_logistic_matches_newton_and_single_class(spark):
     assert models.LogisticModel.from_dict(fit.to_dict()) == fit
 
 
+def test_models_fitted_together_are_optimal(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 3)) * [1.0, 5.0, 0.1]
+    labels = {f"y{k}": (rng.random(500) < 1 / (1 + np.exp(-x @ w))).astype(float) for k, w in enumerate(([1, 0.2, 0], [-2, 0.5, 3], [0, 0, 30]))}
+    labels["y1"][:50] = np.nan  # a missing label leaves the row to the other models
+    labels["one"] = np.ones(500)
+    rows = [(*map(float, v), *[None if np.isnan(labels[n][i]) else int(labels[n][i]) for n in labels]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y0 int, y1 int, y2 int, one int").repartition(5)
+    wanted = {"first": (["a", "b", "c"], "y0", 1.0), "second": (["b", "a"], "y1", 0.5), "third": (["c"], "y2", 2.0), "constant": (["a"], "one", 1.0)}
+    fitted = models.fit_logistics(df, wanted)
+    for name, (inputs, label, l2) in wanted.items():
+        m = fitted[name]
+        assert m.converged
+        if label == "one":
+            assert m.constant_probability == pytest.approx(500.5 / 501) and m.positives == m.n == 500
+            continue
+        known = ~np.isnan(labels[label])
+        z, y = np.column_stack([np.ones(known.sum()), x[known][:, ["abc".index(c) for c in inputs]]]), labels[label][known]
+        gradient = z.T @ (1 / (1 + np.exp(-z @ [m.intercept, *m.coef])) - y) + l2 * np.array([0.0, *m.coef])
+        assert np.abs(gradient).max() < 1e-6 and m.n == known.sum() and 0 < m.iterations < 20
+    # separated classes: steps must be halved or many, and still end
+    steep = spark.createDataFrame([(float(i), int(i >= 50)) for i in range(100)], "a double, y0 int")
+    m = models.fit_logistics(steep, {"m": (["a"], "y0", 1e-6)})["m"]
+    assert m.converged and m.coef[0] > 1
+    with pytest.raises(ValueError, match="no training rows"):
+        models.fit_logistics(df.where("a > 1e9"), {"m": (["a"], "y0", 1.0)})
+
+
 def test_connected_groups(spark):
     links = [("a", "ts1"), ("b", "ts1"), ("b", "scaffold"), ("c", "scaffold"), ("d", "other"), ("e", None)]
     got = dict(splits.connected_groups(spark.createDataFrame(links, "row_id string, entity string")).collect())

@@ -1,4 +1,7 @@
-"""Penalised logistic risk models with a separate calibration step; fits are MLlib, scores are columns."""
+"""Penalised logistic risk models with a separate calibration step; scores are columns.
+
+One model is fitted by MLlib, several over the same rows in shared passes.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import sigmoid
+from ..plans.lineage import cut_lineage
 from .features import Preprocessor, fit_preprocessor
+from .newton import fit_together
 from .splits import disjoint_ids
 
 MAX_ITERATIONS = 200
@@ -79,6 +84,17 @@ def fit_logistic(df: DataFrame, inputs: Sequence[str], label: str, l2: float = 1
                          converged=rounds < MAX_ITERATIONS, iterations=rounds)
 
 
+def fit_logistics(df: DataFrame, models: dict[str, tuple[Sequence[str], str, float]]) -> dict[str, LogisticModel]:
+    """Models of (input columns, label, l2) fitted in shared passes (see :mod:`newton`); one class gives a constant."""
+    out = {}
+    for name, fit in zip(models, fit_together(df, list(models.values()))):
+        single = fit.positives in (0, fit.n)
+        out[name] = LogisticModel(
+            fit.l2, 0.0 if single else float(fit.at[0]), tuple(0.0 if single else float(w) for w in fit.at[1:]), fit.n, fit.positives,
+            converged=fit.converged, iterations=fit.steps, constant_probability=(fit.positives + 0.5) / (fit.n + 1) if single else None)
+    return out
+
+
 def score_residuals(df: DataFrame, model: LogisticModel, inputs: dict[str, Column], label: str) -> DataFrame:
     """(term, n, residual): the mean gradient of the penalised loss per coefficient, 0 at the optimum."""
     rows = df.where(F.col(label).isNotNull())
@@ -130,6 +146,33 @@ def fit_risk_model(
     return RiskModel(pre, fit_logistic(ready, inputs, label, l2))
 
 
+def fit_risk_models(
+    train: DataFrame, calibration: DataFrame, models: dict[str, tuple[Sequence[str], int, str]], prepared: Preprocessor, l2: float = 1.0,
+) -> dict[str, RiskModel]:
+    """Models of (features, stage, label), fitted together on ``train`` and calibrated together on ``calibration``.
+
+    ``prepared`` is the preprocessor of all their features, fitted on ``train``.
+    """
+    own = {name: prepared.subset(features, stage) for name, (features, stage, _) in models.items()}
+    inputs = lambda p: [f"z_{n}" for n in p.names] + [f"missing_{n}" for n in p.names]
+    labels = list(dict.fromkeys(label for *_, label in models.values()))
+    ready = cut_lineage(prepared.apply(train).select(*inputs(prepared), *labels))
+    fitted = fit_logistics(ready, {name: (inputs(own[name]), label, l2) for name, (_, _, label) in models.items()})
+    raw = {name: RiskModel(own[name], fitted[name]) for name in models}
+    logits = cut_lineage(calibration.select(*[m.logit().alias(f"logit_{name}") for name, m in raw.items()], *labels))
+    calibrators = fit_logistics(logits, {name: ([f"logit_{name}"], label, 1.0) for name, (_, _, label) in models.items()})
+    return {name: RiskModel(m.preprocessor, m.model, calibrators[name]) for name, m in raw.items()}
+
+
+def calibration_audit(spark, models: dict[str, RiskModel]) -> DataFrame:
+    """One row per model: sizes, positives, single classes and convergence of its fit and of its calibration."""
+    rows = [(name, m.model.n, m.model.positives, m.calibrator.n, m.calibrator.positives, m.model.constant_probability is not None,
+             m.calibrator.constant_probability is not None, m.model.converged, m.calibrator.converged) for name, m in models.items()]
+    return spark.createDataFrame(rows, (
+        "model string, train_n long, train_positive long, calibration_n long, calibration_positive long, training_single_class boolean, "
+        "calibration_single_class boolean, optimizer_converged boolean, calibration_optimizer_converged boolean"))
+
+
 def calibrate(model: RiskModel, calibration: DataFrame, label: str, training: DataFrame | None = None, row_id="id") -> RiskModel:
     """Second logistic on the raw logit, on rows that took no part in training."""
     if training is not None and not disjoint_ids(calibration, training, row_id).isEmpty():

@@ -18,9 +18,9 @@ from ..operators.features import feature_column, fit_preprocessor
 from ..operators.fingerprints import multiset_fingerprint
 from ..operators.ledger import apply_ledger, charges, purchases
 from ..operators.metrics import (
-    blind_rate, class_balance, classification_report, cluster_bootstrap, raw_score_report, regression_report,
+    blind_rate, classification_report, cluster_bootstrap, raw_score_report, regression_report,
 )
-from ..operators.models import RiskModel, calibrate, fit_risk_model
+from ..operators.models import RiskModel, calibration_audit, fit_risk_models
 from ..operators.observables import decision_group_leaks
 from ..operators.ordered import pareto_frontier, risk_coverage
 from ..operators.replay import default_grid, policy_grid, replay_summary, run_policies, select_policy
@@ -152,15 +152,11 @@ def fingerprint(rows: DataFrame) -> str:
 def fit_models(train: DataFrame, calibration: DataFrame, config: StudyConfig) -> dict[str, RiskModel]:
     """The four risk models, fitted on train and calibrated on disjoint rows.
 
-    Preprocessing is per feature, so one pass serves every model.
+    Preprocessing is per feature, so one pass serves every model, and each iteration of the fits is one pass for all.
     """
     prepared = fit_preprocessor(train, config.features, STAGE_DFT)
-    models = {}
-    for name, (features, stage, target) in config.model_definitions.items():
-        label = f"label_{target}"
-        fitted = fit_risk_model(train, features, stage, label, config.l2, prepared.subset(features, stage))
-        models[name] = calibrate(fitted, calibration, label)
-    return models
+    wanted = {name: (features, stage, f"label_{target}") for name, (features, stage, target) in config.model_definitions.items()}
+    return fit_risk_models(train, calibration, wanted, prepared, config.l2)
 
 
 def with_risks(df: DataFrame, models: dict[str, RiskModel]) -> DataFrame:
@@ -260,9 +256,7 @@ def fit_study(rows: DataFrame, config: StudyConfig, pairwise: bool = True) -> Ar
         validation, grid, config.decision_tolerance, config.cost_weight, config.cost_scale,
         config.uses_diagnostics, config.uses_reference_screen, pairwise))
     best = {r["name"]: grid[r["policy_id"]] for r in select_policy(scores).collect()}  # one row per variant
-    balance = class_balance(
-        staged.where(F.col("partition").isin("train", "calibration")), "partition",
-        {n: f"label_{t}" for n, (_, _, t) in config.model_definitions.items()})
+    balance = calibration_audit(rows.sparkSession, models)
     artifact = Artifact(
         config, fingerprint(rows), models, [*BASELINES, *best.values()], split, scores, cut_lineage(balance), cut_lineage(exclusions))
     artifact = replace(artifact, fingerprints=artifact.table_fingerprints())
