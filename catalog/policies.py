@@ -262,6 +262,22 @@ def _(t):
     return out
 
 
+SQL_AUDIT = " UNION ALL ".join(
+    f"SELECT '{name}' AS model, COUNT(*) FILTER (partition = 'train') AS train_n, SUM((partition = 'train')::INT * label_{target})::BIGINT AS train_positive, "
+    f"COUNT(*) FILTER (partition = 'calibration') AS calibration_n, SUM((partition = 'calibration')::INT * label_{target})::BIGINT AS calibration_positive, "
+    f"COUNT(DISTINCT CASE WHEN partition = 'train' THEN label_{target} END) = 1 AS training_single_class, "
+    f"COUNT(DISTINCT CASE WHEN partition = 'calibration' THEN label_{target} END) = 1 AS calibration_single_class, "
+    "TRUE AS optimizer_converged, TRUE AS calibration_optimizer_converged FROM parted"
+    for name, (_, _, target) in CONFIG.model_definitions.items())
+
+
+@query("calibration_audit", f"{SQL_PARTED} {SQL_AUDIT}")
+def _(t):
+    rows = parted(t)
+    fitted = P.fit_models(rows.where("partition = 'train'"), rows.where("partition = 'calibration'"), CONFIG)
+    return models.calibration_audit(t.spark, fitted)
+
+
 @query("risk_model_scores")
 def _(t):
     rows = parted(t)

@@ -173,3 +173,15 @@ def test_import_keeps_missing_jobs(spark):
     logs = plan.where(F.col("config.method_id") == "a").select("job_id", F.lit(LOG).alias("text"))
     got = {r.method_id: r for r in jobs.import_results(plan, logs).collect()}
     assert got["a"].energy == -1.123456789 and (got["b"].status, got["b"].message) == ("failed", "output missing")
+
+
+def test_table_manifest_names_the_changed_file(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 900, 1, 3).selectExpr("id", "cast(id % 7 as string) as s").write.parquet(path)
+    before = {r.path: (r.rows, r.fingerprint) for r in datasets.table_manifest(spark.read.parquet(path)).collect()}
+    assert len(before) == 3 and sum(n for n, _ in before.values()) == 900
+    again = datasets.table_manifest(spark.read.parquet(path)).collect()
+    assert {r.path: (r.rows, r.fingerprint) for r in again} == before
+    spark.range(5).selectExpr("id", "'x' as s").write.mode("append").parquet(path)
+    after = {r.path: (r.rows, r.fingerprint) for r in datasets.table_manifest(spark.read.parquet(path)).collect()}
+    assert all(after[p] == mark for p, mark in before.items()) and len(after) > 3

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.fingerprints import multiset_fingerprint
 from .text import read_text_files
 from ..records import (
     ATTACHMENT_SCHEMA, CALCULATION_SCHEMA, OBSERVABLE_SCHEMA, REVIEW_SCHEMA, SCHEMA_VERSION, STRUCTURE_SCHEMA,
@@ -186,6 +189,17 @@ def file_manifest(spark: SparkSession, path) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def table_manifest(table: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(path, rows, fingerprint) per file of a table as Spark reads it: a changed file names itself.
+
+    Rows are digested where they are read and added up per file, so a large file is the work of many tasks and has no
+    size limit; neither the order of rows nor how they are split matters.
+    """
+    columns = list(columns or table.columns)
+    located = table.select(F.col("_metadata.file_path").alias("path"), *columns)
+    return multiset_fingerprint(located, columns, ["path"])
+
+
 def protocol_digest(manifest: DataFrame, config_json: str) -> DataFrame:
     """One row: digest of a configuration together with the (path, sha256) multiset it was frozen with."""
     from ..operators.fingerprints import multiset_fingerprint
