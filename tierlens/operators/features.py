@@ -12,8 +12,9 @@ from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut_lineage
 from ..records import STAGE_1_FEATURES, check_feature_names
-from .ordered import exact_quantiles
+from .selection import exact_column_quantiles
 
 
 def feature_column(name: str) -> Column:
@@ -73,29 +74,30 @@ class Preprocessor:
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in value.items()})
 
 
-def preprocessor_table(train: DataFrame, names, edges=None) -> DataFrame:
-    """(feature, n, median, mean, scale, all_missing) from the training rows, medians exact."""
-    names = list(names)
-    long = train.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names
-    ])).alias("_f")).select("_f.*")
-    medians = exact_quantiles(long, "value", {"median": 0.5}, ["feature"], edges)
-    present = long.groupBy("feature").agg(F.count("*").alias("rows"), F.count("value").alias("known"))
-    filled = long.join(F.broadcast(medians.select("feature", "median")), "feature", "left").withColumn(
-        "value", F.coalesce("value", "median", F.lit(0.0)))
-    spread = filled.groupBy("feature").agg(
-        F.max(F.coalesce("median", F.lit(0.0))).alias("median"),
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("scale"))
-    return present.join(spread, "feature").select(
-        "feature", "rows", "known", "median", "mean",
-        F.when(F.col("scale") < 1e-12, 1.0).otherwise(F.col("scale")).alias("scale"),
-        (F.col("known") == 0).alias("all_missing"))
-
-
-def fit_preprocessor(train: DataFrame, names, stage: int, edges=None) -> Preprocessor:
+def preprocessor_table(train: DataFrame, names) -> DataFrame:
+    """(feature, rows, known, median, mean, scale, all_missing) from the training rows, medians exact.
+
+    Medians of all features come from shared passes over the rows as they are (:mod:`selection`); means and deviations of
+    the filled values are one more aggregation.  Without rows the table is empty.
+    """
+    names = list(dict.fromkeys(names))
+    narrow = cut_lineage(train.select(*[F.col(n).cast("double").alias(n) for n in names]))
+    medians = exact_column_quantiles(narrow, names)
+    sums = []
+    for k, n in enumerate(names):
+        filled = F.coalesce(F.col(n), F.lit(medians[n][1]), F.lit(0.0))
+        sums += [F.avg(filled).alias(f"mean_{k}"), F.stddev_pop(filled).alias(f"scale_{k}")]
+    found = narrow.agg(F.count(F.lit(1)).alias("rows"), *sums).first()
+    rows = [(n, found["rows"], medians[n][0], medians[n][1] or 0.0, found[f"mean_{k}"], found[f"scale_{k}"]) for k, n in enumerate(names)]
+    table = train.sparkSession.createDataFrame(
+        rows if found["rows"] else [], "feature string, rows long, known long, median double, mean double, scale double")
+    return table.withColumn("scale", F.when(F.col("scale") < 1e-12, 1.0).otherwise(F.col("scale"))).withColumn("all_missing", F.col("known") == 0)
+
+
+def fit_preprocessor(train: DataFrame, names, stage: int) -> Preprocessor:
     names = list(names)
     check_feature_names(names, stage)
-    found = {r["feature"]: r for r in preprocessor_table(train, names, edges).collect()}  # one row per feature
+    found = {r["feature"]: r for r in preprocessor_table(train, names).collect()}  # one row per feature
     if not found:
         raise ValueError("no training rows")
     rows = [found[n] for n in names]
