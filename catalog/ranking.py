@@ -171,8 +171,9 @@ def sql_draws(seed: int, repetitions: int) -> str:
     return f"""k AS (SELECT COUNT(*) AS n FROM per),
 fallen AS (SELECT r.r AS replicate, {pick('r.r', 'd.d')} % n // 1024 AS bucket, ANY_VALUE(n) AS n, COUNT(*) AS m
   FROM k, range({repetitions}) r(r), LATERAL (SELECT UNNEST(range(n)) AS d) d GROUP BY 1, 2),
-draws AS (SELECT replicate, bucket * 1024 + {pick('replicate', 'bucket', 'j.j')} % LEAST(1024, n - bucket * 1024) AS idx
-  FROM fallen, LATERAL (SELECT UNNEST(range(1, m + 1)) AS j) j)"""
+draws AS (SELECT replicate, bucket * 1024 + ('0x' || substr(md5('{seed}|' || {SEP.join(('replicate', 'bucket', '(j.j // 4)'))}), 8 * (j.j % 4) + 1, 8))::BIGINT
+    % LEAST(1024, n - bucket * 1024) AS idx
+  FROM fallen, LATERAL (SELECT UNNEST(range(m)) AS j) j)"""
 
 
 def sql_bootstrap(values: str, repetitions: int) -> str:
@@ -252,7 +253,7 @@ SELECT m.feature, rows, known, ROUND(COALESCE(median, 0), 6) AS median, ROUND(AV
   ROUND(CASE WHEN STDDEV_POP(COALESCE(value, median, 0)) < 1e-12 THEN 1 ELSE STDDEV_POP(COALESCE(value, median, 0)) END, 6) AS scale, known = 0 AS all_missing
 FROM l JOIN m ON l.feature = m.feature GROUP BY m.feature, rows, known, median""")
 def _(t):
-    return rounded(features.preprocessor_table(cut_lineage(S.study(t).select(*FEATURES)), FEATURES), 6)
+    return rounded(features.preprocessor_table(S.study(t).select(*FEATURES), FEATURES), 6)
 
 
 SQL_STATS = ", ".join(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,26 +208,21 @@ def bootstrap_replicates(
     if groups < 2:
         raise ValueError("bootstrap needs at least two independent clusters")
     numbered = _numbered_groups(per_group, group).withColumn("_bucket_no", F.expr(f"_index div {GROUPS_PER_BUCKET}"))
-    drawn = _bucket_draws(numbered, groups, repetitions, seed)
+    met = _bucket_draws(numbered, groups, repetitions, seed)
     if statistic is None:
-        start = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("c"))
-        total = F.aggregate("_picks", start, lambda acc, at: F.struct(
-            (acc["s"] + F.coalesce(F.col("_values")[at]["_sum"], F.lit(0.0))).alias("s"), (acc["c"] + F.col("_values")[at]["_count"]).alias("c")))
-        sums = drawn.select("replicate", total.alias("_t"))
-        return sums.groupBy("replicate").agg((F.sum("_t.s") / F.sum("_t.c")).alias("statistic"))
-    picked = drawn.select("replicate", "_bucket_no", F.explode("_picks").alias("_at")).select(
-        "replicate", (F.col("_bucket_no") * GROUPS_PER_BUCKET + F.col("_at")).alias("_index"))
-    weights = picked.groupBy("replicate", "_index").agg(F.count("*").alias("_w"))
+        sums = met.mapInArrow(_drawn(seed, _sums_of), "replicate long, s double, c long")
+        return sums.groupBy("replicate").agg((F.sum("s") / F.sum("c")).alias("statistic"))
+    weights = met.mapInArrow(_drawn(seed, _weights_of), "replicate long, _index long, _w long")
     weighted = weights.join(numbered.select("_index", group), "_index").join(df.select(group, value), group)
     return _applied(weighted, ["replicate"], value, F.col("_w"), statistic)
 
 
 def _bucket_draws(numbered: DataFrame, groups: int, repetitions: int, seed: int) -> DataFrame:
-    """(replicate, _bucket_no, _values, _picks): which groups of a bucket a replicate draws, by place in the bucket.
+    """(_bucket_no, _values, _counts): the groups of a bucket and how many draws of each replicate fall into it.
 
     Drawing splits in two.  Of the ``groups`` draws of a replicate each falls into a bucket of 1,024 neighbouring
-    groups; only how many do is counted, so what is shuffled is a number per replicate and bucket.  Inside its bucket a
-    draw then picks a group, where the bucket's groups stand as one array.
+    groups; only how many do is counted, so what is shuffled is a number per replicate and bucket.  Which groups of the
+    bucket they pick is drawn where its groups stand as one array.
     """
     fallen = numbered.sparkSession.range(repetitions * groups).select(
         F.expr(f"id div {groups}").alias("replicate"), F.expr(f"id % {groups}").alias("_draw"))
@@ -236,9 +234,41 @@ def _bucket_draws(numbered: DataFrame, groups: int, repetitions: int, seed: int)
     listed = numbered.groupBy("_bucket_no").agg(F.array_sort(F.collect_list(F.struct("_index", "_sum", "_count"))).alias("_values"))
     tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = counts.join(listed, "_bucket_no").repartition(tasks, "_bucket_no", "_block")
-    each = met.select("_bucket_no", "_values", F.explode("_counts").alias("_c")).select("_bucket_no", "_values", "_c.replicate", "_c._m")
-    picks = F.transform(F.sequence(F.lit(1), "_m"), lambda j: draw_index(seed, F.size("_values"), F.col("replicate"), F.col("_bucket_no"), j))
-    return each.select("replicate", "_bucket_no", "_values", picks.alias("_picks"))
+    return met.select("_bucket_no", F.col("_values._sum").alias("sums"), F.col("_values._count").alias("counts"),
+                      F.col("_counts.replicate").alias("replicates"), F.col("_counts._m").alias("draws"))
+
+
+def _sums_of(bucket: int, replicate: int, weights: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple:
+    return [replicate], [float(weights @ sums)], [int(weights @ counts)]
+
+
+def _weights_of(bucket: int, replicate: int, weights: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple:
+    some = np.flatnonzero(weights)
+    return [replicate] * len(some), (bucket * GROUPS_PER_BUCKET + some).tolist(), weights[some].tolist()
+
+
+def _drawn(seed: int, of):
+    """Draws groups inside their bucket: the weights of a bucket come out as one array per replicate.
+
+    One md5 of (seed, replicate, bucket, number) gives four picks of 32 bits.
+    """
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                bucket, size = row["_bucket_no"], len(row["counts"])
+                sums = np.array([0.0 if x is None else x for x in row["sums"]])
+                counts, out = np.array(row["counts"]), ([], [], [])
+                for replicate, m in zip(row["replicates"], row["draws"]):
+                    start = f"{seed}|{replicate}|{bucket}|"
+                    digests = b"".join(hashlib.md5(f"{start}{k}".encode()).digest() for k in range(-(-m // 4)))
+                    picks = np.frombuffer(digests, ">u4")[:m] % size
+                    for held, new in zip(out, of(bucket, replicate, np.bincount(picks.astype(np.int64), minlength=size), sums, counts)):
+                        held += new
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64() if of is _sums_of else pa.int64()), pa.array(out[2], pa.int64())],
+                    ["replicate", *(("s", "c") if of is _sums_of else ("_index", "_w"))])
+
+    return compute
 
 
 def _applied(df: DataFrame, keys: list[str], value: str, weight: Column, statistic) -> DataFrame:
