@@ -148,16 +148,24 @@ calculations AS (
 """
 
 
+def nested_terms(t) -> DataFrame:
+    """Net sign of every part in an order; orders need two terms of both signs to be observables.
+
+    Lines meet by order once; their sums, the check and the list of an order need no further shuffle.
+    """
+    lines = t.lineitem.select(F.col("l_orderkey").cast("string").alias("observable_id"), "l_partkey",
+                              F.when(F.col("l_linestatus") == "F", 1).otherwise(-1).alias("_sign"))
+    net = lines.repartition("observable_id").groupBy("observable_id", "l_partkey").agg(
+        F.sum("_sign").cast("double").alias("coefficient")).where("coefficient <> 0")
+    term = F.struct(F.col("l_partkey").cast("int").alias("pos"), F.col("l_partkey").cast("string").alias("structure_id"), "coefficient")
+    return net.groupBy("observable_id").agg(
+        F.collect_list(term).alias("_t"), F.max("coefficient").alias("_hi"), F.min("coefficient").alias("_lo")).where(
+        (F.size("_t") >= 2) & (F.col("_hi") > 0) & (F.col("_lo") < 0)).select("observable_id", F.array_sort("_t").alias("_t"))
+
+
 def terms(t) -> DataFrame:
-    """Net sign of every part in an order; orders need two terms of both signs to be observables."""
-    net = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(
-        F.sum(F.when(F.col("l_linestatus") == "F", 1).otherwise(-1)).cast("double").alias("coefficient")).where("coefficient <> 0")
-    good = net.groupBy("l_orderkey").agg(
-        F.count("*").alias("k"), F.max("coefficient").alias("hi"), F.min("coefficient").alias("lo")).where(
-        "k >= 2 and hi > 0 and lo < 0").select("l_orderkey")
-    return net.join(good, "l_orderkey", "left_semi").select(
-        F.col("l_orderkey").cast("string").alias("observable_id"), F.col("l_partkey").cast("int").alias("pos"),
-        F.col("l_partkey").cast("string").alias("structure_id"), "coefficient")
+    """One row per term of :func:`nested_terms`."""
+    return nested_terms(t).select("observable_id", F.inline("_t"))
 
 
 SQL_TERMS = """
@@ -188,10 +196,9 @@ structures AS (
 
 def observables(t) -> DataFrame:
     """Observable records with nested, position-ordered terms."""
-    nested = terms(t).groupBy("observable_id").agg(F.array_sort(F.collect_list(F.struct("pos", "structure_id", "coefficient"))).alias("_t"))
     listed = F.transform("_t", lambda x: F.struct(x["structure_id"].alias("structure_id"), x["coefficient"].alias("coefficient")))
     reviewed = F.col("reference_quality") == "reviewed"
-    return nested.join(study(t).withColumn("_id", F.col("id").cast("string")), F.col("observable_id") == F.col("_id")).select(
+    return nested_terms(t).join(study(t).withColumn("_id", F.col("id").cast("string")), F.col("observable_id") == F.col("_id")).select(
         F.col("_id").alias("id"), F.concat(F.lit("customer-"), F.col("group_id")).alias("group_id"),
         F.lit("reaction_energy").alias("kind"), listed.alias("terms"),
         F.struct(

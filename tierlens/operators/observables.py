@@ -44,9 +44,13 @@ def balance_report(terms: DataFrame, structure_elements: DataFrame, tolerance: f
 
 
 def _per_structure(calculations: DataFrame, methods: Sequence[str]) -> DataFrame:
-    """One row per structure with a method -> record map (its size is the number of methods)."""
+    """One row per structure with a method -> record map (its size is the number of methods).
+
+    ``found`` tells a missing record from one whose fields are NULL without reading them all.
+    """
     optional = [c for c in ("force_count", "diagnostics", "fidelity") if c in calculations.columns]
     record = F.struct(
+        F.lit(True).alias("found"),
         "status", "energy", "energy_unit", "geometry_hash", "cost", "cost_unit", "settings_hash", *optional
     )
     chosen = calculations.where(F.col("method_id").isin(list(methods)))
@@ -55,6 +59,17 @@ def _per_structure(calculations: DataFrame, methods: Sequence[str]) -> DataFrame
     )
 
 
+def _expected_records(calculations: DataFrame, structures: DataFrame, methods: Sequence[str]) -> DataFrame:
+    """One written row per structure: what it must agree with and its record per method, ``rec_<number>``."""
+    folded = structures.select(
+        F.col("id").alias("structure_id"), F.col("geometry_hash").alias("_expected_hash"),
+        (F.col("atom_count") if "atom_count" in structures.columns else F.lit(None).cast("int")).alias("_atoms"),
+    ).join(_per_structure(calculations, methods), "structure_id", "left")
+    return cut_lineage(folded.select(
+        "structure_id", "_expected_hash", "_atoms",
+        *[F.try_element_at("_by_method", F.lit(m)).alias(f"rec_{i}") for i, m in enumerate(methods)]))
+
+
 def term_records(terms: DataFrame, calculations: DataFrame, structures: DataFrame, methods: Sequence[str]) -> DataFrame:
     """(observable, position, method) with its calculation record ``rec`` (NULL if missing).
 
@@ -62,22 +77,17 @@ def term_records(terms: DataFrame, calculations: DataFrame, structures: DataFram
     many methods there are, and a structure used by a large share of all terms is a join of two plain shuffles
     that AQE splits on the term side.
     """
-    per_structure = cut_lineage(structures.select(
-        F.col("id").alias("structure_id"), F.col("geometry_hash").alias("_expected_hash"),
-        (F.col("atom_count") if "atom_count" in structures.columns else F.lit(None).cast("int")).alias("_atoms"),
-    ).join(_per_structure(calculations, methods), "structure_id", "left"))
-    wanted = F.explode(F.array(*[F.lit(m) for m in methods])).alias("method_id")
-    return terms.join(per_structure, "structure_id", "left").select("*", wanted).withColumn(
-        "rec", F.try_element_at("_by_method", F.col("method_id"))
-    ).drop("_by_method")
+    joined = terms.join(_expected_records(calculations, structures, methods), "structure_id", "left")
+    wanted = F.explode(F.array(*[
+        F.struct(F.lit(m).alias("method_id"), F.col(f"rec_{i}").alias("rec")) for i, m in enumerate(methods)])).alias("_m")
+    return joined.select("*", wanted).select(
+        *[c for c in joined.columns if not c.startswith("rec_")], "_m.method_id", "_m.rec")
 
 
-def _term_problem(has_forces: bool) -> Column:
-    """First thing wrong with one term, in the order the checks apply."""
-    rec = F.col("rec")
-    key = F.concat(F.col("structure_id"), F.lit("/"), F.col("method_id"))
+def _term_problem(rec: Column, method: str, has_forces: bool) -> Column:
+    """First thing wrong with one term under one method, in the order the checks apply."""
     out = (
-        F.when(rec.isNull(), F.concat(F.lit("missing calculation "), key))
+        F.when(rec["found"].isNull(), F.concat(F.lit("missing calculation "), F.col("structure_id"), F.lit(f"/{method}")))
         .when(rec["status"] != "succeeded",
               F.concat(F.lit("unusable calculation "), F.col("structure_id"), F.lit(": "), rec["status"]))
         .when(~rec["geometry_hash"].eqNullSafe(F.col("_expected_hash")),
@@ -89,30 +99,65 @@ def _term_problem(has_forces: bool) -> Column:
     return out
 
 
+def _method_terms(
+    terms: DataFrame, expected: DataFrame, methods: Sequence[str], unit: str, diagnostics: Sequence[str] = (),
+) -> DataFrame:
+    """(observable, position, method) with what assembly needs to know of the term.
+
+    A term crosses the network once, next to the other terms of its observable, with plain columns per method of which
+    unread ones are pruned; only there does it become one row per method.  A geometry hash is carried once, a record's
+    own only if it differs.
+    """
+    names = expected.schema["rec_0"].dataType.names
+    facts = {}
+    for i, m in enumerate(methods):
+        rec = F.col(f"rec_{i}")
+        same = rec["geometry_hash"].eqNullSafe(F.col("_expected_hash"))
+        facts[m] = {
+            "_problem": _term_problem(rec, m, "force_count" in names),
+            "_energy": convert_energy(rec["energy"], rec["energy_unit"], F.lit(unit)),
+            "_found": rec["found"], "_same": same, "_other_hash": F.when(~same, rec["geometry_hash"]),
+            "_cost": rec["cost"], "_cost_unit": rec["cost_unit"], "_settings": rec["settings_hash"],
+        }
+        for name in diagnostics:
+            value = rec["diagnostics"][name] if "diagnostics" in names else F.lit(None).cast("double")
+            facts[m][name] = F.when(rec["status"] == "succeeded", value)
+    joined = terms.join(expected, "structure_id", "left").select(
+        "observable_id", "pos", "structure_id", "coefficient", "_expected_hash",
+        *[c.alias(f"{n}_{i}") for i, of in enumerate(facts.values()) for n, c in of.items()])
+    per_method = joined.repartition("observable_id").withColumn("method_id", F.explode(F.array(*[F.lit(m) for m in methods])))
+
+    def mine(name: str) -> Column:
+        out = F.lit(None)
+        for i, m in enumerate(methods):
+            out = F.when(F.col("method_id") == m, F.col(f"{name}_{i}")).otherwise(out)
+        return out.alias(name)
+
+    known = per_method.select(
+        "observable_id", "pos", "structure_id", "coefficient", "method_id", "_expected_hash", *[mine(n) for n in facts[methods[0]]])
+    return known.withColumn("_hash", F.when(F.col("_same"), F.col("_expected_hash")).otherwise(F.col("_other_hash")))
+
+
 def assemble_observables(
     terms: DataFrame, calculations: DataFrame, structures: DataFrame, methods: Sequence[str],
     unit: str = "kcal/mol",
 ) -> DataFrame:
     """One row per (observable, method): value, cost and job keys, or the first failure reason."""
-    return _assemble(term_records(terms, calculations, structures, methods), unit)
-
-
-def _assemble(records: DataFrame, unit: str, extra: Sequence[Column] = ()) -> DataFrame:
-    has_forces = "force_count" in records.schema["rec"].dataType.names
-    rec = F.col("rec")
-    parts = records.withColumns({
-        "_problem": _term_problem(has_forces),
-        "_value": F.col("coefficient") * convert_energy(rec["energy"], rec["energy_unit"], F.lit(unit)),
-        "_key": F.concat_ws("/", rec["geometry_hash"], F.col("method_id"), rec["settings_hash"]),
-    })
-    # An observable is one input record, so its term list is bounded by that record.
-    listed = F.array_sort(F.collect_list(F.struct("pos", "_value", "_key")))
+    return _assemble(_method_terms(terms, _expected_records(calculations, structures, methods), methods, unit), unit)
+
+
+def _assemble(method_terms: DataFrame, unit: str, extra: Sequence[Column] = ()) -> DataFrame:
+    parts = method_terms.withColumns({
+        "_value": F.col("coefficient") * F.col("_energy"), "_key": F.concat_ws("/", "_hash", "method_id", "_settings")})
+    # An observable is one input record, so its term list is bounded by that record.  Keys are a list of their own, which
+    # is not built where no one reads it.
     grouped = parts.groupBy("observable_id", "method_id").agg(
-        listed.alias("_terms"),
+        F.array_sort(F.collect_list(F.struct("pos", "_value"))).alias("_values"),
+        F.array_sort(F.collect_list(F.struct("pos", "_value", "_key"))).alias("_keys"),
         F.min(F.when(F.col("_problem").isNotNull(), F.struct("pos", "_problem")))["_problem"].alias("_problem"),
-        exact_sum(rec["cost"]).alias("_cost"),
-        F.min(rec["cost_unit"]).alias("_unit_lo"), F.max(rec["cost_unit"]).alias("_unit_hi"),
-        F.min(rec["settings_hash"]).alias("_set_lo"), F.max(rec["settings_hash"]).alias("_set_hi"),
+        exact_sum("_cost").alias("_cost"),
+        F.min("_cost_unit").alias("_unit_lo"), F.max("_cost_unit").alias("_unit_hi"),
+        F.min("_settings").alias("_set_lo"), F.max("_settings").alias("_set_hi"),
         *extra,
     )
     mixed = (F.col("_unit_lo") != F.col("_unit_hi")) | (F.col("_set_lo") != F.col("_set_hi"))
@@ -120,12 +165,12 @@ def _assemble(records: DataFrame, unit: str, extra: Sequence[Column] = ()) -> Da
         F.col("_problem"), F.when(mixed, F.lit("mixed cost units or settings within one observable"))
     )
     good = reason.isNull()
-    total = F.aggregate("_terms", F.lit(0.0), lambda acc, t: acc + t["_value"])
+    total = F.aggregate("_values", F.lit(0.0), lambda acc, t: acc + t["_value"])
     return grouped.select(
         "observable_id", "method_id",
         F.when(good, total).alias("value"),
         F.lit(unit).alias("unit"),
-        F.when(good, F.transform("_terms", lambda t: t["_key"])).alias("job_keys"),
+        F.when(good, F.transform("_keys", lambda t: t["_key"])).alias("job_keys"),
         F.when(good, F.col("_cost")).alias("cost"),
         F.when(good, F.col("_unit_lo")).alias("cost_unit"),
         reason.alias("failure_reason"),
@@ -204,11 +249,6 @@ def decision_group_leaks(rows: DataFrame) -> DataFrame:
 CARRIED = ("duplicate_of", "metadata", "ord")
 
 
-def _operation_key() -> Column:
-    rec = F.col("rec")
-    return F.concat_ws("/", F.col("structure_id"), rec["geometry_hash"], F.col("method_id"), rec["settings_hash"])
-
-
 def assemble_study(
     observables: DataFrame, terms: DataFrame, calculations: DataFrame, structures: DataFrame,
     mlip_methods: Sequence[str], dft_method: str, high_level_method: str | None = None,
@@ -227,20 +267,16 @@ def assemble_study(
     if high_level_cost < 0:
         raise ValueError("high_level_cost must be non-negative")
     methods = [*mlip_methods, dft_method, *([high_level_method] if high_level_method else [])]
-    records = term_records(terms, calculations, structures, methods)
-    names = records.schema["rec"].dataType.names
     direct = [n for n, f in FEATURES.items() if f.stage == STAGE_DFT and n not in AUXILIARY_FEATURES]
-    rec = F.col("rec")
+    expected = _expected_records(calculations, structures, methods)
+    operation = F.concat_ws("/", "structure_id", "_hash", "method_id", "_settings")
     extra = [
-        F.collect_set(F.when(rec.isNotNull(), F.struct(_operation_key().alias("key"), rec["cost"].alias("value")))).alias("x_ops"),
-        F.count("*").alias("x_terms"),
+        F.collect_set(F.when(F.col("_found"), F.struct(operation.alias("key"), F.col("_cost").alias("value")))).alias("x_ops"),
     ]
     for name in direct:
-        value = rec["diagnostics"][name] if "diagnostics" in names else F.lit(None).cast("double")
-        value = F.when(rec["status"] == "succeeded", value)
-        extreme = F.min(value) if name == "homo_lumo_gap_ev" else F.max(value)
-        extra.append(F.when(F.count(value) == F.count("*"), extreme).alias(f"x_{name}"))
-    long = _assemble(records, "kcal/mol", extra)
+        extreme = F.min(name) if name == "homo_lumo_gap_ev" else F.max(name)
+        extra.append(F.when(F.count(name) == F.count("*"), extreme).alias(f"x_{name}"))
+    long = _assemble(_method_terms(terms, expected, methods, "kcal/mol", direct), "kcal/mol", extra)
 
     def of(method: str, column: str) -> Column:
         return F.max(F.when(F.col("method_id") == method, F.col(column)))
