@@ -162,12 +162,8 @@ pc AS (SELECT policy_id, COUNT(*) FILTER (c IS NOT NULL AND ABS(r) > u) AS pairs
 @query("replay_summary", f"""WITH {sql_paths(POLICIES)}, {SQL_LEDGER}, {SQL_SUMMARY}, {SQL_PAIRS}
 SELECT name, n, {SQL_ROUNDED}, pairs_resolved, pairs_unresolved, ROUND(ok / NULLIF(pairs_resolved, 0), 6) AS pairwise_ordering_accuracy FROM summary JOIN pc USING (policy_id)""")
 def _(t):
-    paths = cut_lineage(replay.run_policies(rows_with_operations(t), POLICIES, S.DECISION_TOL))
-    keys = ["policy_id"]
-    charged = ledger.charges(ledger.purchases(paths, keys, "ord"), keys)
-    paid = cut_lineage(ledger.apply_ledger(paths, charged, keys, S.DECISION_TOL).drop("operations", "costs"))
-    names = F.lit([d["name"] for d in POLICIES])
-    return summary_columns(replay.replay_summary(paid, keys)).withColumn("name", F.element_at(names, F.col("policy_id") + 1)).drop("policy_id")
+    # a ledger of its own and all pairs for every policy, without a row per row and policy
+    return summary_columns(replay.policy_grid(rows_with_operations(t), POLICIES, S.DECISION_TOL)).drop("policy_id", "definition_digest")
 
 
 @query("policy_grid", f"""WITH {sql_paths(GRID)}, {SQL_LEDGER}, {SQL_SUMMARY}, {SQL_PAIRS}
