@@ -46,9 +46,10 @@ def import_results(
     """Calculations for every planned job; a job without a log stays as a failed record.
 
     ``logs``/``gradients``: (job_id, text).  ``inputs``: (job_id, expected_sha256, actual_sha256) — a mismatch
-    sets ``input_problem`` instead of importing the numbers.
+    sets ``input_problem`` instead of importing the numbers.  There is a log per job, and its size says nothing about
+    that of the tables it came from, so the joins are never broadcasts that pass the driver.
     """
-    joined = plan.withColumn("atom_count", F.size("symbols")).join(logs.select("job_id", "text"), "job_id", "left")
+    joined = plan.withColumn("atom_count", F.size("symbols")).join(logs.select("job_id", "text").hint("merge"), "job_id", "left")
     parsed = extract_run_logs(joined)
     if correlation_pattern is not None:
         parsed = demand_correlation_pattern(parsed.withColumn("fidelity", F.col("config.fidelity")), correlation_pattern)
@@ -56,11 +57,11 @@ def import_results(
     if inputs is None:
         parsed = parsed.withColumn("input_problem", F.lit(None).cast("string"))
     else:
-        parsed = parsed.join(inputs, "job_id", "left").withColumn("input_problem", F.when(
+        parsed = parsed.join(inputs.hint("merge"), "job_id", "left").withColumn("input_problem", F.when(
             F.col("text").isNotNull() & ~is_true(F.col("expected_sha256") == F.col("actual_sha256")),
             "input missing or changed"))
     if gradients is not None:
-        parsed = extract_gradients(parsed.join(gradients.select("job_id", F.col("text").alias("_grad")), "job_id", "left"), "_grad")
+        parsed = extract_gradients(parsed.join(gradients.select("job_id", F.col("text").alias("_grad")).hint("merge"), "job_id", "left"), "_grad")
     else:
         parsed = parsed.withColumn("forces_ev_angstrom", F.lit(None).cast("array<array<double>>"))
     clean = ~absent & F.col("input_problem").isNull()
