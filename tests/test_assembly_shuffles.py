@@ -44,3 +44,10 @@ def test_foreign_geometry_keeps_its_own_key(spark):
     assert got.operations == {"mlip": {"r/h/a/x": 2.0, "ts/other/a/x": 2.0}, "dft": {"r/h/d/x": 2.0}}
     assert (got.costs["mlip"], got.costs["dft"]) == (4.0, 2.0)
     assert [(f.method, f.reason) for f in got.failures] == [("a", "geometry/state mismatch for ts"), ("d", "missing calculation ts/d")]
+
+
+def test_balance_sums_behind_a_shuffle_of_its_own(spark, sf_dir):
+    plan = QUERIES["check_balance"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    keys = shuffles(QUERIES["check_balance"](spark, sf_dir))
+    assert len(keys) == 2 and plan.index("HashAggregate") < plan.index("Exchange hashpartitioning(observable_id"), keys
+    assert "partial_sum((coefficient" not in plan.split("Exchange hashpartitioning(observable_id", 1)[1]

@@ -33,9 +33,10 @@ def balance_report(terms: DataFrame, structure_elements: DataFrame, tolerance: f
     ``structure_elements``: (structure_id, element, count).  A term without any row there is reported as
     element ``missing structure``.
     """
-    joined = terms.join(structure_elements, "structure_id", "left")
-    element = F.coalesce(F.col("element"), F.lit("missing structure"))
-    net = joined.groupBy("observable_id", element.alias("element")).agg(
+    # shuffled as they are: few terms of an observable share an element, and the task that makes the terms sums none
+    joined = terms.join(structure_elements, "structure_id", "left").withColumn(
+        "element", F.coalesce(F.col("element"), F.lit("missing structure"))).repartition("observable_id", "element")
+    net = joined.groupBy("observable_id", "element").agg(
         F.sum(F.col("coefficient") * F.coalesce(F.col("count"), F.lit(0))).alias("net")
     )
     return net.withColumn(
