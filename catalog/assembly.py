@@ -172,14 +172,14 @@ SQL_ATTACH = f"""WITH {S.SQL_STUDY} SELECT id, CASE WHEN status = 'F' THEN n_lin
   CASE WHEN status = 'F' THEN 2 ELSE 0 END AS operations FROM study"""
 
 
-def attachable(t):
+def attachable(t, *more):
     rows = S.study(t)
     one = lambda **kw: F.create_map(*[x for k, v in kw.items() for x in (F.lit(k), v)])
     return rows.select(
         "id", "status", "n_lines", one(ensemble_std=F.col("ensemble_std")).alias("mlip_features"),
         one(fod=F.when(F.col("status") != "F", F.col("fod")), spin_contamination=F.col("spin_contamination")).alias("dft_features"),
         one(mlip=F.lit(0.03), dft=F.lit(1.0), high_level=F.lit(20.0), screen=F.lit(0.05), diagnostics=F.lit(0.3)).alias("costs"),
-        F.expr("cast(map() as map<string,map<string,double>>)").alias("operations"))
+        F.expr("cast(map() as map<string,map<string,double>>)").alias("operations"), *more)
 
 
 def attachments(t):
@@ -203,8 +203,7 @@ def _(t):
   CASE WHEN n_lines IS NULL THEN 'operation_cost' END] IF x IS NOT NULL]) AS rule FROM study""")
 def _(t):
     rows = attachable(t)
-    base = rows.join(S.study(t).select("id", "priority"), "id")
-    bad = base.select(
+    bad = attachable(t, "priority").select(
         (F.col("id") + F.when(F.col("priority") == "5-LOW", 1_000_000_000).otherwise(0)).alias("row_id"), F.lit("diagnostics").alias("stage"),
         F.create_map(F.lit("fod"), F.lit(1.0)).alias("features"),
         F.create_map(F.lit("run"), F.when(F.col("n_lines").isNull(), -1.0).otherwise(8.0)).alias("operations"),

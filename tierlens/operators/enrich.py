@@ -24,31 +24,41 @@ def attachment_violations(rows: DataFrame, attachments: DataFrame) -> DataFrame:
         .when(~is_true(F.length(p["method"]) > 0) | ~is_true(p["source_sha256"].rlike("^[0-9a-f]{64}$")),
               F.lit("provenance"))
     )
-    by_record = attachments.select("row_id", own.alias("rule")).where(F.col("rule").isNotNull())
-    named = attachments.select("row_id", "stage", F.explode("features").alias("name", "value"))
-    wrong_stage = F.lit(False)
+    bad_name = F.lit(False)
     for stage, (_, known) in _STAGES.items():
-        wrong_stage = wrong_stage | ((F.col("stage") == stage) & ~F.col("name").isin(*known))
-    bad_name = named.where(wrong_stage).select("row_id", F.lit("feature_stage").alias("rule"))
-    repeated = named.groupBy("row_id", "name").agg(F.count("*").alias("n")).where("n > 1").select(
-        "row_id", F.lit("repeated_feature").alias("rule"))
-    targets = rows.select(F.col("id").alias("row_id"), "mlip_features", "dft_features", "operations")
-    unknown = attachments.join(targets, "row_id", "left_anti").select("row_id", F.lit("unknown_row").alias("rule"))
-    present = F.when(F.col("stage") == "screen", F.try_element_at("mlip_features", F.col("name"))).otherwise(
-        F.try_element_at("dft_features", F.col("name")))
-    overwritten = named.join(targets, "row_id").where(present.isNotNull()).select(
-        "row_id", F.lit("overwrites_feature").alias("rule"))
-    offered = attachments.select("row_id", "stage", F.explode("operations").alias("op", "cost")).join(
-        targets.select("row_id", "operations"), "row_id").withColumn(
-        "known", F.try_element_at(F.col("operations")[F.col("stage")], F.col("op")))
-    clash = offered.groupBy("row_id", "stage", "op").agg(
-        F.min("cost").alias("lo"), F.max("cost").alias("hi"), F.min("known").alias("known")
-    ).where((F.col("lo") != F.col("hi")) | is_true(F.col("known") != F.col("lo"))).select(
-        "row_id", F.lit("inconsistent_cost").alias("rule"))
-    out = by_record
-    for part in (bad_name, repeated, unknown, overwritten, clash):
-        out = out.unionByName(part)
-    return out.distinct()
+        bad_name = bad_name | ((F.col("stage") == stage) & (
+            F.size(F.array_except(F.map_keys("features"), F.array(*[F.lit(n) for n in known]))) > 0))
+    # one narrow row per attachment, written: it is read for the names that several attachments of a row give, too
+    per_record = cut_lineage(attachments.select(
+        "row_id", F.array_compact(F.array(own, F.when(bad_name, F.lit("feature_stage")))).alias("_rules"), "stage",
+        F.map_keys("features").alias("_names"), "operations", F.lit(False).alias("_differ")))
+    crowd = per_record.groupBy(F.col("row_id").alias("_crowd")).agg(F.count("*").alias("_n")).where("_n > 1")
+    entries = F.concat(
+        F.coalesce(F.transform("_names", lambda n: F.struct(
+            F.lit(True).alias("feature"), F.lit(None).cast("string").alias("stage"), n.alias("name"), F.lit(None).cast("double").alias("cost"))), F.array()),
+        F.coalesce(F.transform(F.map_entries("operations"), lambda e: F.struct(
+            F.lit(False).alias("feature"), F.col("stage").alias("stage"), e["key"].alias("name"), e["value"].alias("cost"))), F.array()))
+    given = per_record.join(crowd, F.col("row_id").eqNullSafe(F.col("_crowd")), "left_semi").select("row_id", F.inline(entries)).groupBy(
+        "row_id", "feature", "stage", "name").agg(F.count("*").alias("n"), F.min("cost").alias("lo"), F.max("cost").alias("hi"))
+    differ = is_true(F.col("lo") != F.col("hi"))
+    shared = given.where((F.col("feature") & (F.col("n") > 1)) | differ).select(
+        "row_id", F.array_compact(F.array(F.when(F.col("feature"), F.lit("repeated_feature")))).alias("_rules"),
+        F.lit(None).cast("string").alias("stage"), F.lit(None).cast("array<string>").alias("_names"),
+        F.lit(None).cast("map<string,double>").alias("operations"), differ.alias("_differ"))
+    present = lambda c: F.map_keys(F.map_filter(c, lambda _, v: v.isNotNull()))
+    # shuffled by themselves: the tasks that make the rows do not hold the join as well
+    targets = rows.select(
+        F.col("id").alias("row_id"), F.lit(True).alias("_known"), present("mlip_features").alias("_mlip"),
+        present("dft_features").alias("_dft"), F.col("operations").alias("_own")).repartition("row_id")
+    joined = per_record.unionByName(shared).join(targets, "row_id", "left")
+    taken = F.when(F.col("stage") == "screen", F.col("_mlip")).otherwise(F.col("_dft"))
+    priced = F.col("_own")[F.col("stage")]
+    clash = F.exists(F.map_entries("operations"), lambda e: F.try_element_at(priced, e["key"]) != e["value"])
+    rules = F.concat(F.col("_rules"), F.array_compact(F.array(
+        F.when(F.col("_known").isNull(), F.lit("unknown_row")),
+        F.when(F.arrays_overlap(taken, "_names"), F.lit("overwrites_feature")),
+        F.when(F.col("_known") & (F.col("_differ") | is_true(clash)), F.lit("inconsistent_cost")))))
+    return joined.select("row_id", F.explode(rules).alias("rule")).repartition("row_id", "rule").distinct()
 
 
 def _without(pairs: Column, key: str) -> Column:
