@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import is_true, settle
 from ..operators.enrich import mark_duplicates
 from ..operators.ordered import running, value_edges
+from ..plans.lineage import cut_lineage
 from .text import to_number, words_of
 
 # fixed values: grammar of one row, "$tmer a/$f b/$f x c1 c2 $w reference"
@@ -83,7 +84,7 @@ def reaction_observables(parsed: DataFrame, subset: str, kind: str = "barrier",
         ).alias("reference"),
         F.col(order_by).alias("source_row"),
     )
-    return mark_duplicates(df, order_by="source_row")
+    return mark_duplicates(cut_lineage(df), order_by="source_row")
 
 
 def attach_sidecars(geometries: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -104,6 +105,20 @@ def attach_sidecars(geometries: DataFrame, sidecars: DataFrame) -> DataFrame:
         F.when(F.col("_bad") > 0, "invalid side file").alias("sidecar_problem"))
 
 
+def subset_structures(parsed: DataFrame, geometries: DataFrame, sidecars: DataFrame, subset: str):
+    """(structures, missing, rejects) of a parsed list that is read several times; see :func:`import_subset`."""
+    named = cut_lineage(parsed.where(F.col("problem").isNull()).select(F.explode("terms.structure_id").alias("species")).distinct())
+    described = attach_sidecars(geometries, sidecars)
+    found = named.join(described, "species").withColumn("id", F.concat(F.lit(subset + ":"), F.col("species")))
+    bad_rows = parsed.where(F.col("problem").isNotNull()).select(F.lit("row").alias("what"), F.col("source_line").alias("item"), "problem")
+    bad_species = found.where(F.col("sidecar_problem").isNotNull()).select(
+        F.lit("species").alias("what"), F.col("id").alias("item"), F.col("sidecar_problem").alias("problem"))
+    structures = found.where(F.col("sidecar_problem").isNull()).select(
+        "id", "symbols", "positions_angstrom", "charge", "multiplicity", "source")
+    missing = named.join(geometries, "species", "left_anti").select(F.concat(F.lit(subset + ":"), F.col("species")).alias("id"))
+    return structures, missing, bad_rows.unionByName(bad_species)
+
+
 def import_subset(lines: DataFrame, geometries: DataFrame, sidecars: DataFrame, subset: str, kind: str = "barrier"):
     """(structures, observables, missing, rejects) of one reaction list.
 
@@ -111,14 +126,6 @@ def import_subset(lines: DataFrame, geometries: DataFrame, sidecars: DataFrame,
     ``missing`` lists named species without a geometry.  ``rejects`` (what, item, problem) holds every row outside
     the grammar and every named species with an invalid side file; such structures are not returned.
     """
-    parsed = parse_reaction_lines(lines)
-    observables = reaction_observables(parsed, subset, kind)
-    named = observables.select(F.explode("terms.structure_id").alias("id")).distinct()
-    described = attach_sidecars(geometries, sidecars).withColumn("id", F.concat(F.lit(subset + ":"), F.col("species")))
-    found = named.join(described, "id")
-    bad_rows = parsed.where(F.col("problem").isNotNull()).select(F.lit("row").alias("what"), F.col("source_line").alias("item"), "problem")
-    bad_species = found.where(F.col("sidecar_problem").isNotNull()).select(
-        F.lit("species").alias("what"), F.col("id").alias("item"), F.col("sidecar_problem").alias("problem"))
-    structures = found.where(F.col("sidecar_problem").isNull()).select(
-        "id", "symbols", "positions_angstrom", "charge", "multiplicity", "source")
-    return structures, observables, named.join(described, "id", "left_anti"), bad_rows.unionByName(bad_species)
+    parsed = cut_lineage(parse_reaction_lines(lines))
+    structures, missing, rejects = subset_structures(parsed, geometries, sidecars, subset)
+    return structures, reaction_observables(parsed, subset, kind), missing, rejects
