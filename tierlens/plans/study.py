@@ -23,7 +23,7 @@ from ..operators.metrics import (
 from ..operators.models import RiskModel, calibration_audit, fit_risk_models
 from ..operators.observables import decision_group_leaks
 from ..operators.ordered import pareto_frontier, risk_coverage
-from ..operators.replay import default_grid, policy_grid, replay_summary, run_policies, select_policy
+from ..operators.replay import default_grid, policy_grid, run_policies, select_policy
 from ..operators.splits import grouped_split, pairing_report, split_audit
 from ..records import AUXILIARY_FEATURES, STAGE_DFT, STAGE_MLIP, check_feature_names
 from .lineage import cut_lineage
@@ -321,23 +321,23 @@ def evaluate_study(rows: DataFrame, artifact: Artifact, order_by: str = "ord", v
     for label, a, b in (("mlip_vs_dft", "mlip", "dft"), ("dft_vs_reference", "dft", "reference"), ("mlip_vs_reference", "mlip", "reference")):
         parts.append(_long(regression_report(test, a, b), "regression", F.lit(label)))
 
-    paths = run_policies(test, artifact.selected, config.decision_tolerance, config.uses_diagnostics, config.uses_reference_screen)
-    keys = ["policy_id"]
-    decisions = cut_lineage(apply_ledger(
-        paths, charges(purchases(paths, keys, order_by), keys), keys, config.decision_tolerance, order_by).drop("operations", "costs"))
-    names = F.lit([d["name"] for d in artifact.selected])
-    summary = cut_lineage(replay_summary(decisions, keys, config.cost_weight, config.cost_scale).withColumn(
-        "name", F.element_at(names, F.col("policy_id") + 1)).drop("policy_id"))
+    replayed = lambda chosen: run_policies(test, chosen, config.decision_tolerance, config.uses_diagnostics, config.uses_reference_screen)
+    # what the policies cost and decide needs no row per row and policy, and without a budget no ledger changes a decision
+    summary = cut_lineage(policy_grid(
+        test, artifact.selected, config.decision_tolerance, config.cost_weight, config.cost_scale, config.uses_diagnostics,
+        config.uses_reference_screen).drop("policy_id", "definition_digest"))
     parts.append(_long(summary, "policies", "name"))
     frontier = pareto_frontier(summary.withColumn("_risk", 1 - F.col("accuracy_all_cases")), "mean_cost", "_risk")
     share = lambda p: F.max(F.when(F.col("name") == p, F.col("correct").cast("double")))
-    paired = decisions.where(F.col("name").isin("sequential_reference", "always_dft")).groupBy("id", "group_id").agg(
-        (share("sequential_reference") - share("always_dft")).alias("delta"))
+    compared = [d for d in artifact.selected if d["name"] in ("sequential_reference", "always_dft")]
+    paired = replayed(compared).groupBy("id", "group_id").agg((share("sequential_reference") - share("always_dft")).alias("delta"))
     if test.select("group_id").distinct().limit(2).count() > 1:
         parts.append(_long(cluster_bootstrap(paired, "delta", "group_id", config.bootstrap_repetitions, seed=config.seed), "paired_difference"))
     report = parts[0]
     for p in parts[1:]:
         report = report.unionByName(p)
+    paths, keys = replayed(artifact.selected), ["policy_id"]
+    decisions = apply_ledger(paths, charges(purchases(paths, keys, order_by), keys), keys, config.decision_tolerance, order_by)
     curves = [risk_coverage(test, "label_reference", f"risk_{m}").withColumn("model", F.lit(m))
               for m in ("reference_mlip_only", "reference_augmented")]
     return Evaluation(
