@@ -109,8 +109,7 @@ def _(t):
 
 @query("ledger_dedupe", f"""WITH {sql_paths(POLICIES)}, {SQL_LEDGER} SELECT policy_id, id AS row_id, SUM(cost)::DOUBLE AS cost FROM payers GROUP BY 1, 2""")
 def _(t):
-    paths = replay.run_policies(rows_with_operations(t), POLICIES, S.DECISION_TOL)
-    return ledger.charges(ledger.purchases(paths, ["policy_id"], "ord"), ["policy_id"]).withColumnRenamed("row_no", "row_id")
+    return replay.policy_charges(rows_with_operations(t), POLICIES, "ord").withColumnRenamed("row_no", "row_id")
 
 
 # The walk itself: a fold over each ledger's purchases in order, whose state is the last element folded in.

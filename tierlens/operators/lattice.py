@@ -171,6 +171,32 @@ def lattice_costs(rows: DataFrame, grid: Sequence[Lattice], use_diagnostics: boo
         F.sum("cost").cast("double").alias("total_cost"))
 
 
+def lattice_charges(rows: DataFrame, grid: Sequence[Lattice], order_by: str, use_diagnostics: bool, use_reference_screen: bool) -> DataFrame:
+    """(policy_id, row_no, cost): what each row adds to the ledger of each policy, every operation shuffled once for all."""
+    points = sorted((p, n, i, j) for n, g in enumerate(grid) for p, i, j in g.points)
+    bought = []
+    for n, g in enumerate(grid):
+        a, b = F.floor(F.col(f"slot_{n}") / g.base).cast("int"), F.pmod(f"slot_{n}", F.lit(g.base))
+        bought.append(g.bought(a, b, use_diagnostics, use_reference_screen))
+
+    def buys(step: str, n: int, i: int, j: int) -> Column:
+        slot = bought[n][step]
+        return is_true((F.floor(slot / grid[n].base) > i) & (F.pmod(slot, F.lit(grid[n].base)) > j))
+
+    marks = [f"by_{p}" for p, *_ in points]
+    number = F.col(order_by).cast("long") * 8
+    steps = F.array(*[
+        F.struct(stage_operations(STAGE_OF_STEP[s]).alias("ops"), (number + k).alias("seq"), *[buys(s, *at).alias(f"by_{p}") for p, *at in points])
+        for k, s in enumerate(STEPS, start=1)])
+    lines = settle(rows.select(F.explode(steps).alias("_s"))).where(reduce(lambda x, y: x | y, [F.col(f"_s.{m}") for m in marks]))
+    lines = lines.select("_s.seq", *[F.col(f"_s.{m}") for m in marks], F.explode("_s.ops").alias("op", "cost"))
+    per_op = lines.groupBy("op").agg(*[
+        F.struct(F.lit(p).alias("policy_id"), F.min(F.when(F.col(m), F.col("seq"))).alias("seq"), one_price(F.col(m))).alias(m)
+        for m, (p, *_) in zip(marks, points)])
+    paid = per_op.select(F.inline(F.array(*marks))).where(F.col("seq").isNotNull())
+    return paid.groupBy("policy_id", F.expr("seq div 8").alias("row_no")).agg(F.sum(F.col("cost").cast(MONEY)).cast("double").alias("cost"))
+
+
 def lattice_pairs(rows: DataFrame, grid: Sequence[Lattice], tie_tolerance: float = 0.0, rows_per_bucket: int | None = None) -> DataFrame:
     """(policy_id, pairs_resolved, pairs_unresolved, correct) over all decision groups; rows without one form no pairs."""
     grouped = rows.where(F.col("decision_group").isNotNull())

@@ -60,9 +60,10 @@ def price_conflicts(bought: DataFrame, keys: Sequence[str]) -> DataFrame:
     return first_buyers(bought, keys).where("inconsistent").select(*keys, "op")
 
 
-def one_price() -> Column:
-    """The ``cost`` of a group of offers of one operation; more than one price is an error."""
-    lowest, highest = F.min("cost"), F.max("cost")
+def one_price(of: Column | None = None) -> Column:
+    """The ``cost`` of a group of offers of one operation (those ``of`` a ledger); more than one price is an error."""
+    offer = F.col("cost") if of is None else F.when(of, F.col("cost"))
+    lowest, highest = F.min(offer), F.max(offer)
     conflict = F.raise_error(F.lit("one operation is offered at two prices in a ledger"))
     return F.when(lowest == highest, lowest).when(lowest.isNotNull(), conflict).alias("cost")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import exact_sum
-from .lattice import lattice_summary
+from .lattice import lattice_charges, lattice_rows, lattice_summary, lattices
 from .pairs import decision_pairs
 from .policy import replay_paths
 
@@ -131,6 +131,15 @@ def policy_grid(
     return out.select("policy_id", *[at(c).alias(c) for c in ("name", "definition_digest")], *[c for c in out.columns if c != "policy_id"])
 
 
+def policy_charges(
+    scored: DataFrame, definitions: Sequence[dict], order_by: str, use_diagnostics: bool = True, use_reference_screen: bool = True,
+) -> DataFrame:
+    """(policy_id, row_no, cost) of ledgers without a budget, one per definition; rows that pay for nothing are left out."""
+    grid = lattices(definition_table(definitions))
+    rows = lattice_rows(scored, grid, ["id", order_by, "operations", "costs"])
+    return lattice_charges(rows, grid, order_by, use_diagnostics, use_reference_screen)
+
+
 def select_policy(summaries: DataFrame) -> DataFrame:
     """Best definition of every variant: lowest objective, then mean cost, then digest."""
     best = F.min(F.struct("objective", "mean_cost", "definition_digest", "policy_id")).alias("_b")
