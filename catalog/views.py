@@ -79,8 +79,8 @@ study AS (
 
 def with_operations(t, rows: DataFrame) -> DataFrame:
     """Study rows with costs and shared per-part operations (same part = same calculation)."""
-    parts = t.lineitem.select(F.col("l_orderkey").alias("_o"), "l_partkey").distinct().groupBy("_o").agg(
-        F.collect_list("l_partkey").alias("_parts"))
+    parts = t.lineitem.select(F.col("l_orderkey").alias("_o"), "l_partkey").repartition("_o").groupBy("_o").agg(
+        F.collect_set("l_partkey").alias("_parts"))  # the few lines of an order, shuffled once
     ops = lambda kind, cost: F.map_from_entries(F.transform("_parts", lambda p: F.struct(
         F.concat(F.lit("part/"), p.cast("string"), F.lit("/" + kind)), F.lit(cost))))
     joined = rows.join(parts, F.col("id") == F.col("_o"), "left")

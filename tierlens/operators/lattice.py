@@ -13,6 +13,7 @@ i < a and on to the high level for j < b, where a and b count the thresholds its
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, finite, is_true, settle, stage_operations
 from ..plans.lineage import cut_lineage
 from .ledger import MONEY, one_price
+from .ordered import ROWS_PER_BUCKET
 from .pair_index import interval_index, policy_pairs
 from .policy import STAGE_OF_STEP, STEPS
 
@@ -148,6 +150,12 @@ def lattice_outcomes(rows: DataFrame, grid: Sequence[Lattice], tolerance: float)
         F.sum(F.when(escalated, F.col("n")).otherwise(0)).alias("dft_calls"), F.sum(F.when(high, F.col("supported")).otherwise(0)).alias("high_level_calls"))
 
 
+def in_pieces(rows: DataFrame, rows_per_piece: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Written rows in at most ``rows_per_piece`` a task or so: most operations are of one row, so a task holds them all."""
+    pieces = math.ceil(rows.count() / rows_per_piece)
+    return rows.repartition(pieces, "id") if pieces > rows.rdd.getNumPartitions() else rows
+
+
 def lattice_costs(rows: DataFrame, grid: Sequence[Lattice], use_diagnostics: bool, use_reference_screen: bool) -> DataFrame:
     """(policy_id, total_cost): every operation once per policy, through one staircase per operation and lattice."""
     bought = []
@@ -222,7 +230,7 @@ def lattice_summary(
     grid = lattices(definitions)
     rows = cut_lineage(lattice_rows(scored, grid, ["id", "operations", "costs"]))
     out = lattice_outcomes(rows, grid, tolerance).join(
-        F.broadcast(lattice_costs(rows, grid, use_diagnostics, use_reference_screen)), "policy_id", "left")
+        F.broadcast(lattice_costs(in_pieces(rows), grid, use_diagnostics, use_reference_screen)), "policy_id", "left")
     total, n = F.coalesce("total_cost", F.lit(0.0)), F.col("n")
     share = lambda c: F.col(c).cast("double") / n
     mean_cost = total / n
