@@ -175,11 +175,18 @@ def drop_repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str =
         F.xxhash64(id_column, own).alias("key"), own.alias("text"))
     kind = given.schema["id"].dataType.simpleString()
     spans = scratch.keep(given.select("id", "key", "text").mapInArrow(_spans, f"id {kind}, key long, h long, a int, b int"))
-    place = F.struct("id", "key", "a")
-    repeated = scratch.keep(spans.where("h is not null").groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select(
-        "h", F.col("first.key").alias("_key"), F.col("first.a").alias("_a")))
+    # most hashes stand once: they are found by counting alone, and only the others are put in order
+    hashed = spans.where("h is not null")
+    often = scratch.keep(hashed.groupBy(F.col("h").alias("_h")).agg(F.count("*").alias("n")).where("n > 1").select("_h"))
+    ends = F.expr("shiftleft(cast(a as bigint), 32) | b").alias("ends")  # one long in the shuffle of all spans
+    # a hash stands once in the table that is built, so no sort of all spans is needed and a hot one can be split
+    shared = scratch.keep(hashed.select("h", "id", "key", ends).join(often.hint("shuffle_hash"), F.col("h") == F.col("_h")).drop("_h"))
+    place = F.struct("id", "key", "ends")
+    firsts = scratch.keep(shared.groupBy(F.col("h").alias("_h")).agg(F.min(place).alias("first")).select(
+        "_h", F.col("first.key").alias("_key"), F.expr("shiftright(first.ends, 32)").alias("_a")))
     # a key stands for one id, so key and place tell the first occurrence from the others
-    covered = spans.where("h is not null").select("h", "key", "a", "b").join(repeated, "h").where("key <> _key or a <> _a").select("key", "a", "b").distinct()
+    covered = shared.join(firsts.hint("shuffle_hash"), F.col("h") == F.col("_h")).where("key <> _key or shiftright(ends, 32) <> _a").select("key", "ends").distinct().select(
+        "key", F.expr("cast(shiftright(ends, 32) as int)").alias("a"), F.expr("cast(ends & 4294967295 as int)").alias("b"))
     counted = covered.unionByName(spans.where("h is null").select("key", "a", "b"))
     per_doc = scratch.keep(counted.groupBy("key").agg(
         F.collect_list(F.when(F.col("b").isNotNull(), F.struct("a", "b"))).alias("covered"),
