@@ -7,8 +7,8 @@ i < a and on to the high level for j < b, where a and b count the thresholds its
 * accuracy, errors and calls are sums over the (a, b) cells of a lattice, a table whose size the definitions bound;
 * an operation is bought at (i, j) if some row buys it with i < a and j < b.  These rectangles add up to a staircase,
   the largest b for every i, which one aggregation per operation finds for all definitions;
-* pairs are counted over an index of the reference intervals that is built once per decision group
-  (:mod:`pair_index`); a policy only says which of its rows' predictions are active.
+* pairs are formed inside small decision groups, and counted over an index of the reference intervals that is built once
+  per larger one (:mod:`pair_index`); a policy only says which of its rows' predictions are active.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from ..functions.columns import col, finite, is_true, settle, stage_operations
 from ..plans.lineage import cut_lineage
 from .ledger import MONEY, one_price
 from .ordered import ROWS_PER_BUCKET
-from .pair_index import interval_index, policy_pairs
+from .pair_index import PAIRED_ROWS, interval_index, policy_pairs, small_group_pairs
 from .policy import STAGE_OF_STEP, STEPS
 
 KINDS = ("mlip", "dft", "high_level")
@@ -209,11 +209,19 @@ def lattice_pairs(rows: DataFrame, grid: Sequence[Lattice], tie_tolerance: float
     """(policy_id, pairs_resolved, pairs_unresolved, correct) over all decision groups; rows without one form no pairs."""
     grouped = rows.where(F.col("decision_group").isNotNull())
     slots = [f"slot_{n}" for n in range(len(grid))]
-    index = interval_index(grouped, "decision_group", KINDS, slots, tie_tolerance=tie_tolerance, rows_per_bucket=rows_per_bucket)
     # per lattice and slot, which kind is active for each of its policies
     active = [[[g.kind(*divmod(slot, g.base), i, j) for _, i, j in g.points] for slot in range((len(g.first) + 1) * g.base)] for g in grid]
-    counts = policy_pairs(index, slots, active, [p for g in grid for p, _, _ in g.points])
+    ids = [p for g in grid for p, _, _ in g.points]
     per_group = grouped.groupBy("decision_group").agg(F.count("*").alias("_n"))
+    many = cut_lineage(per_group.where(F.col("_n") > min(PAIRED_ROWS, rows_per_bucket or PAIRED_ROWS)).select("decision_group"))
+    few = grouped
+    if indexed := not many.isEmpty():
+        few, grouped_many = (grouped.join(many, "decision_group", how) for how in ("left_anti", "left_semi"))
+    counts = small_group_pairs(few, "decision_group", KINDS, slots, active, ids, tie_tolerance=tie_tolerance)
+    if indexed:
+        index = interval_index(grouped_many, "decision_group", KINDS, slots, tie_tolerance=tie_tolerance, rows_per_bucket=rows_per_bucket)
+        counts = counts.unionByName(policy_pairs(index, slots, active, ids)).groupBy("policy_id").agg(
+            F.sum("resolved").alias("resolved"), F.sum("correct").alias("correct"))
     pairs = per_group.agg(F.coalesce(F.sum((F.col("_n") * (F.col("_n") - 1) / 2).cast("long")), F.lit(0)).alias("_pairs"))
     points = _points(rows.sparkSession, grid).select("policy_id")
     zero = F.lit(0).cast("long")

@@ -6,6 +6,9 @@ put into the cells (bit level, prefix) in which it meets exactly the rows whose
 prediction of a row is active; running counts of the active ones, one column per policy, give its correctly ordered
 pairs, and the product of totals its resolved pairs.  Neither ranks nor sorting are repeated per policy.
 
+Groups of up to ``PAIRED_ROWS`` rows need no index: the pairs of a group are formed where the group stands, with one bit per
+two predictions that says whether a pair is resolved or correct, so a policy reads a bit instead of scanning cells.
+
 The cells of a group of more than ``rows_per_bucket`` rows are cut at prediction values, and what lies in earlier pieces
 of a cell joins the piece as one text of counts, so no task holds a whole hot cell.
 """
@@ -28,6 +31,7 @@ from .pairs import LARGE, dominance_cells, sized
 
 _UNIT = ["_group", "_level", "_cell", _BUCKET]
 _RUN_ROWS, _COUNTERS = 1 << 15, 1 << 22
+PAIRED_ROWS, _PAIRS_AT_ONCE = 256, 1 << 18  # from about 700 rows on the index takes less time
 
 
 def interval_index(
@@ -60,7 +64,7 @@ def interval_index(
     return cut_lineage(placed.select(*_UNIT, LARGE, "q", "kind", "value", *carried))
 
 
-def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def _whole_units(batches: Iterator[pa.RecordBatch], keys: Sequence[str] = _UNIT) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Sorted batches regrouped into tables of whole units, with the row numbers where units start (and the end)."""
     held, rows = [], 0
     for batch in batches:
@@ -69,20 +73,20 @@ def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
             rows += batch.num_rows
         if rows >= _RUN_ROWS:
             table = pa.Table.from_batches(held).combine_chunks()
-            starts = _starts(table)
+            starts = _starts(table, keys)
             last = int(starts[-2])
             if last:
                 yield table.slice(0, last), starts[:-1]
             held, rows = table.slice(last).combine_chunks().to_batches(), table.num_rows - last
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
-        yield table, _starts(table)
+        yield table, _starts(table, keys)
 
 
-def _starts(table: pa.Table) -> np.ndarray:
+def _starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     changed = np.zeros(table.num_rows, bool)
     changed[:1] = True
-    for name in _UNIT:
+    for name in keys:
         column = table.column(name)
         changed[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
     return np.r_[np.flatnonzero(changed), table.num_rows]
@@ -182,3 +186,66 @@ def policy_pairs(index: DataFrame, slots: Sequence[str], active, ids: Sequence[i
         with_lists.select(*columns, "value", "earlier", "whole"))
     counted = ordered(rows, "value", F.col("earlier").isNull()).mapInArrow(_counted(shared), "policy_id long, resolved long, correct long")
     return counted.groupBy("policy_id").agg(F.sum("resolved").alias("resolved"), F.sum("correct").alias("correct"))
+
+
+def _paired(shared, kinds: int, tolerance: float):
+    """Like :func:`_counted`, from the pairs of whole groups."""
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        policies = shared.value
+        resolved, correct = np.zeros((2, len(policies.ids)), np.int64)
+        for table, starts in _whole_units(batches, ["_group"]):
+            floats = lambda name: table.column(name).to_numpy()
+            low, high = floats("_low"), floats("_high")
+            below = [floats(f"_value_{k}") for k in range(kinds)]
+            asks, usable = [v - tolerance for v in below], [np.isfinite(v) for v in below]
+            unclear, endless = np.isnan(low), np.isnan(high)  # in Spark's order NaN is above every number
+            slots = [table.column(name).to_numpy() for name in policies.slots]
+            size = np.repeat(np.diff(starts), np.diff(starts))
+            begin = np.repeat(starts[:-1], np.diff(starts))
+            upto = np.cumsum(size)
+            cuts = np.searchsorted(upto, np.arange(_PAIRS_AT_ONCE, upto[-1], _PAIRS_AT_ONCE))
+            edges = np.unique(np.r_[0, cuts, len(size)])
+            for a, b in zip(edges[:-1], edges[1:]):
+                n = size[a:b]
+                x = np.repeat(np.arange(a, b), n)
+                y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n - begin[a:b], n)
+                above = (low[x] > high[y]) | (unclear[x] & ~endless[y])
+                x, y = x[above], y[above]
+                solved, right = np.zeros((2, len(x)), np.uint16)
+                for i in range(kinds):
+                    for j in range(kinds):
+                        both = usable[i][x] & usable[j][y]
+                        solved |= both.astype(np.uint16) << (kinds * i + j)
+                        right |= (both & (asks[i][x] > below[j][y])).astype(np.uint16) << (kinds * i + j)
+                at = 0
+                for slot, active in zip(slots, policies.active):
+                    mine, other = slot[x], slot[y]
+                    for p in range(active.shape[1]):
+                        kind = active[:, p].astype(np.uint16)
+                        bit = np.uint16(1) << ((kind * np.uint16(kinds))[mine] + kind[other])
+                        resolved[at] += np.count_nonzero(solved & bit)
+                        correct[at] += np.count_nonzero(right & bit)
+                        at += 1
+        yield pa.RecordBatch.from_arrays([pa.array(policies.ids), pa.array(resolved), pa.array(correct)], ["policy_id", "resolved", "correct"])
+
+    return compute
+
+
+def small_group_pairs(
+    rows: DataFrame, group: str, predictions: Sequence[str], slots: Sequence[str], active, ids: Sequence[int], reference: str = "reference",
+    uncertainty: str = "reference_uncertainty", tie_tolerance: float = 0.0,
+) -> DataFrame:
+    """(policy_id, resolved, correct) over groups of at most ``PAIRED_ROWS`` rows, as :func:`policy_pairs` counts them over an index."""
+    if tie_tolerance < 0:
+        raise ValueError("tie_tolerance must be non-negative")
+    if len(predictions) > 4:
+        raise ValueError("at most four predictions a row")  # a pair has 16 bits
+    shared = rows.sparkSession.sparkContext.broadcast(Policies(slots, active, ids))
+    r, u = F.col(reference).cast("double"), F.coalesce(F.col(uncertainty), F.lit(0.0)).cast("double")
+    nan = F.lit(float("nan"))
+    narrow = rows.where(finite(reference)).select(
+        F.col(group).alias("_group"), (r - u - F.lit(float(tie_tolerance))).alias("_low"), (r + u).alias("_high"),
+        *[F.coalesce(F.col(p).cast("double"), nan).alias(f"_value_{k}") for k, p in enumerate(predictions)], *slots)
+    counted = narrow.repartition("_group").sortWithinPartitions("_group").mapInArrow(
+        _paired(shared, len(predictions), float(tie_tolerance)), "policy_id long, resolved long, correct long")
+    return counted.groupBy("policy_id").agg(F.sum("resolved").alias("resolved"), F.sum("correct").alias("correct"))
