@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..plans.lineage import cut_lineage
 from .ordered import running
 
@@ -28,6 +29,10 @@ def partition_sizes(groups: int, fractions: dict[str, float]) -> dict[str, int]:
     return sizes
 
 
+def _group_digest(group: str, seed: int) -> Column:
+    return F.sha2(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string")), 256)
+
+
 def grouped_split(rows: DataFrame, row_id="id", group="group_id", seed: int = 42, fractions=None) -> DataFrame:
     """(id, group_id, partition): groups in order of a seeded hash are dealt to the partitions.
 
@@ -37,9 +42,8 @@ def grouped_split(rows: DataFrame, row_id="id", group="group_id", seed: int = 42
     fractions = dict(fractions or DEFAULT_FRACTIONS)
     groups = cut_lineage(rows.select(F.col(group).alias("_g")).distinct()).withColumn("_one", F.lit(1))
     sizes = partition_sizes(groups.count(), fractions)
-    digest = F.sha2(F.concat(F.lit(f"{seed}|"), F.col("_g").cast("string")), 256)
     ranked = running(
-        groups.withColumn("_h", digest), "_h", sums={"_rank": "_one"},
+        groups.withColumn("_h", _group_digest("_g", seed)), "_h", sums={"_rank": "_one"},
         bucket=F.conv(F.substring("_h", 1, 3), 16, 10).cast("double"),
     )
     dealt, cursor = F.lit(None).cast("string"), 0
@@ -54,6 +58,22 @@ def grouped_split(rows: DataFrame, row_id="id", group="group_id", seed: int = 42
         assignment, F.col("group_id") == F.col("_g")).drop("_g")
 
 
+def partition_of(split: DataFrame, group="group_id", seed: int = 42) -> Column:
+    """The partition of any row of a :func:`grouped_split` of that seed, told by its group: no row has to be joined with the split.
+
+    Groups are dealt in order of their digest, so a partition is a range of digests; one row per partition reaches the driver.
+    """
+    last = split.groupBy("partition").agg(F.max(_group_digest("group_id", seed)).alias("h")).collect()
+
+    def dealt(digest: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for r in sorted(last, key=lambda r: r["h"], reverse=True):
+            out = F.when(digest <= r["h"], F.lit(r["partition"])).otherwise(out)
+        return out
+
+    return let(_group_digest(group, seed), dealt)
+
+
 def split_audit(split: DataFrame, rows: DataFrame, row_id="id", group="group_id", fractions=None) -> DataFrame:
     """(rule, violations): leaking groups, empty partitions, ids present on one side only."""
     fractions = fractions or DEFAULT_FRACTIONS

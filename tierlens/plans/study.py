@@ -24,7 +24,7 @@ from ..operators.models import RiskModel, calibration_audit, fit_risk_models
 from ..operators.observables import decision_group_leaks
 from ..operators.ordered import pareto_frontier, risk_coverage
 from ..operators.replay import default_grid, policy_grid, run_policies, select_policy
-from ..operators.splits import grouped_split, pairing_report, split_audit
+from ..operators.splits import grouped_split, pairing_report, partition_of, split_audit
 from ..records import AUXILIARY_FEATURES, STAGE_DFT, STAGE_MLIP, check_feature_names
 from .lineage import cut_lineage
 
@@ -247,10 +247,13 @@ def fit_study(rows: DataFrame, config: StudyConfig, pairwise: bool = True) -> Ar
     if eligible.isEmpty():
         raise ValueError("no eligible rows: every row is excluded (see split_eligible)")
     split = cut_lineage(grouped_split(eligible, seed=config.seed))
-    staged = cut_lineage(study_frame(eligible, config).join(split.select("id", "partition"), "id"))
+    # rows carry operations and costs: they are neither joined with the split nor written again
+    framed = eligible.withColumn("partition", partition_of(split, seed=config.seed))
+    inputs = [*config.features, *[f"label_{n}" for n in config.labels]]
+    staged = cut_lineage(study_frame(framed.where(F.col("partition").isin("train", "calibration")), config).select("partition", *inputs))
     train, calibration = (staged.where(F.col("partition") == p) for p in ("train", "calibration"))
     models = fit_models(train, calibration, config)
-    validation = with_risks(staged.where(F.col("partition") == "validation"), models)
+    validation = with_risks(study_frame(framed.where(F.col("partition") == "validation"), config), models)
     grid = default_grid(config.thresholds, "cheap_screen" in config.stage1_features)
     scores = cut_lineage(policy_grid(
         validation, grid, config.decision_tolerance, config.cost_weight, config.cost_scale,
