@@ -31,10 +31,10 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tierlens-{spark.sparkContext.applicationId}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, partition_by=()) -> DataFrame:
     """Write ``df`` once to shared storage so that later steps restart from files, not from a long plan."""
     path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.fingerprints import multiset_fingerprint
+from ..plans.lineage import cut_lineage
+from .digests import PACKED, sequential_sha256
 from .text import read_text_files
 from ..records import (
     ATTACHMENT_SCHEMA, CALCULATION_SCHEMA, OBSERVABLE_SCHEMA, REVIEW_SCHEMA, SCHEMA_VERSION, STRUCTURE_SCHEMA,
@@ -183,10 +185,16 @@ def scan_manifest(spark: SparkSession, path) -> DataFrame:
     return df
 
 
-def file_manifest(spark: SparkSession, path) -> DataFrame:
-    """(path, bytes, sha256) of every input file."""
+def file_manifest(spark: SparkSession, path, block_bytes: int = 1 << 28) -> DataFrame:
+    """(path, bytes, sha256) of every input file; no task reads much more than ``block_bytes`` of a file."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    # known from the listing, so that nothing is read of the others
+    whole = (F.col("_metadata.file_size") <= block_bytes) | F.lower("_metadata.file_name").rlike(PACKED)
+    digests = files.where(whole).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    long = cut_lineage(files.where(~whole).select("path", F.col("length").alias("bytes"), F.col("_metadata.file_path").alias("located")))
+    if long.isEmpty():
+        return digests
+    return digests.unionByName(long.join(sequential_sha256(spark, path, long, block_bytes), "located").select("path", "bytes", "sha256"))
 
 
 def table_manifest(table: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
