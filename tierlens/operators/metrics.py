@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..plans.lineage import cut_lineage
+from .md5_lanes import LANES, block_words, digit_ranges, digits, leading_60, md5_words
 from .ordered import kth_smallest, ranking_aggregates, running, score_ranking, value_edges
 from .statistics import Statistic, aggregate_statistic
 
@@ -172,6 +172,7 @@ def conformal_interval(df: DataFrame, prediction: str, quantile: float | None) -
 # ---- cluster bootstrap -------------------------------------------------------
 
 GROUPS_PER_BUCKET, REPLICATES_AT_ONCE = 1024, 64
+_REPLICATES_A_TASK, _DRAWS_A_TASK = 8, 1 << 23
 
 
 def draw_index(seed: int, bound, *parts: Column) -> Column:
@@ -224,46 +225,86 @@ def _bucket_draws(numbered: DataFrame, groups: int, repetitions: int, seed: int)
     groups; only how many do is counted, so what is shuffled is a number per replicate and bucket.  Which groups of the
     bucket they pick is drawn where its groups stand as one array.
     """
-    fallen = numbered.sparkSession.range(repetitions * groups).select(
-        F.expr(f"id div {groups}").alias("replicate"), F.expr(f"id % {groups}").alias("_draw"))
-    fallen = fallen.select("replicate", F.floor(
-        draw_index(seed, groups, F.col("replicate"), F.col("_draw")) / GROUPS_PER_BUCKET).alias("_bucket_no"))
-    counts = fallen.groupBy("_bucket_no", "replicate").agg(F.count("*").alias("_m")).groupBy(
+    spark = numbered.sparkSession
+    blocks, slices = -(-repetitions // _REPLICATES_A_TASK), -(-groups // _DRAWS_A_TASK)
+    parts = spark.range(0, blocks * slices, 1, min(blocks * slices, 4 * spark.sparkContext.defaultParallelism))
+    fallen = parts.mapInArrow(_fallen(seed, groups, repetitions, slices), "replicate long, _bucket_no long, _m long")
+    counts = fallen.groupBy("_bucket_no", "replicate").agg(F.sum("_m").alias("_m")).groupBy(
         "_bucket_no", F.expr(f"replicate div {REPLICATES_AT_ONCE}").alias("_block")).agg(F.collect_list(F.struct("replicate", "_m")).alias("_counts"))
     # at most 1,024 groups
     listed = numbered.groupBy("_bucket_no").agg(F.array_sort(F.collect_list(F.struct("_index", "_sum", "_count"))).alias("_values"))
-    tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = counts.join(listed, "_bucket_no").repartition(tasks, "_bucket_no", "_block")
     return met.select("_bucket_no", F.col("_values._sum").alias("sums"), F.col("_values._count").alias("counts"),
                       F.col("_counts.replicate").alias("replicates"), F.col("_counts._m").alias("draws"))
 
 
-def _sums_of(bucket: int, replicate: int, weights: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple:
-    return [replicate], [float(weights @ sums)], [int(weights @ counts)]
-
+def _fallen(seed: int, groups: int, repetitions: int, slices: int):
+    """Rows are slices of the draws of some replicates: how many of them fall into each bucket, as ``draw_index`` tells."""
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                first = part // slices * _REPLICATES_A_TASK
+                replicates = range(first, min(first + _REPLICATES_A_TASK, repetitions))
+                heads = [np.frombuffer(f"{seed}|{r}|".encode(), np.uint8) for r in replicates]
+                counts = np.zeros((len(replicates), -(-groups // GROUPS_PER_BUCKET)), np.int64)
+                lower = part % slices * _DRAWS_A_TASK
+                for lo, hi, places in digit_ranges(lower, min(lower + _DRAWS_A_TASK, groups)):
+                    tails = digits(np.arange(lo, hi), places)
+                    for head, held in zip(heads, counts):
+                        text = np.concatenate([np.broadcast_to(head, (hi - lo, len(head))), tails], axis=1)
+                        number = leading_60(*md5_words(block_words(text), hi - lo)[:2])
+                        index = number - number // np.uint64(groups) * np.uint64(groups)
+                        held += np.bincount((index // np.uint64(GROUPS_PER_BUCKET)).astype(np.int64), minlength=len(held))
+                row, bucket = np.nonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first + row), pa.array(bucket), pa.array(counts[row, bucket])], ["replicate", "_bucket_no", "_m"])
 
-def _weights_of(bucket: int, replicate: int, weights: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple:
-    some = np.flatnonzero(weights)
-    return [replicate] * len(some), (bucket * GROUPS_PER_BUCKET + some).tolist(), weights[some].tolist()
+    return compute
 
 
-def _drawn(seed: int, of):
-    """Draws groups inside their bucket: the weights of a bucket come out as one array per replicate.
+def _picks(seed: int, bucket: int, replicates: list[int], draws: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row of the replicate, pick) of all draws inside a bucket, in blocks.
 
     One md5 of (seed, replicate, bucket, number) gives four picks of 32 bits.
     """
+    heads = [f"{seed}|{r}|{bucket}|".encode() for r in replicates]
+    sizes, needed = np.array([len(h) for h in heads]), -(-draws // 4)
+    for size in np.unique(sizes).tolist():
+        mine = np.flatnonzero(sizes == size)
+        head = np.frombuffer(b"".join(heads[i] for i in mine), np.uint8).reshape(-1, size)
+        for lower, upper, places in digit_ranges(0, int(needed[mine].max())):
+            numbers = np.arange(lower, upper)
+            tails = digits(numbers, places)
+            row, at = np.nonzero(numbers < needed[mine][:, None])
+            for s in range(0, len(row), LANES):
+                r, k = row[s:s + LANES], at[s:s + LANES]
+                picks = np.stack(md5_words(block_words(np.concatenate([head[r], tails[k]], axis=1)), len(r)), axis=1)
+                some = 4 * numbers[k][:, None] + np.arange(4) < draws[mine[r]][:, None]
+                yield np.broadcast_to(mine[r][:, None], picks.shape)[some], picks[some]
+
+
+def _sums_of(bucket: int, replicates: np.ndarray, weights: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple:
+    return replicates, weights.astype(np.float64) @ sums, weights @ counts
+
+
+def _weights_of(bucket: int, replicates: np.ndarray, weights: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple:
+    row, some = np.nonzero(weights)
+    return replicates[row], bucket * GROUPS_PER_BUCKET + some, weights[row, some]
+
+
+def _drawn(seed: int, of):
+    """Draws groups inside their bucket: the weights of a bucket come out as one array per replicate."""
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 bucket, size = row["_bucket_no"], len(row["counts"])
-                sums = np.array([0.0 if x is None else x for x in row["sums"]])
-                counts, out = np.array(row["counts"]), ([], [], [])
-                for replicate, m in zip(row["replicates"], row["draws"]):
-                    start = f"{seed}|{replicate}|{bucket}|"
-                    digests = b"".join(hashlib.md5(f"{start}{k}".encode()).digest() for k in range(-(-m // 4)))
-                    picks = np.frombuffer(digests, ">u4")[:m] % size
-                    for held, new in zip(out, of(bucket, replicate, np.bincount(picks.astype(np.int64), minlength=size), sums, counts)):
-                        held += new
+                sums = np.array([0.0 if x is None else x for x in row["sums"]], np.float64)
+                replicates, draws = np.array(row["replicates"], np.int64), np.array(row["draws"], np.int64)
+                weights = np.zeros(len(replicates) * size, np.int64)
+                for at, picks in _picks(seed, bucket, row["replicates"], draws):
+                    weights += np.bincount(at * size + picks % np.uint32(size), minlength=len(weights))
+                out = of(bucket, replicates, weights.reshape(-1, size), sums, np.array(row["counts"], np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64() if of is _sums_of else pa.int64()), pa.array(out[2], pa.int64())],
                     ["replicate", *(("s", "c") if of is _sums_of else ("_index", "_w"))])
