@@ -68,6 +68,15 @@ def one_price(of: Column | None = None) -> Column:
     return F.when(lowest == highest, lowest).when(lowest.isNotNull(), conflict).alias("cost")
 
 
+def refuse_two_prices(bought: DataFrame, keys: Sequence[str]) -> None:
+    """An error if a ledger holds an operation at two prices; ledgers are told apart only for operations that have two anywhere."""
+    lines = _lines(bought, keys)
+    differing = lines.groupBy("op").agg(F.min("cost").alias("_lo"), F.max("cost").alias("_hi")).where("_lo <> _hi").select("op")
+    differing = cut_lineage(differing)
+    if not differing.isEmpty():
+        lines.join(differing, "op", "left_semi").groupBy(*keys, "op").agg(one_price()).agg(F.count("cost")).first()
+
+
 def charges(bought: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(ledger, row_no, cost): what each row adds to its ledger when nothing is refused."""
     first = _lines(bought, keys).groupBy(*keys, "op").agg(F.min("seq").alias("seq"), one_price())
@@ -93,7 +102,8 @@ def charge_with_budget(
     if budget < 0:
         raise ValueError("budget must be non-negative")
     row_keys = [*keys, "row_no"]
-    union = bought.select(*row_keys).distinct().select(
+    # rows that pay nothing and are refused nothing belong to the result; the aggregation below makes them one each
+    union = bought.select(
         *row_keys, F.lit(None).cast("int").alias("step_no"), F.lit(0).cast(MONEY).alias("price"), F.lit(True).alias("paid"))
     for part in budget_rounds(bought, keys, budget, opening, rows_per_piece):
         union = union.unionByName(part)
@@ -128,7 +138,7 @@ def budget_rounds(
     fine = value_edges(bought, "seq", rows_per_piece)
     edges = fine[9::10]  # later rounds only hold fewer purchases
     # a second price may stand where nothing is bought any more
-    _lines(bought, keys).groupBy(*keys, "op").agg(one_price()).agg(F.count("cost")).first()
+    refuse_two_prices(bought, keys)
     room = bought.select(*keys).distinct().withColumn("spent", _money(F.lit(0)))
     if opening is not None:
         opening = cut_lineage(opening.groupBy(*keys, "op").agg(one_price()).withColumnRenamed("cost", "_paid"))
